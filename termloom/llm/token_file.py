@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from termloom.llm.batches import record, slices
 from termloom.llm.bpe import encoder
-from termloom.llm.storage import filesystem, new_dir, publish
+from termloom.llm.storage import filesystem, new_dir, publish, shuffles_dropped
 
 END, SAMPLE, BLOCK = 2, 256, 2048
 
@@ -116,7 +116,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         size = total * enc.dtype.itemsize + len(names[1]) + len(bounds[1]) + len(foot) + 8
         yield record(schema, [(name, shard, len(sizes), total, size)])
 
-    ordered.mapInArrow(write, "file string, shard long, n_docs long, n_ids long, n_bytes long").write.parquet(f"{path}/manifest")
+    with shuffles_dropped(spark):
+        ordered.mapInArrow(write, "file string, shard long, n_docs long, n_ids long, n_bytes long").write.parquet(f"{path}/manifest")
     return spark.read.schema("file string, shard long, n_docs long, n_ids long, n_bytes long").parquet(f"{path}/manifest")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from termloom.llm.batches import record, slices
 from termloom.llm.running import running_total
-from termloom.llm.storage import filesystem, new_dir, publish, written
+from termloom.llm.storage import filesystem, new_dir, publish, shuffles_dropped, written
 
 REVISIT_FROM, ROLL_BYTES, DATE = 1000, 256 << 20, "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -120,7 +120,8 @@ def write_warc(pages: DataFrame, path: str, shard_bytes: int | None = None, roll
         if out is not None:
             yield close()
 
-    sorted_rows.mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
+    with shuffles_dropped(spark):
+        sorted_rows.mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
 
