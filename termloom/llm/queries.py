@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import chat, langid, licenses, media, minhash, repeats, token_file, warc
+from termloom.llm import chat, langid, leaks, licenses, media, minhash, packing, repeats, token_file, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,14 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.benchmark_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents")).drop("ids")
+
+
 def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -57,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
     "op3_warc": op3_warc,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_benchmark_leaks": op5_benchmark_leaks,
+    "op6_curve_packing": op6_curve_packing,
     "op7_repeated_spans": op7_repeated_spans,
     "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
