@@ -144,3 +144,21 @@ def train_on(docs: DataFrame) -> Model:
 def document_languages(docs: DataFrame) -> DataFrame:
     """Learn from the documents that are not held out, predict all. A null doc_id is not held out."""
     return identify(docs, train_on(docs)).select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose language is certain to ``least``; without a model, those with a letter."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = part.column(part.schema.get_field_index("text")).to_pylist()
+                if shared.value.langs:
+                    kept = [lang != "und" and score >= least for lang, score in shared.value.predict(texts)]
+                else:
+                    kept = [bool(words(t)) for t in texts]
+                yield part.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(choose, docs.schema)

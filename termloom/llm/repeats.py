@@ -222,3 +222,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield record(schema, rows)
 
     return keyed.join(ranges, ["doc", "sig"], "left").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The rows, with all their columns, text and n_chars (where there is one) as they are without repeated bytes.
+
+    Characters that a cut leaves incomplete go too. A row that loses all but white space goes; a row that loses
+    nothing stays as it is.
+    """
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("__sig", (F.crc32(text.cast("binary")) - 2**31).cast("int"))
+    ranges = repeated_ranges(docs, length).groupBy(F.col("doc").alias("__doc"), F.col("sig").alias("__sig")).agg(F.collect_list(F.struct("begin", "end")).alias("__ranges"))
+    names, n_chars = docs.columns, docs.schema["n_chars"].dataType.simpleString() if "n_chars" in docs.columns else None
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts, listed = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("text", "__ranges"))
+                left = [cut(t.encode(), r)[0].decode(errors="ignore") if r else t for t, r in zip(texts, listed, strict=True)]
+                part = part.select(names)
+                part = part.set_column(names.index("text"), part.schema.field("text"), pa.array(left, part.schema.field("text").type))
+                if n_chars:
+                    field, i = part.schema.field("n_chars"), names.index("n_chars")
+                    own = part.column(i).to_pylist()
+                    part = part.set_column(i, field, pa.array([len(t) if r else n for t, r, n in zip(left, listed, own, strict=True)], field.type))
+                yield part.filter(pa.array([not r or bool(t.strip()) for t, r in zip(left, listed, strict=True)], pa.bool_()))
+
+    return keyed.join(ranges, ["__doc", "__sig"], "left").select(*names, "__ranges").mapInArrow(remove, docs.schema)
