@@ -28,7 +28,7 @@ from termloom.llm.storage import written
 
 LENGTH, K, SEGMENT = 200, 32, 1 << 20
 #: Keys with at most so many different spans are compared inside one task.
-SMALL = 2000
+SMALL, CELL = 2000, 8
 NULL_ID = -(2**63)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x9E3779B97F4A7C15
@@ -62,8 +62,8 @@ def window_hashes(raw: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def anchors(raw: bytes, length: int = LENGTH, k: int = K) -> Iterator[tuple[int, int, int, int]]:
-    """(key, span's hash, first window, last window) of each anchor; the windows of all anchors are all windows."""
+def anchors(raw: bytes, length: int = LENGTH, k: int = K) -> Iterator[tuple[int, int, int, int, int]]:
+    """(key, span's hash, first window, last window, anchor's place from the first window) of each anchor; the windows of all anchors are all windows."""
     width, bits = length - k + 1, np.uint64(SEGMENT - 1)
     for begin in range(0, len(raw) - length + 1, SEGMENT - length + 1):
         part = raw[begin : begin + SEGMENT]
@@ -80,8 +80,8 @@ def anchors(raw: bytes, length: int = LENGTH, k: int = K) -> Iterator[tuple[int,
         first = np.flatnonzero(np.diff(at, prepend=-1))
         last = np.append(first[1:], n) - 1
         keys = h[at[first]].view(np.int64).tolist()
-        for key, s, e in zip(keys, first.tolist(), last.tolist(), strict=True):
-            yield key, xxhash.xxh3_64_intdigest(part[s : e + length]) - 2**63, begin + s, begin + e
+        for key, s, e, a in zip(keys, first.tolist(), last.tolist(), at[first].tolist(), strict=True):
+            yield key, xxhash.xxh3_64_intdigest(part[s : e + length] + b"%d" % (a - s)) - 2**63, begin + s, begin + e, a - s
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -93,8 +93,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc, sig (of _keyed), begin, end: byte ranges whose union is all that repeated windows cover."""
     keyed = _keyed(docs)
-    fields = "doc long, sig int, key long, span long, first int, last int"
-    schema = pa.schema([("doc", pa.int64()), ("sig", pa.int32()), ("key", pa.int64()), ("span", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+    fields = "doc long, sig int, key long, span long, first int, last int, anchor int"
+    schema = pa.schema([("doc", pa.int64()), ("sig", pa.int32()), ("key", pa.int64()), ("span", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("anchor", pa.int32())])
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in slices(batches, ("doc", "sig", "text")):
@@ -104,24 +104,24 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     shared = spans.groupBy("key").agg(F.count("*").alias("n"), (F.min("span") < F.max("span")).alias("differ")).filter("n > 1").select("key", "differ")
     kept = written(spans.join(shared, "key"), "shared-spans")
     # a span of each kind stands for the others; tuples of equal spans are counted, not gathered
-    kinds = kept.filter("differ").groupBy("key", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc", "sig", "first", "last")).alias("one"))
+    kinds = kept.filter("differ").groupBy("key", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc", "sig", "first", "last", "anchor")).alias("one"))
     kinds = written(kinds.select("key", "span", "n", "one.*"), "kinds")
     whole = kept.filter("not differ").select("doc", "sig", "first", "last").unionByName(kept.filter("differ").join(kinds.filter("n > 1").select("key", "span"), ["key", "span"], "left_semi").select("doc", "sig", "first", "last"))
     # the bytes of each kind's span, from its text
     sizes = kinds.groupBy("key").agg(F.count("*").alias("kinds"))
-    opened = kinds.join(sizes, "key").groupBy("doc", "sig").agg(F.collect_list(F.struct("key", "kinds", "first", "last", (F.col("n") == 1).alias("alone"))).alias("open"))  # bounded by the document's length
-    spans_of = pa.schema([("key", pa.int64()), ("kinds", pa.int64()), ("alone", pa.bool_()), ("doc", pa.int64()), ("sig", pa.int32()), ("first", pa.int32()), ("bytes", pa.binary())])
+    opened = kinds.join(sizes, "key").groupBy("doc", "sig").agg(F.collect_list(F.struct("key", "kinds", "first", "last", "anchor", (F.col("n") == 1).alias("alone"))).alias("open"))  # bounded by the document's length
+    spans_of = pa.schema([("key", pa.int64()), ("kinds", pa.int64()), ("alone", pa.bool_()), ("doc", pa.int64()), ("sig", pa.int32()), ("first", pa.int32()), ("anchor", pa.int32()), ("bytes", pa.binary())])
 
     def open_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in slices(batches, ("doc", "sig", "text", "open"), 64):
             rows = []
             for doc, sig, text, listed in zip(*found, strict=True):
                 raw = text.encode()
-                rows += [(o["key"], o["kinds"], o["alone"], doc, sig, o["first"], raw[o["first"] : o["last"] + length]) for o in listed]
+                rows += [(o["key"], o["kinds"], o["alone"], doc, sig, o["first"], o["anchor"], raw[o["first"] : o["last"] + length]) for o in listed]
             yield record(spans_of, rows)
 
     texts = keyed.join(opened, ["doc", "sig"]).dropDuplicates(["doc", "sig"])
-    contents = written(texts.mapInArrow(open_spans, "key long, kinds long, alone boolean, doc long, sig int, first int, bytes binary"), "contents")
+    contents = written(texts.mapInArrow(open_spans, "key long, kinds long, alone boolean, doc long, sig int, first int, anchor int, bytes binary"), "contents")
     return whole.select("doc", "sig", F.col("first").alias("begin"), (F.col("last") + length).alias("end")).unionByName(_in_small(contents.filter(F.col("kinds") <= SMALL), length)).unionByName(_in_large(contents.filter(F.col("kinds") > SMALL), length))
 
 
@@ -169,7 +169,33 @@ def _in_small(contents: DataFrame, length: int) -> DataFrame:
 
 
 def _in_large(contents: DataFrame, length: int) -> DataFrame:
-    """Keys of more kinds: each window becomes a row; equal windows are counted, no group is gathered."""
+    """Keys of more kinds: runs of CELL windows, dealt by where the anchor stands in them, become rows.
+
+    The bytes that all windows of a run would share make its key. A run that is alone with them has no repeated
+    window, equal runs repeat in all theirs, and only where runs differ does each window become a row. Rows are
+    counted by content; no group is gathered.
+    """
+    runs_of = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("alone", pa.bool_()), ("doc", pa.int64()), ("sig", pa.int32()), ("first", pa.int32()), ("bytes", pa.binary())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in slices(batches, ("key", "alone", "doc", "sig", "first", "anchor", "bytes"), 128):
+            rows = []
+            for key, alone, doc, sig, first, anchor, raw in zip(*found, strict=True):
+                n = len(raw) - length + 1
+                at = 0
+                while at < n:
+                    cell = (anchor - at) // CELL  # offsets cell * CELL .. cell * CELL + CELL - 1 of the anchor
+                    end = min(n, anchor - cell * CELL + 1)
+                    shared = raw[max(0, anchor - cell * CELL) : anchor - cell * CELL - CELL + 1 + length]
+                    part = raw[at : end + length - 1]
+                    rows.append((xxhash.xxh3_64_intdigest(b"%d %d " % (key, cell) + shared) - 2**63, xxhash.xxh3_64_intdigest(part) - 2**63, alone, doc, sig, first + at, part))
+                    at = end
+            yield record(runs_of, rows)
+
+    cells = written(contents.mapInArrow(deal, "key long, content long, alone boolean, doc long, sig int, first int, bytes binary"), "cells")
+    facts = cells.groupBy("key").agg(F.count("*").alias("n"), (F.min("content") < F.max("content")).alias("differ")).filter("n > 1").select("key", "differ")
+    met = written(cells.join(facts, "key"), "met-cells")
+    whole = met.filter("alone and not differ").select("doc", "sig", F.col("first").alias("begin"), (F.col("first") + F.octet_length("bytes")).alias("end"))
     wide = pa.schema([("key", pa.int64()), ("alone", pa.bool_()), ("doc", pa.int64()), ("sig", pa.int32()), ("at", pa.int32()), ("content", pa.int64())])
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,9 +206,9 @@ def _in_large(contents: DataFrame, length: int) -> DataFrame:
                 rows += [(key, alone, doc, sig, first + i, x) for i, x in enumerate(h)]
             yield record(wide, rows)
 
-    single = written(contents.mapInArrow(explode, "key long, alone boolean, doc long, sig int, at int, content long"), "windows")
+    single = written(met.filter("differ").mapInArrow(explode, "key long, alone boolean, doc long, sig int, at int, content long"), "windows")
     twice = single.groupBy("key", "content").agg(F.count("*").alias("n")).filter("n > 1").select("key", "content")
-    return single.filter("alone").join(twice, ["key", "content"], "left_semi").select("doc", "sig", F.col("at").alias("begin"), (F.col("at") + length).alias("end"))
+    return whole.unionByName(single.filter("alone").join(twice, ["key", "content"], "left_semi").select("doc", "sig", F.col("at").alias("begin"), (F.col("at") + length).alias("end")))
 
 
 def cut(raw: bytes, ranges: list) -> tuple[bytes, int, int]:
