@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.queries import events
+from termloom.queries import events, graphs, relational, texts, timetable
 
-GROUPS = (events,)
+GROUPS = (events, relational, timetable, texts, graphs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
