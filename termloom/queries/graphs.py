@@ -33,7 +33,7 @@ def graph_eligible(spark, sf):
 
 
 def stream_dedup(spark, sf):
-    ev = streaming.stream_of(spark, f"{sf}/events.parquet", "events.parquet").select("event_id", "event_type", "ts")
+    ev = streaming.stream_of(spark, f"{sf}/events.parquet", "events.parquet").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     path = work_dir(spark, "stream-dedup")
     return streaming.drained(streaming.deduplicated(ev, "event_id", "ts", "40 days"), path).groupBy("event_type").agg(F.count("*").alias("n"))
 

@@ -46,7 +46,7 @@ def test_text(spark):
     assert one(spark, X.scrub(F.lit("call 081-234-5678 or a.b@c.org"))) == "call [PHONE] or [EMAIL]"
     assert one(spark, X.looks_like_id(F.lit("123456789-0"))) and not one(spark, X.looks_like_id(F.lit("12345")))
     assert one(spark, X.search_normal(F.lit("Sooo, GOOD!!"))) == "soo good"
-    assert one(spark, X.escape_calendar(F.lit("a;b,c\nd\\"))) == "a\;b\\,c\\nd\\\\"
+    assert one(spark, X.escape_calendar(F.lit("a;b,c\nd\\"))) == "a\\;b\\,c\\nd\\\\"
 
 
 def test_ingest_keeps_null_keys(spark):
