@@ -6,7 +6,8 @@ their regions overlap. A dart has a rank (its height) and one of K coordinates;
 dart. As many darts are thrown as fill all coordinates almost surely; a set with an empty coordinate throws twice
 as many. Equal values at a coordinate have the weighted Jaccard similarity as probability.
 
-Signatures are cut into bands. In each bucket every member is compared with the smallest one; members that are
+Signatures are cut into bands. In each bucket every member is compared with the one that shares most
+buckets with others; members that are
 still in other components are then compared with each other, large buckets after a split by further bands. Every
 link is checked on the shingles themselves.
 """
@@ -190,9 +191,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = sketches.groupBy("key").agg(F.min("doc_id").alias("class"))
     first = written(sketches.join(groups, "key").select("doc_id", "class", "bands"), "classes")
     buckets = written(first.filter("doc_id = class").select("doc_id", F.explode("bands").alias("bucket")).distinct(), "buckets")
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).filter("n > 1")
-    members = written(buckets.join(shared, "bucket").select("bucket", "doc_id", "least"), "members")
-    stars = members.filter("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = written(buckets.join(shared, "bucket"), "members")
+    # an original shares more buckets with its copies than they do with each other: the best known member is the centre
+    known = members.groupBy("doc_id").agg(F.sum("n").alias("met"))
+    ranked = members.join(known, "doc_id").select("bucket", "doc_id", F.struct("met", (-F.col("doc_id")).alias("id")).alias("rank"))
+    centres = ranked.groupBy("bucket").agg((-F.max("rank")["id"]).alias("centre"))
+    stars = members.join(centres, "bucket").filter("doc_id <> centre").select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).distinct()
+    stars = written(stars, "stars")
     links = written(_verified(stars, own), "links")
     parts = components(links)
     rows = members.join(parts, members["doc_id"] == parts["node"], "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
