@@ -10,12 +10,12 @@ import json
 import re
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 #: The characters of Unicode's White_Space property.
 WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-KEPT, LONG, AT_ONCE = 250_000, 64, 2_000
+KEPT, LONG, AT_ONCE = 800_000, 64, 2_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -30,6 +30,10 @@ class Encoder:
         before = made["pre_tokenizer"] or {}
         self.newline = self.tokenizer.token_to_id("Ċ")
         self.by_chunk = made["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"] and self.newline is not None
+        # letters after at most one blank are never split, so the split by patterns can be left out for them
+        self.by_line = Tokenizer.from_file(path) if self.by_chunk else None
+        if self.by_line:
+            self.by_line.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -37,15 +41,21 @@ class Encoder:
 
     def learn(self, chunks: list[str]) -> None:
         """Chunks without white space inside go to the library as the lines of one text."""
-        plain = []
+        letters, plain = [], []
         for c in chunks:
-            if c.isspace() or len(c) > LONG or any(x.isspace() for x in c[1:]) or "|" in c:
+            if len(c) <= LONG and (c[1:] if c[0] == " " else c).isalpha():
+                letters.append(c)
+            elif c.isspace() or len(c) > LONG or "|" in c or any(x.isspace() for x in c[1:]):
                 self.known[c] = self.whole(c)
             else:
                 plain.append(c)
-        for at in range(0, len(plain), AT_ONCE):
-            part = plain[at : at + AT_ONCE]
-            ids = np.array(self.tokenizer.encode("\n".join(part), add_special_tokens=False).ids, self.dtype)
+        self._lines(self.by_line, letters)
+        self._lines(self.tokenizer, plain)
+
+    def _lines(self, tokenizer: Tokenizer, chunks: list[str]) -> None:
+        for at in range(0, len(chunks), AT_ONCE):
+            part = chunks[at : at + AT_ONCE]
+            ids = np.array(tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, self.dtype)
             cuts = np.flatnonzero(ids == self.newline)
             raw, width = ids.tobytes(), self.dtype.itemsize
             starts, ends = [0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(raw)]
