@@ -24,9 +24,16 @@ LONGEST, BACK_OFF = 5, math.log(0.4)
 WORDS, GRAMS, KEPT, CUT = 30_000, 30_000, 200_000, 30
 
 
-def words(text: str | None) -> list[str]:
-    """Runs of letters in lower case; a long run is cut into pieces of CUT characters."""
-    return [w[i : i + CUT] for w in LETTERS.findall((text or "").lower()) for i in range(0, len(w), CUT) if any(c.isalpha() for c in w[i : i + CUT])] if text else []
+def runs(text: str | None) -> list[str]:
+    """Runs of letters and of what counts as one in a word, in lower case."""
+    return LETTERS.findall(text.lower()) if text else []
+
+
+def pieces(run: str) -> list[str]:
+    """The words of a run: pieces of CUT characters, without those that have no letter."""
+    if len(run) <= CUT and run.isalpha():
+        return [run]
+    return [w for i in range(0, len(run), CUT) if any(map(str.isalpha, w := run[i : i + CUT]))]
 
 
 def count_words(labelled: DataFrame) -> DataFrame:
@@ -38,12 +45,13 @@ def count_words(labelled: DataFrame) -> DataFrame:
 
         def drain() -> Iterator[pa.RecordBatch]:
             for lang, c in counts.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], schema=schema)
+                split = [(w, n) for run, n in c.items() for w in pieces(run)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(split), pa.string()), pa.array([w for w, _ in split], pa.string()), pa.array([n for _, n in split], pa.int64())], schema=schema)
             counts.clear()
 
         for texts, langs in slices(batches, ("text", "lang")):
             for text, lang in zip(texts, langs, strict=True):
-                counts.setdefault(lang, Counter()).update(words(text))
+                counts.setdefault(lang, Counter()).update(runs(text))
             if sum(map(len, counts.values())) > KEPT:
                 yield from drain()
         yield from drain()
@@ -58,44 +66,74 @@ class Model:
     def __init__(self, langs: list[str], word_rows: list[tuple], gram_rows: list[tuple], totals: dict[str, tuple[int, int]]) -> None:
         self.langs = langs
         at = {lang: i for i, lang in enumerate(langs)}
-        self.words = self._table(word_rows, at, np.array([totals[x][0] for x in langs], float))
-        self.grams = self._table(gram_rows, at, np.array([totals[x][1] for x in langs], float))
-        self.unknown = np.zeros(len(langs))
-        self.known: dict[str, int] = {}
-        self.scores = np.zeros((0, len(langs)))
+        self.words, self.word_scores = self._table(word_rows, at, np.array([totals[x][0] for x in langs], float))
+        self.grams, self.gram_scores = self._table(gram_rows, at, np.array([totals[x][1] for x in langs], float))
+        self._forget()
 
     @staticmethod
-    def _table(rows: list[tuple], at: dict[str, int], totals: np.ndarray) -> dict[str, np.ndarray]:
-        counts: dict[str, np.ndarray] = {}
+    def _table(rows: list[tuple], at: dict[str, int], totals: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
+        keys: dict[str, int] = {}
+        for _, key, _ in rows:
+            keys.setdefault(key, len(keys))
+        counts = np.zeros((len(keys), len(at)))
         for lang, key, n in rows:
-            counts.setdefault(key, np.zeros(len(at)))[at[lang]] = n
-        return {k: np.log((c + 0.1) / (totals + 1)) for k, c in counts.items()}
-
-    def score(self, word: str) -> np.ndarray:
-        if (found := self.words.get(word)) is not None:
-            return found
-        framed = f" {word} "
-        for n in range(LONGEST, 0, -1):
-            hits = [g for i in range(len(framed) - n + 1) if (g := self.grams.get(framed[i : i + n])) is not None and framed[i : i + n] != " "]
-            if hits:
-                return np.mean(hits, axis=0) + BACK_OFF * (LONGEST - n + 1)
-        return self.unknown
+            counts[keys[key], at[lang]] = n
+        return keys, np.log((counts + 0.1) / (totals + 1))
+
+    def _forget(self) -> None:
+        """Runs scored before: their rows in ``scores``, the last column of which counts their words."""
+        self.known: dict[str, int] = {}
+        self.scores = np.zeros((1024, len(self.langs) + 1))
+
+    def _learn(self, fresh: list[str]) -> None:
+        word, word_of, gram, starts, sizes, gram_of, penalty = [], [], [], [], [], [], []
+        out = np.zeros((len(fresh), len(self.langs) + 1))
+        for i, run in enumerate(fresh):
+            for w in pieces(run):
+                out[i, -1] += 1
+                if (found := self.words.get(w)) is not None:
+                    word.append(found)
+                    word_of.append(i)
+                    continue
+                framed = f" {w} "
+                for n in range(LONGEST, 0, -1):
+                    hits = [g for k in range(len(framed) - n + 1) if (g := self.grams.get(framed[k : k + n])) is not None]
+                    if hits:
+                        starts.append(len(gram))
+                        sizes.append(len(hits))
+                        gram_of.append(i)
+                        penalty.append(BACK_OFF * (LONGEST - n + 1))
+                        gram += hits
+                        break
+        if word:
+            np.add.at(out[:, :-1], word_of, self.word_scores[word])
+        if gram:
+            means = np.add.reduceat(self.gram_scores[gram], starts, axis=0) / np.array(sizes)[:, None]
+            np.add.at(out[:, :-1], gram_of, means + np.array(penalty)[:, None])
+        begin = len(self.known)
+        self.known.update(zip(fresh, range(begin, begin + len(fresh)), strict=True))
+        if len(self.known) > len(self.scores):
+            self.scores = np.vstack([self.scores[:begin], np.zeros((2 * len(self.known) - begin, out.shape[1]))])
+        self.scores[begin : len(self.known)] = out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        split = [words(t) for t in texts]
+        if not self.langs:
+            return [("und", 0.0)] * len(texts)
+        split = [runs(t) for t in texts]
         if len(self.known) > KEPT:
-            self.known, self.scores = {}, np.zeros((0, len(self.langs)))
-        fresh = list(dict.fromkeys(w for ws in map(set, split) for w in ws.difference(self.known)))
-        if fresh and self.langs:
-            self.known.update((w, len(self.scores) + i) for i, w in enumerate(fresh))
-            self.scores = np.vstack([self.scores, [self.score(w) for w in fresh]])
+            self._forget()
+        fresh: set[str] = set()
+        for found in split:
+            fresh.update(set(found).difference(self.known))
+        if fresh:
+            self._learn(sorted(fresh))
         out = []
-        for ws in split:
-            if not ws or not self.langs:
+        for found in split:
+            total = self.scores[np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))].sum(axis=0)
+            if not total[-1]:
                 out.append(("und", 0.0))
                 continue
-            total = self.scores[np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
-            p = np.exp(total - total.max())
+            p = np.exp(total[:-1] - total[:-1].max())
             best = int(p.argmax())
             out.append((self.langs[best], round(float(p[best] / p.sum()), 6)))
         return out
@@ -158,7 +196,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
                 if shared.value.langs:
                     kept = [lang != "und" and score >= least for lang, score in shared.value.predict(texts)]
                 else:
-                    kept = [bool(words(t)) for t in texts]
+                    kept = [any(map(pieces, runs(t))) for t in texts]
                 yield part.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(choose, docs.schema)
