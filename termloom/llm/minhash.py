@@ -6,21 +6,23 @@ their regions overlap. A dart has a rank (its height) and one of K coordinates;
 dart. As many darts are thrown as fill all coordinates almost surely; a set with an empty coordinate throws twice
 as many. Equal values at a coordinate have the weighted Jaccard similarity as probability.
 
-Signatures are cut into bands. In each bucket every member is compared with the one that shares most
-buckets with others; members that are
-still in other components are then compared with each other, large buckets after a split by further bands. Every
-link is checked on the shingles themselves.
+Signatures are cut into bands. In each bucket every member is compared with the one that shares most buckets with
+others and with two that a hash chooses; members that are still in other components are then compared with each
+other, very large buckets after a split by further bands. Two bits of each coordinate say at once whether a pair
+can be similar at all; every link is then checked on the shingles themselves.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.batches import record, slices
@@ -31,8 +33,12 @@ SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 40, 6
 K = BANDS * ROWS
 #: Darts that a set throws at first: K coordinates are all filled, but for one set in twenty.
 DARTS = K * np.log(K) + 3 * K
-#: Pairs of a bucket's members are compared directly up to so many a member; above, further bands split it.
-DIRECT = 32
+#: Pairs of a bucket's members are compared by their bits directly up to so many a member; above, further bands split it.
+DIRECT = 1000
+#: Two bits of each coordinate are kept, in PLANES longs a bit. Sets at the threshold differ in 36 of 240 coordinates with
+#: a deviation of 5.5; pairs that differ in more than five deviations above that are no candidates.
+PLANES = -(-K // 64)
+DIFFER = int(0.75 * (1 - SIMILAR) * K + 5 * (K * 0.75 * (1 - SIMILAR) * (1 - 0.75 * (1 - SIMILAR))) ** 0.5)
 WORD = re.compile(r"\w+")
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: P(at most n darts in a cell) for rate 1, as 64-bit thresholds.
@@ -106,16 +112,24 @@ def sketch(elements: np.ndarray, weight: np.ndarray) -> np.ndarray:
         darts *= 2
 
 
-def bands(text: str | None) -> np.ndarray:
-    """A 64-bit key for each band; none for a text without words."""
+def bands(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit key for each band, and two bits of each coordinate packed into 64-bit words; no keys for a text without words."""
     elements, counts = shingles(text)
     if not len(elements):
-        return np.zeros(0, np.uint64)
-    signature = sketch(elements, weights(counts)).reshape(BANDS, ROWS)
-    key = np.arange(BANDS, dtype=np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(2 * PLANES, np.uint64)
+    signature = sketch(elements, weights(counts))
+    planes = np.zeros((2, 64 * PLANES), np.uint8)
+    planes[0, :K], planes[1, :K] = signature & np.uint64(1), (signature >> np.uint64(1)) & np.uint64(1)
+    key, signature = np.arange(BANDS, dtype=np.uint64), signature.reshape(BANDS, ROWS)
     for r in range(ROWS):
         key = mix(key ^ signature[:, r])
-    return key
+    return key, np.packbits(planes).view(np.uint64)
+
+
+def _close(a: Column, b: Column) -> Column:
+    """Whether the bits of two signatures allow the texts to be similar."""
+    differ = [F.bit_count(a[i].bitwiseXOR(b[i]).bitwiseOR(a[PLANES + i].bitwiseXOR(b[PLANES + i]))) for i in range(PLANES)]
+    return functools.reduce(operator.add, differ) <= DIFFER
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -130,8 +144,8 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """key (of the text's words, or of the text where it has none), doc_id, bands."""
-    schema = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """key (of the text's words, or of the text where it has none), doc_id, bands, bits."""
+    schema = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in slices(batches, ("doc_id", "text")):
@@ -139,10 +153,10 @@ def _sketches(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(ids, texts, strict=True):
                 found = WORD.findall((text or "").lower())
                 key = xxhash.xxh3_128_digest((" ".join(found) if found else "\0" + (text or "")).encode())
-                rows.append((key, doc_id, bands(text).view(np.int64).tolist()))
+                rows.append((key, doc_id, *(x.view(np.int64).tolist() for x in bands(text))))
             yield record(schema, rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(run, "key binary, doc_id long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(run, "key binary, doc_id long, bands array<long>, bits array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -169,7 +183,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _split(rows: DataFrame, all_bands: DataFrame) -> DataFrame:
     """Members of large buckets dealt anew by bucket and each further band."""
-    return rows.join(all_bands.select("doc_id", F.col("bucket").alias("more")), "doc_id").select("doc_id", "component", F.xxhash64("bucket", "more").alias("bucket")).distinct()
+    return rows.join(all_bands.select("doc_id", F.col("bucket").alias("more")), "doc_id").select("doc_id", "component", "bits", F.xxhash64("bucket", "more").alias("bucket")).distinct()
 
 
 def _across(members: DataFrame) -> DataFrame:
@@ -184,37 +198,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Texts with the same words are copies; without words, equal texts are (null as empty). Copies stay together
     and only the one with the smallest doc_id is compared with other texts; n_links counts its links to those.
-    Rows with a null doc_id are left out; rows that share a doc_id count as one document, by its smallest text.
+    Rows with a null doc_id are left out; rows that share a doc_id count as one document
+    (in the bands of any of its texts, with the smallest of their bits).
     """
     own = docs.select("doc_id", "text")
     sketches = written(_sketches(own), "sketches")
     groups = sketches.groupBy("key").agg(F.min("doc_id").alias("class"))
-    first = written(sketches.join(groups, "key").select("doc_id", "class", "bands"), "classes")
+    first = written(sketches.join(groups, "key").select("doc_id", "class", "bands", "bits"), "classes")
     buckets = written(first.filter("doc_id = class").select("doc_id", F.explode("bands").alias("bucket")).distinct(), "buckets")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = written(buckets.join(shared, "bucket"), "members")
+    bits = first.filter("doc_id = class").groupBy("doc_id").agg(F.min("bits").alias("bits"))
+    members = written(buckets.join(shared, "bucket").join(bits, "doc_id"), "members")
     # an original shares more buckets with its copies than they do with each other: the best known member is the centre
     known = members.groupBy("doc_id").agg(F.sum("n").alias("met"))
-    ranked = members.join(known, "doc_id").select("bucket", "doc_id", F.struct("met", (-F.col("doc_id")).alias("id")).alias("rank"))
-    centres = ranked.groupBy("bucket").agg((-F.max("rank")["id"]).alias("centre"))
-    stars = members.join(centres, "bucket").filter("doc_id <> centre").select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).distinct()
+    ranked = members.join(known, "doc_id").select("bucket", F.struct("met", (-F.col("doc_id")).alias("id"), "bits").alias("known"), F.struct(F.xxhash64("bucket", "doc_id").alias("h"), (-F.col("doc_id")).alias("id"), "bits").alias("drawn"))
+    chosen = ranked.groupBy("bucket").agg(F.max("known").alias("k"), F.max("drawn").alias("x"), F.min("drawn").alias("y"))
+    centres = chosen.select("bucket", F.explode(F.array(*(F.struct((-F.col(c)["id"]).alias("id"), F.col(c)["bits"].alias("bits")) for c in "kxy"))).alias("centre")).select("bucket", F.col("centre.id").alias("centre"), F.col("centre.bits").alias("own"))
+    near = members.join(centres, "bucket").filter((F.col("doc_id") != F.col("centre")) & _close(F.col("bits"), F.col("own")))
+    stars = near.select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).distinct()
     stars = written(stars, "stars")
     links = written(_verified(stars, own), "links")
     parts = components(links)
-    rows = members.join(parts, members["doc_id"] == parts["node"], "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    rows = members.join(parts, members["doc_id"] == parts["node"], "left").select("bucket", "doc_id", "bits", F.coalesce("component", "doc_id").alias("component"))
     rest, found = written(_across(rows), "rest"), None
     # each round cuts large buckets by six more rows of the signature; members that agree on all of them are compared in blocks
     for last in (False, False, True):
         small = rest if last else rest.filter(F.col("pairs") <= DIRECT * F.col("members"))
-        left, right = small.select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("ca")), small.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-        pairs = left.join(right, "bucket").filter("a < b and ca <> cb").select("a", "b").distinct()
+        left, right = (small.select("bucket", F.col("doc_id").alias(i), F.col("component").alias(f"c{i}"), F.col("bits").alias(f"bits_{i}")) for i in "ab")
+        pairs = left.join(right, "bucket").filter(F.expr("a < b and ca <> cb") & _close(F.col("bits_a"), F.col("bits_b"))).select("a", "b").distinct()
         found = pairs if found is None else found.union(pairs)
         if last:
             break
         large = rest.filter(F.col("pairs") > DIRECT * F.col("members"))
         if large.isEmpty():
             break
-        rest = written(_across(_split(large.select("bucket", "doc_id", "component"), buckets)), "rest")
+        rest = written(_across(_split(large.select("bucket", "doc_id", "component", "bits"), buckets)), "rest")
     extra = written(_verified(found.distinct().join(stars, ["a", "b"], "left_anti"), own), "links")
     links = links.union(extra)
     if not extra.isEmpty():
