@@ -11,7 +11,9 @@ K1, B, RRF_K = 1.5, 0.75, 60
 
 def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     """key, term, tf and the document's length in tokens."""
-    terms = docs.select(F.col(key), F.size(tokens).alias("length"), F.explode(tokens).alias("term"))
+    # the length is taken before the rows are multiplied, else it is worked out again for each token
+    split = docs.select(key, tokens.alias("tokens")).select(key, F.size("tokens").alias("length"), "tokens")
+    terms = split.select(key, "length", F.explode("tokens").alias("term"))
     return terms.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
 
 
