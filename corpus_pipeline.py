@@ -17,9 +17,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id; rows that share a doc_id stay or go together."""
-    other = minhash.near_duplicates(docs).filter("class_id <> doc_id").select("doc_id")
-    return docs.join(other, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near duplicates one row, that of the smallest doc_id; repeated rows and null ids are judged too."""
+    return minhash.keep_one(docs)
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +27,10 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaks."""
-    found = leaks.benchmark_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Rows into which no benchmark item leaks, each judged by its own text (by a hash of it), whatever its doc_id."""
+    rows = docs.withColumn("__text", F.xxhash64("text"))
+    found = leaks.benchmark_leaks(rows.select(F.col("__text").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("__text")).distinct()
+    return rows.join(found, "__text", "left_anti").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

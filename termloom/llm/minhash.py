@@ -143,26 +143,34 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return max(plain, least / (float(wa.sum()) + float(wb.sum()) - least))
 
 
-def _sketches(docs: DataFrame) -> DataFrame:
-    """key (of the text's words, or of the text where it has none), doc_id, bands, bits."""
-    schema = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text, digest (of the text, null as empty) of every row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest("text").alias("digest"))
+
+
+def digest(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
+def _sketches(rows: DataFrame) -> DataFrame:
+    """key (of the text's words, or of the text where it has none), digest, bands, bits."""
+    schema = pa.schema([("key", pa.binary()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in slices(batches, ("doc_id", "text")):
-            rows = []
-            for doc_id, text in zip(ids, texts, strict=True):
+        for digests, texts in slices(batches, ("digest", "text")):
+            out = []
+            for own, text in zip(digests, texts, strict=True):
                 found = WORD.findall((text or "").lower())
                 key = xxhash.xxh3_128_digest((" ".join(found) if found else "\0" + (text or "")).encode())
-                rows.append((key, doc_id, *(x.view(np.int64).tolist() for x in bands(text))))
-            yield record(schema, rows)
+                out.append((key, own, *(x.view(np.int64).tolist() for x in bands(text))))
+            yield record(schema, out)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(run, "key binary, doc_id long, bands array<long>, bits array<long>")
+    return rows.select("digest", "text").mapInArrow(run, "key binary, digest binary, bands array<long>, bits array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs a, b whose texts are similar, checked on their shingles. Only texts that stand in a pair are moved."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    side = lambda c, t: texts.select(F.col("doc_id").alias(c), F.col("text").alias(t))
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs a, b whose texts (node, text) are similar, checked on their shingles."""
+    side = lambda c, t: texts.select(F.col("node").alias(c), F.col("text").alias(t))
     both = pairs.join(side("a", "ta"), "a").join(side("b", "tb"), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,48 +191,53 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _split(rows: DataFrame, all_bands: DataFrame) -> DataFrame:
     """Members of large buckets dealt anew by bucket and each further band."""
-    return rows.join(all_bands.select("doc_id", F.col("bucket").alias("more")), "doc_id").select("doc_id", "component", "bits", F.xxhash64("bucket", "more").alias("bucket")).distinct()
+    return rows.join(all_bands.select("node", F.col("bucket").alias("more")), "node").select("node", "component", "bits", F.xxhash64("bucket", "more").alias("bucket")).distinct()
 
 
 def _across(members: DataFrame) -> DataFrame:
-    """bucket, doc_id, component -> adds the members of the bucket and the pairs of members in different components."""
+    """bucket, node, component -> adds the members of the bucket and the pairs of members in different components."""
     by_component = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     facts = by_component.groupBy("bucket").agg(F.sum("n").alias("members"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("parts"))
     return members.join(facts.filter("parts > 1").selectExpr("bucket", "members", "(members * members - squares) / 2 AS pairs"), "bucket")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, class_id (the smallest doc_id of its group) and n_links.
+def _grouped(rows: DataFrame, ids: bool) -> tuple[DataFrame, DataFrame]:
+    """Of rows (see _rows): digest -> node, and node -> component, n_links, for nodes with links.
 
-    Texts with the same words are copies; without words, equal texts are (null as empty). Copies stay together
-    and only the one with the smallest doc_id is compared with other texts; n_links counts its links to those.
-    Rows with a null doc_id are left out; rows that share a doc_id count as one document
-    (in the bands of any of its texts, with the smallest of their bits).
+    Texts with the same words are copies; without words, equal texts are (null as empty). Copies are one node, and one
+    of their texts is compared with other nodes; n_links counts a node's links to those. With ``ids``, the nodes of
+    rows that share a doc_id are in one component.
     """
-    own = docs.select("doc_id", "text")
-    sketches = written(_sketches(own), "sketches")
-    groups = sketches.groupBy("key").agg(F.min("doc_id").alias("class"))
-    first = written(sketches.join(groups, "key").select("doc_id", "class", "bands", "bits"), "classes")
-    buckets = written(first.filter("doc_id = class").select("doc_id", F.explode("bands").alias("bucket")).distinct(), "buckets")
+    sketches = written(_sketches(rows), "sketches")
+    nodes = written(sketches.groupBy("key").agg(F.first(F.struct("digest", "bands", "bits")).alias("own")).select("key", "own.*", F.monotonically_increasing_id().alias("node")), "nodes")
+    places = written(sketches.select("key", "digest").distinct().join(nodes.select("key", "node"), "key").select("digest", "node"), "places")
+    joined = lambda links: links.select("a", "b")
+    if ids:
+        held = rows.select("doc_id", "digest").distinct().join(places, "digest").select("doc_id", "node").distinct()
+        several = held.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("top")).filter("a < top").select("doc_id", "a")
+        same = written(held.join(several, "doc_id").select("a", F.col("node").alias("b")).filter("a <> b"), "same")
+        joined = lambda links: links.select("a", "b").union(same)
+    buckets = written(nodes.select("node", F.explode("bands").alias("bucket")).distinct(), "buckets")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    bits = first.filter("doc_id = class").groupBy("doc_id").agg(F.min("bits").alias("bits"))
-    members = written(buckets.join(shared, "bucket").join(bits, "doc_id"), "members")
+    members = written(buckets.join(shared, "bucket").join(nodes.select("node", "bits"), "node"), "members")
+    own = nodes.select("node", "digest").join(members.select("node").distinct(), "node")
+    texts = written(rows.groupBy("digest").agg(F.first("text").alias("text")).join(own, "digest").select("node", "text"), "texts")
     # an original shares more buckets with its copies than they do with each other: the best known member is the centre
-    known = members.groupBy("doc_id").agg(F.sum("n").alias("met"))
-    ranked = members.join(known, "doc_id").select("bucket", F.struct("met", (-F.col("doc_id")).alias("id"), "bits").alias("known"), F.struct(F.xxhash64("bucket", "doc_id").alias("h"), (-F.col("doc_id")).alias("id"), "bits").alias("drawn"))
+    known = members.groupBy("node").agg(F.sum("n").alias("met"))
+    ranked = members.join(known, "node").select("bucket", F.struct("met", (-F.col("node")).alias("id"), "bits").alias("known"), F.struct(F.xxhash64("bucket", "node").alias("h"), (-F.col("node")).alias("id"), "bits").alias("drawn"))
     chosen = ranked.groupBy("bucket").agg(F.max("known").alias("k"), F.max("drawn").alias("x"), F.min("drawn").alias("y"))
     centres = chosen.select("bucket", F.explode(F.array(*(F.struct((-F.col(c)["id"]).alias("id"), F.col(c)["bits"].alias("bits")) for c in "kxy"))).alias("centre")).select("bucket", F.col("centre.id").alias("centre"), F.col("centre.bits").alias("own"))
-    near = members.join(centres, "bucket").filter((F.col("doc_id") != F.col("centre")) & _close(F.col("bits"), F.col("own")))
-    stars = near.select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).distinct()
+    near = members.join(centres, "bucket").filter((F.col("node") != F.col("centre")) & _close(F.col("bits"), F.col("own")))
+    stars = near.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
     stars = written(stars, "stars")
-    links = written(_verified(stars, own), "links")
-    parts = components(links)
-    rows = members.join(parts, members["doc_id"] == parts["node"], "left").select("bucket", "doc_id", "bits", F.coalesce("component", "doc_id").alias("component"))
+    links = written(_verified(stars, texts), "links")
+    parts = components(joined(links))
+    rows = members.join(parts, "node", "left").select("bucket", "node", "bits", F.coalesce("component", "node").alias("component"))
     rest, found = written(_across(rows), "rest"), None
     # each round cuts large buckets by six more rows of the signature; members that agree on all of them are compared in blocks
     for last in (False, False, True):
         small = rest if last else rest.filter(F.col("pairs") <= DIRECT * F.col("members"))
-        left, right = (small.select("bucket", F.col("doc_id").alias(i), F.col("component").alias(f"c{i}"), F.col("bits").alias(f"bits_{i}")) for i in "ab")
+        left, right = (small.select("bucket", F.col("node").alias(i), F.col("component").alias(f"c{i}"), F.col("bits").alias(f"bits_{i}")) for i in "ab")
         pairs = left.join(right, "bucket").filter(F.expr("a < b and ca <> cb") & _close(F.col("bits_a"), F.col("bits_b"))).select("a", "b").distinct()
         found = pairs if found is None else found.union(pairs)
         if last:
@@ -232,11 +245,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         large = rest.filter(F.col("pairs") > DIRECT * F.col("members"))
         if large.isEmpty():
             break
-        rest = written(_across(_split(large.select("bucket", "doc_id", "component", "bits"), buckets)), "rest")
-    extra = written(_verified(found.distinct().join(stars, ["a", "b"], "left_anti"), own), "links")
+        rest = written(_across(_split(large.select("bucket", "node", "component", "bits"), buckets)), "rest")
+    extra = written(_verified(found.distinct().join(stars, ["a", "b"], "left_anti"), texts), "links")
     links = links.union(extra)
     if not extra.isEmpty():
-        parts = components(links)
+        parts = components(joined(links))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = parts.join(degree, "node", "left")
-    return first.join(known, first["class"] == known["node"], "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "class")).alias("class_id"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    return places, written(parts.join(degree, "node", "left"), "parts")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row a doc_id: doc_id, class_id (the smallest doc_id of its group) and n_links (the most links of its texts).
+
+    Rows with a null doc_id are left out (keep_one judges them); rows that share a doc_id count as one document.
+    """
+    rows = _rows(docs).filter("doc_id is not null")
+    places, parts = _grouped(rows, ids=True)
+    held = rows.select("doc_id", "digest").distinct().join(places, "digest").select("doc_id", "node").distinct()
+    low = held.groupBy("node").agg(F.min("doc_id").alias("low")).join(parts, "node", "left").select("node", "low", "n_links", F.coalesce("component", "node").alias("component"))
+    named = low.join(low.groupBy("component").agg(F.min("low").alias("class_id")), "component").select("node", "class_id", "n_links")
+    return held.join(named, "node").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Of each group of near duplicates one row, with all its columns: that of the smallest doc_id, a null one last.
+
+    A row is known by doc_id, text and a hash of all its columns; of rows equal in these, one stays. Rows that share a
+    doc_id are judged each by its own text.
+    """
+    places, parts = _grouped(_rows(docs), ids=False)
+    who = ["__digest", "__null", "__id", "__row"]
+    rows = docs.withColumns({"__digest": digest("text"), "__null": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__row": F.xxhash64(*docs.columns)})
+    least = rows.groupBy("__digest").agg(F.min(F.struct("__null", "__id", "__row")).alias("least"))
+    group = places.join(parts, "node", "left").select(F.col("digest").alias("__digest"), F.coalesce("component", "node").alias("group"))
+    first = least.join(group, "__digest").groupBy("group").agg(F.min(F.struct("least.__null", "least.__id", "__digest", "least.__row")).alias("first")).select(*(f"first.{c}" for c in who))
+    return rows.join(first, who, "left_semi").dropDuplicates(who).select(docs.columns)
