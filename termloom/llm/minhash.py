@@ -6,10 +6,11 @@ their regions overlap. A dart has a rank (its height) and one of K coordinates;
 dart. As many darts are thrown as fill all coordinates almost surely; a set with an empty coordinate throws twice
 as many. Equal values at a coordinate have the weighted Jaccard similarity as probability.
 
-Signatures are cut into bands. In each bucket every member is compared with the one that shares most buckets with
-others and with two that a hash chooses; members that are still in other components are then compared with each
-other, very large buckets after a split by further bands. Two bits of each coordinate say at once whether a pair
-can be similar at all; every link is then checked on the shingles themselves.
+Texts are similar by weighted or by plain shingles (each of weight 1), so those with repeated shingles have a
+signature of each kind. Signatures are cut into bands. In each bucket every member is compared with the one that
+shares most buckets with others and with two that a hash chooses; members that are still in other components are
+then compared with each other, very large buckets after a split by further bands. Two bits of each coordinate say at
+once whether a pair can be similar at all; every link is then checked on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -112,12 +113,23 @@ def sketch(elements: np.ndarray, weight: np.ndarray) -> np.ndarray:
         darts *= 2
 
 
-def bands(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit key for each band, and two bits of each coordinate packed into 64-bit words; no keys for a text without words."""
+def bands(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the bands, and two bits of each coordinate packed into 64-bit words, of the weighted set and of the plain one.
+
+    A text without words has no keys. Where no shingle repeats, both sets are the same and the plain one's bits are left out.
+    """
     elements, counts = shingles(text)
     if not len(elements):
-        return np.zeros(0, np.uint64), np.zeros(2 * PLANES, np.uint64)
-    signature = sketch(elements, weights(counts))
+        return np.zeros(0, np.uint64), np.zeros(2 * PLANES, np.uint64), np.zeros(0, np.uint64)
+    key, bits = _signed(sketch(elements, weights(counts)))
+    if counts.max() == 1:
+        return key, bits, np.zeros(0, np.uint64)
+    plain_key, plain_bits = _signed(sketch(elements, np.ones(len(elements))))
+    return np.concatenate([key, plain_key]), bits, plain_bits
+
+
+def _signed(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit key for each band, and the packed bits."""
     planes = np.zeros((2, 64 * PLANES), np.uint8)
     planes[0, :K], planes[1, :K] = signature & np.uint64(1), (signature >> np.uint64(1)) & np.uint64(1)
     key, signature = np.arange(BANDS, dtype=np.uint64), signature.reshape(BANDS, ROWS)
@@ -127,7 +139,12 @@ def bands(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _close(a: Column, b: Column) -> Column:
-    """Whether the bits of two signatures allow the texts to be similar."""
+    """Whether the bits of two texts (weighted, and plain where it differs) allow them to be similar by either measure."""
+    plain = lambda x: F.when(F.size(x["plain"]) > 0, x["plain"]).otherwise(x["weighted"])
+    return _agree(a["weighted"], b["weighted"]) | (((F.size(a["plain"]) > 0) | (F.size(b["plain"]) > 0)) & _agree(plain(a), plain(b)))
+
+
+def _agree(a: Column, b: Column) -> Column:
     differ = [F.bit_count(a[i].bitwiseXOR(b[i]).bitwiseOR(a[PLANES + i].bitwiseXOR(b[PLANES + i]))) for i in range(PLANES)]
     return functools.reduce(operator.add, differ) <= DIFFER
 
@@ -154,7 +171,7 @@ def digest(text: str) -> Column:
 
 def _sketches(rows: DataFrame) -> DataFrame:
     """key (of the text's words, or of the text where it has none), digest, bands, bits."""
-    schema = pa.schema([("key", pa.binary()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+    schema = pa.schema([("key", pa.binary()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("weighted", pa.list_(pa.int64())), ("plain", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for digests, texts in slices(batches, ("digest", "text")):
@@ -165,7 +182,8 @@ def _sketches(rows: DataFrame) -> DataFrame:
                 out.append((key, own, *(x.view(np.int64).tolist() for x in bands(text))))
             yield record(schema, out)
 
-    return rows.select("digest", "text").mapInArrow(run, "key binary, digest binary, bands array<long>, bits array<long>")
+    found = rows.select("digest", "text").mapInArrow(run, "key binary, digest binary, bands array<long>, weighted array<long>, plain array<long>")
+    return found.select("key", "digest", "bands", F.struct("weighted", "plain").alias("bits"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
