@@ -2,8 +2,9 @@
 
 Passages are runs of words under TF-IDF with hashed features. A randomised SVD, one pass over the passages in
 which tasks add up their part of the product with a random matrix, gives a latent space. Benchmark items, a stated
-query set taken in blocks, are compared by cosine with every window of every document; candidates are then checked by
-the longest common subsequence of words and by whether the item's last sentence (its answer) stands in the window.
+query set taken in blocks, are compared by cosine with every window of every document. Every window that holds enough
+of an item's words is checked by the longest common subsequence of words and by whether the item's last sentence (its
+answer) stands in the window; the cosine is returned and drops nothing.
 """
 
 from __future__ import annotations
@@ -25,11 +26,9 @@ FEATURES, BLOCK, DIMENSIONS, EXTRA, BAND = 4096, 12, 40, 8, 64
 PASSAGE = 5 * BLOCK
 #: Windows of so many blocks; an item of n words is sought in the first that holds it whole wherever it begins.
 SCALES = (3, 5, 7, *(12 << k for k in range(20)))
-#: Least cosine of a candidate; least share of an item's words in order, without and with its answer.
-COSINE, ALONE, WITH_ANSWER, ANSWER = 0.15, 0.8, 0.6, 0.8
+#: Least share of an item's words in order, without and with its answer; least share of the answer.
+ALONE, WITH_ANSWER, ANSWER = 0.8, 0.6, 0.8
 ITEMS = 5000
-#: The latent space is fitted on about so many documents, chosen by a hash of their id; every document is searched.
-FIT_DOCS = 20_000
 
 _words: dict[str, int] = {}
 
@@ -184,7 +183,7 @@ def windows(words: np.ndarray, space: np.ndarray, scales: list[int]) -> Iterator
         yield scale, z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
 
-def search(table: DataFrame, items: list[dict], space: np.ndarray, cosine: float = COSINE) -> DataFrame:
+def search(table: DataFrame, items: list[dict], space: np.ndarray) -> DataFrame:
     """doc, item_id, cosine, share, answer of the best window of each document and item that pass the checks."""
     shared = table.sparkSession.sparkContext.broadcast((items, space))  # at most ITEMS items and a matrix of fixed size
     schema = pa.schema([("doc", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("share", pa.float64()), ("answer", pa.float64())])
@@ -227,7 +226,7 @@ def search(table: DataFrame, items: list[dict], space: np.ndarray, cosine: float
                     sums = np.hstack([np.zeros((len(hits), 1), np.float32), np.cumsum(hits, axis=1)])
                     width = min(SCALES[scale], len(starts))
                     enough = (sums[:, width:] - sums[:, :-width]) >= least[scale][own][:, None]
-                    for at, j in zip(*(x.tolist() for x in np.nonzero((near >= cosine) & enough.T)), strict=True):
+                    for at, j in zip(*(x.tolist() for x in np.nonzero(enough.T)), strict=True):
                         item = of[scale][own[j]]
                         share, answer = checked(words[at * BLOCK : (at + SCALES[scale]) * BLOCK].tolist(), item)
                         if (share >= ALONE or share >= WITH_ANSWER and answer >= ANSWER) and (share, answer) > best.get(item["id"], (0, 0, 0))[:2]:
@@ -248,14 +247,13 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     table = word_table(docs)
     idf = inverse_frequencies(table)
-    share = FIT_DOCS / max(1, table.count())
-    space = latent_space(table if share >= 1 else table.filter(F.pmod(F.xxhash64("doc"), F.lit(1 << 20)) < int(share * (1 << 20))), idf)
+    space = latent_space(table, idf)
     queries = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     blocks = max(1, -(-queries.count() // (ITEMS * 4 // 5)))
     numbered = queries.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     found = spark.createDataFrame([], "doc long, item_id long, cosine double, share double, answer double")
     for b in range(blocks):
         items = [i for r in numbered.filter(F.col("block") == b).collect() if (i := described(r["item_id"], r["text"]))]
-        if items and space.shape[1]:
+        if items:
             found = found.unionByName(search(table, items, space))
     return found.groupBy(F.col("doc").alias("doc_id"), "item_id").agg(F.max(F.struct("share", "answer", "cosine")).alias("best")).select("doc_id", "item_id", "best.cosine", "best.share", "best.answer")
