@@ -220,10 +220,11 @@ def _across(members: DataFrame) -> DataFrame:
 
 
 def _grouped(rows: DataFrame, ids: bool) -> tuple[DataFrame, DataFrame]:
-    """Of rows (see _rows): digest -> node, and node -> component, n_links, for nodes with links.
+    """Of rows (see _rows): digest -> node, and node -> component, join_links, for nodes with links.
 
     Texts with the same words are copies; without words, equal texts are (null as empty). Copies are one node, and one
-    of their texts is compared with other nodes; n_links counts a node's links to those. With ``ids``, the nodes of
+    of their texts is compared with other nodes; join_links counts a node's links that
+    were verified to join the group (see near_duplicates). With ``ids``, the nodes of
     rows that share a doc_id are in one component.
     """
     sketches = written(_sketches(rows), "sketches")
@@ -268,21 +269,24 @@ def _grouped(rows: DataFrame, ids: bool) -> tuple[DataFrame, DataFrame]:
     links = links.union(extra)
     if not extra.isEmpty():
         parts = components(joined(links))
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("join_links"))
     return places, written(parts.join(degree, "node", "left"), "parts")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row a doc_id: doc_id, class_id (the smallest doc_id of its group) and n_links (the most links of its texts).
+    """One row a doc_id: doc_id, class_id (the smallest doc_id of its group) and join_links.
+
+    join_links is the most verified links that any of its texts was joined to its group by. It isn't the number of
+    similar texts: a text is compared with some centres, and pairs already in one component are not compared.
 
     Rows with a null doc_id are left out (keep_one judges them); rows that share a doc_id count as one document.
     """
     rows = _rows(docs).filter("doc_id is not null")
     places, parts = _grouped(rows, ids=True)
     held = rows.select("doc_id", "digest").distinct().join(places, "digest").select("doc_id", "node").distinct()
-    low = held.groupBy("node").agg(F.min("doc_id").alias("low")).join(parts, "node", "left").select("node", "low", "n_links", F.coalesce("component", "node").alias("component"))
-    named = low.join(low.groupBy("component").agg(F.min("low").alias("class_id")), "component").select("node", "class_id", "n_links")
-    return held.join(named, "node").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    low = held.groupBy("node").agg(F.min("doc_id").alias("low")).join(parts, "node", "left").select("node", "low", "join_links", F.coalesce("component", "node").alias("component"))
+    named = low.join(low.groupBy("component").agg(F.min("low").alias("class_id")), "component").select("node", "class_id", "join_links")
+    return held.join(named, "node").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max(F.coalesce("join_links", F.lit(0))).alias("join_links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

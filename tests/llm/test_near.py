@@ -22,3 +22,11 @@ def test_near_duplicates_by_plain_shingles(spark):
     assert all(minhash.similarity(sets[2 * i], sets[2 * i + 1]) >= minhash.SIMILAR for i in range(40))
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i - i % 2 for i in range(80)}
+
+
+def test_links_are_named_for_what_they_count(spark):
+    text = prose(200)
+    rows = [(i, f"{text} w{i}") for i in range(30)]  # each is similar to 29 others
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.columns == ["doc_id", "class_id", "join_links"]
+    assert all(r["class_id"] == 0 and 1 <= r["join_links"] <= 29 for r in found.collect())
