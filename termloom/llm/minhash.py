@@ -8,9 +8,9 @@ as many. Equal values at a coordinate have the weighted Jaccard similarity as pr
 
 Texts are similar by weighted or by plain shingles (each of weight 1), so those with repeated shingles have a
 signature of each kind. Signatures are cut into bands. In each bucket every member is compared with the one that
-shares most buckets with others and with two that a hash chooses; members that are still in other components are
-then compared with each other, very large buckets after a split by further bands. Two bits of each coordinate say at
-once whether a pair can be similar at all; every link is then checked on the shingles themselves.
+shares most buckets with others and with two that a hash chooses. Members that are still in different components
+after that are compared in blocks of a bucket, each pair in one of its buckets only. Two bits of each coordinate say
+inside the join whether a pair can be similar at all; every link is then checked on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -34,12 +34,13 @@ SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 40, 6
 K = BANDS * ROWS
 #: Darts that a set throws at first: K coordinates are all filled, but for one set in twenty.
 DARTS = K * np.log(K) + 3 * K
-#: Pairs of a bucket's members are compared by their bits directly up to so many a member; above, further bands split it.
-DIRECT = 1000
+#: Members of a bucket are compared in blocks of about so many, so that a large bucket is many tasks' work.
+BLOCK = 2000
 #: Two bits of each coordinate are kept, in PLANES longs a bit. Sets at the threshold differ in 36 of 240 coordinates with
-#: a deviation of 5.5; pairs that differ in more than five deviations above that are no candidates.
+#: a deviation of 5.5; pairs that differ in more than three deviations above that are no candidates. One pair in 750
+#: right at the threshold is lost so, and practically none from 0.82 on (tests/llm/test_recall.py measures it).
 PLANES = -(-K // 64)
-DIFFER = int(0.75 * (1 - SIMILAR) * K + 5 * (K * 0.75 * (1 - SIMILAR) * (1 - 0.75 * (1 - SIMILAR))) ** 0.5)
+DIFFER = int(0.75 * (1 - SIMILAR) * K + 3 * (K * 0.75 * (1 - SIMILAR) * (1 - 0.75 * (1 - SIMILAR))) ** 0.5)
 WORD = re.compile(r"\w+")
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: P(at most n darts in a cell) for rate 1, as 64-bit thresholds.
@@ -174,9 +175,15 @@ def _sketches(rows: DataFrame) -> DataFrame:
     schema = pa.schema([("key", pa.binary()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("weighted", pa.list_(pa.int64())), ("plain", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[bytes] = set()  # copies in this task are sketched once
         for digests, texts in slices(batches, ("digest", "text")):
             out = []
+            if len(done) > 500_000:
+                done.clear()
             for own, text in zip(digests, texts, strict=True):
+                if own in done:
+                    continue
+                done.add(own)
                 found = WORD.findall((text or "").lower())
                 key = xxhash.xxh3_128_digest((" ".join(found) if found else "\0" + (text or "")).encode())
                 out.append((key, own, *(x.view(np.int64).tolist() for x in bands(text))))
@@ -207,16 +214,24 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "a long, b long, similarity double").distinct()
 
 
-def _split(rows: DataFrame, all_bands: DataFrame) -> DataFrame:
-    """Members of large buckets dealt anew by bucket and each further band."""
-    return rows.join(all_bands.select("node", F.col("bucket").alias("more")), "node").select("node", "component", "bits", F.xxhash64("bucket", "more").alias("bucket")).distinct()
+def _apart(members: DataFrame, nodes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs a, b of nodes in different components that share a bucket and are close by their bits, each pair once.
 
-
-def _across(members: DataFrame) -> DataFrame:
-    """bucket, node, component -> adds the members of the bucket and the pairs of members in different components."""
-    by_component = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    facts = by_component.groupBy("bucket").agg(F.sum("n").alias("members"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("parts"))
-    return members.join(facts.filter("parts > 1").selectExpr("bucket", "members", "(members * members - squares) / 2 AS pairs"), "bucket")
+    ``members``: bucket, node, component, bits; ``nodes``: node, bands. A bucket's members are dealt into blocks by a
+    hash, and each pair of blocks is one key of the join, so no task holds more of a bucket than two blocks. A pair is
+    taken in the smallest of the buckets it shares.
+    """
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
+    cells = F.ceil(F.col("n") / block).cast("int")
+    own = members.join(sizes.select("bucket", cells.alias("cells")), "bucket").join(nodes.select("node", "bands"), "node").withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
+    own = written(own, "rest")
+    side = lambda i: F.struct("node", "component", "bits", "bands").alias(i)
+    left = own.select("bucket", F.col("cell").alias("low"), F.explode(F.sequence(F.col("cell"), F.col("cells") - 1)).alias("high"), side("x"))
+    right = own.select("bucket", F.explode(F.sequence(F.lit(0), F.col("cell"))).alias("low"), F.col("cell").alias("high"), side("y"))
+    once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("bucket")
+    # inside a block both orders of a pair meet, across blocks one
+    met = left.join(right, ["bucket", "low", "high"]).filter(((F.col("low") < F.col("high")) | (F.col("x.node") < F.col("y.node"))) & (F.col("x.component") != F.col("y.component")) & _close(F.col("x.bits"), F.col("y.bits")) & once)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
 def _grouped(rows: DataFrame, ids: bool) -> tuple[DataFrame, DataFrame]:
@@ -251,21 +266,9 @@ def _grouped(rows: DataFrame, ids: bool) -> tuple[DataFrame, DataFrame]:
     stars = written(stars, "stars")
     links = written(_verified(stars, texts), "links")
     parts = components(joined(links))
-    rows = members.join(parts, "node", "left").select("bucket", "node", "bits", F.coalesce("component", "node").alias("component"))
-    rest, found = written(_across(rows), "rest"), None
-    # each round cuts large buckets by six more rows of the signature; members that agree on all of them are compared in blocks
-    for last in (False, False, True):
-        small = rest if last else rest.filter(F.col("pairs") <= DIRECT * F.col("members"))
-        left, right = (small.select("bucket", F.col("node").alias(i), F.col("component").alias(f"c{i}"), F.col("bits").alias(f"bits_{i}")) for i in "ab")
-        pairs = left.join(right, "bucket").filter(F.expr("a < b and ca <> cb") & _close(F.col("bits_a"), F.col("bits_b"))).select("a", "b").distinct()
-        found = pairs if found is None else found.union(pairs)
-        if last:
-            break
-        large = rest.filter(F.col("pairs") > DIRECT * F.col("members"))
-        if large.isEmpty():
-            break
-        rest = written(_across(_split(large.select("bucket", "node", "component", "bits"), buckets)), "rest")
-    extra = written(_verified(found.distinct().join(stars, ["a", "b"], "left_anti"), texts), "links")
+    # a component may still hold nodes near another one's: only pairs across components are left to compare
+    rest = members.join(parts, "node", "left").select("bucket", "node", "bits", F.coalesce("component", "node").alias("component"))
+    extra = written(_verified(_apart(rest, nodes).join(stars, ["a", "b"], "left_anti"), texts), "links")
     links = links.union(extra)
     if not extra.isEmpty():
         parts = components(joined(links))
