@@ -8,13 +8,19 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import islice
 
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
 #: The characters of Unicode's White_Space property.
 WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: Letters (all of them of Unicode category L) that a word may be cut after, where an ASCII sign that is no letter follows:
+#: the vocabulary's own pattern ends a run of letters there too.
+LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+CHUNK = re.compile(f" ?[{LETTER}]++(?=[{WHITE}\\x00-\\x40\\x5b-\\x60\\x7b-\\x7f]|\\Z)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: Inside a chunk: what Python splits lines at though Unicode has it as no white space, and what starts a special token.
+ODD = re.compile("[\x1c-\x1f|]")
 KEPT, LONG, AT_ONCE = 800_000, 64, 2_000
 
 _encoders: dict[str, Encoder] = {}
@@ -45,7 +51,7 @@ class Encoder:
         for c in chunks:
             if len(c) <= LONG and (c[1:] if c[0] == " " else c).isalpha():
                 letters.append(c)
-            elif c.isspace() or len(c) > LONG or "|" in c or any(x.isspace() for x in c[1:]):
+            elif len(c) > LONG or c.isspace() or ODD.search(c):
                 self.known[c] = self.whole(c)
             else:
                 plain.append(c)
@@ -65,7 +71,7 @@ class Encoder:
         if not self.by_chunk:
             return [self.whole(t) for t in texts]
         if len(self.known) > KEPT:
-            self.known.clear()
+            self.known = dict(islice(self.known.items(), KEPT // 4))  # chunks that were met first are the frequent ones
         chunked, fresh = [CHUNK.findall(t) for t in texts], set()
         for chunks in chunked:
             fresh.update(set(chunks).difference(self.known))
