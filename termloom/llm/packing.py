@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,53 +38,49 @@ def point(ids: np.ndarray) -> np.ndarray:
     return (1 / (1 + np.exp(-np.clip(v, -30, 30))) * (2**BITS - 1)).astype(np.int64)
 
 
-def hilbert(x: list[int], bits: int = BITS) -> int:
-    """The place of a point on the Hilbert curve (Skilling's transform)."""
-    x, n = list(x), len(x)
-    q = 1 << (bits - 1)
-    while q > 1:
-        p = q - 1
+def hilbert(x: list, bits: int = BITS):
+    """The place of a point on the Hilbert curve (Skilling's transform); coordinates may be arrays, one entry a point."""
+    x, n = [np.asarray(v, np.int64) for v in x], len(x)
+    for b in range(bits - 1, 0, -1):
+        q = 1 << b
         for i in range(n):
-            if x[i] & q:
-                x[0] ^= p
-            else:
-                t = (x[0] ^ x[i]) & p
-                x[0] ^= t
-                x[i] ^= t
-        q >>= 1
+            high, t = (x[i] & q) != 0, (x[0] ^ x[i]) & (q - 1)
+            first = x[0] ^ np.where(high, q - 1, t)
+            if i:
+                x[i] = x[i] ^ np.where(high, 0, t)
+            x[0] = first
     for i in range(1, n):
-        x[i] ^= x[i - 1]
-    t, q = 0, 1 << (bits - 1)
-    while q > 1:
-        if x[n - 1] & q:
-            t ^= q - 1
-        q >>= 1
-    key = 0
+        x[i] = x[i] ^ x[i - 1]
+    t = np.zeros_like(x[0])
+    for b in range(bits - 1, 0, -1):
+        t = t ^ np.where(x[n - 1] & (1 << b), (1 << b) - 1, 0)
+    key = np.zeros_like(x[0])
     for b in range(bits - 1, -1, -1):
         for i in range(n):
             key = key << 1 | ((x[i] ^ t) >> b) & 1
-    return key
+    return key if np.ndim(key) else int(key)
 
 
 def ordered_ids(docs: DataFrame, tokenizer: str, end_id: int = END) -> DataFrame:
-    """doc_id, n_tokens, ids, curve and the number of ids before each document in curve order.
+    """doc_id, n_tokens, ids, and the number of ids before each document in curve order.
 
-    Ties on the curve stand by doc_id (null first), then by ids; rows that are wholly equal are interchangeable.
+    Ties on the curve stand by doc_id (null first), then by a 128-bit hash of the ids; rows that are wholly equal are
+    interchangeable. Only keys and lengths are range-sorted; ids are written once and joined by row.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        schema = pa.schema([("doc_id", pa.int64()), ("curve", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("curve", pa.int64()), ("mark", pa.binary()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
         end = np.array([end_id], enc.dtype).tobytes()
         for doc_ids, texts in slices(batches, ("doc_id", "text")):
-            rows = []
-            for doc_id, raw in zip(doc_ids, enc.ids([t or "" for t in texts]), strict=True):
-                ids = np.frombuffer(raw, enc.dtype)
-                rows.append((doc_id, hilbert(point(ids).tolist()), len(ids) + 1, raw + end))
-            yield record(schema, rows)
-
-    coded = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, curve long, n_tokens long, ids binary"), "coded")
-    return running_total(coded, [F.col("curve"), F.col("doc_id").asc_nulls_first(), F.col("ids")], "n_tokens", "before")
+            coded = enc.ids([t or "" for t in texts])
+            curve = hilbert(list(np.array([point(np.frombuffer(raw, enc.dtype)) for raw in coded]).T)).tolist()
+            yield record(schema, [(d, c, xxhash.xxh3_128_digest(raw), len(raw) // enc.dtype.itemsize + 1, raw + end) for d, c, raw in zip(doc_ids, curve, coded, strict=True)])
+
+    coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, curve long, mark binary, n_tokens long, ids binary")
+    coded = written(coded.withColumn("row", F.monotonically_increasing_id()), "coded")
+    places = running_total(coded.select("row", "curve", "doc_id", "mark", "n_tokens"), [F.col("curve"), F.col("doc_id").asc_nulls_first(), F.col("mark")], "n_tokens", "before")
+    return coded.select("row", "doc_id", "n_tokens", "ids").join(places.select("row", "before"), "row")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = END) -> DataFrame:
