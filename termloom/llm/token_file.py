@@ -25,6 +25,8 @@ from termloom.llm.bpe import encoder
 from termloom.llm.storage import filesystem, new_dir, publish, shuffles_dropped
 
 END, SAMPLE, BLOCK = 2, 256, 2048
+#: Bytes of text that one file, and so one task, takes at most, about.
+FILE_BYTES = 256 << 20
 
 
 class EliasFano:
@@ -77,12 +79,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """Write the ids of all documents in ascending doc_id order; returns the manifest, which is written last.
 
     ``docs`` has doc_id and text; other columns are ignored. A null text is empty and has the end id alone; null
-    ids come first; rows that share a doc_id stand by text. Only files that the manifest names count: a task
-    writes to a temporary name and renames, so a lost executor leaves no half file behind.
+    ids come first; rows that share a doc_id stand by a hash of their text, then by text, and may be split over files.
+    Only files that the manifest names count: a task writes to a temporary name and renames, so a lost executor leaves
+    no half file behind. There are as many files as shuffle partitions, more where they would pass FILE_BYTES of text.
     """
     spark = docs.sparkSession
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    total = 0 if files else docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
     schema = pa.schema([("file", pa.string()), ("shard", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

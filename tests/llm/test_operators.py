@@ -99,6 +99,7 @@ def test_warc_files_are_the_same_again(spark, tmp_path):
 def test_tokens_are_the_library_s():
     t, enc = Tokenizer.from_file(PATH), bpe.Encoder(PATH)
     texts = [t or "" for _, t in TEXTS] + ["a   b  c", "x\n \ny", " \t lead", "trail  ", "it's 12,5!! <|endoftext|> z<|endoftext|>", "a  b \x1c c", "z" * 500, "\n", "a|b\x85c"]
+    texts += ["it's We'LL don't, é's x'd", "word—next a,b;c ǅabc ʰabc aʰ, ßx² 12abc abc12 _a_ a_b", "İstanbul’s ͅa á, b", "a\x1cb |x| <|endoftext|>,a", "ªº µm Ⅷa aⅧ, 中文,字 a中"]
     for text, raw in zip(texts, enc.ids(texts), strict=True):
         assert np.frombuffer(raw, enc.dtype).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
@@ -114,6 +115,19 @@ def test_token_files(docs, empty):
     assert token_file.token_ids(empty).count() == 0
 
 
+def test_one_doc_id_in_many_files(spark):
+    """Rows that share a doc_id may fall into several files; their order and places hold."""
+    rows = [(None if i % 3 == 0 else 5, f"text {i} " * (i % 7)) for i in range(200)] + [(6, "last")]
+    got = sorted(token_file.token_ids(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r["start"])
+    t, at = Tokenizer.from_file(PATH), 0
+    assert [r["doc_id"] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    crc = lambda text: zlib.crc32(np.array(t.encode(text, add_special_tokens=False).ids + [2], "<u4").tobytes())
+    assert Counter(r["ids_crc32"] for r in got) == Counter(crc(x) for _, x in rows)
+
+
 def test_elias_fano():
     for values in ([0], [5, 5, 5], [0, 1, 2**40], np.sort(rng.integers(0, 10**7, 3000)).tolist(), list(range(1000))):
         head, raw = token_file.EliasFano.encode(np.array(values))
