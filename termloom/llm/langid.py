@@ -2,165 +2,198 @@
 
 A known word scores by its log frequency in each language. A word that no language knows backs off: its longest
 known n-grams score instead, from LONGEST characters down to one, with a penalty for each step.
+
+The model is fitted on at most FIT_ROWS distinct labelled texts of each language, whole, and keeps every word and
+n-gram of them. Words and n-grams are known by 64-bit hashes in sorted arrays.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.llm.batches import record, slices
+from termloom.llm.storage import written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST, BACK_OFF = 5, math.log(0.4)
-#: The size of a model, whatever the corpus: the most frequent words and n-grams of each language.
-WORDS, GRAMS, KEPT, CUT = 30_000, 30_000, 200_000, 30
-
-
-def runs(text: str | None) -> list[str]:
-    """Runs of letters and of what counts as one in a word, in lower case."""
-    return LETTERS.findall(text.lower()) if text else []
-
-
-def pieces(run: str) -> list[str]:
-    """The words of a run: pieces of CUT characters, without those that have no letter."""
-    if len(run) <= CUT and run.isalpha():
-        return [run]
-    return [w for i in range(0, len(run), CUT) if any(map(str.isalpha, w := run[i : i + CUT]))]
-
-
-def count_words(labelled: DataFrame) -> DataFrame:
-    """text, lang -> lang, word, n over all rows; nulls do not count."""
-    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+#: Distinct labelled texts of each language that a model is fitted on, at most; those of the smallest hashes are taken.
+FIT_ROWS = 4000
+#: Scored words that a worker remembers, and the length from which words are scored anew each time.
+KEPT, LONG = 200_000, 64
+#: Languages up to this number are joined to rows as a broadcast table.
+FEW = 10_000
+M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def words(text: str | None) -> list[str]:
+    """Runs of letters and of what counts as one in a word, in lower case; at least one sign is a letter."""
+    return [w for w in LETTERS.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))] if text else []
+
+
+def word_keys(found: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in found), np.uint64, len(found))
+
+
+def gram_keys(found: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For n from LONGEST to 1: n, hashes of all n-grams of the words, each word between blanks, and the word of each."""
+    code = np.frombuffer(" ".join(["", *found, ""]).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) + 2
+    # words share the blanks between them: word i begins at begin[i] and ends with the blank at begin[i + 1]
+    begin = np.cumsum(sizes - 1) - (sizes - 1)
+    h = np.zeros(len(code), np.uint64)
+    levels = []
+    for n in range(1, LONGEST + 1):
+        h = h[: len(code) - n + 1]
+        h = (h ^ code[n - 1 :]) * M1
+        h ^= h >> np.uint64(29)
+        count = np.maximum(sizes - n + 1, 0)
+        of = np.repeat(np.arange(len(found)), count)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + begin[of]
+        if n == 1:  # a blank alone says nothing
+            kept = code[at] != 32
+            of, at = of[kept], at[kept]
+        levels.append((n, h[at] * M2, of))
+    yield from reversed(levels)
+
+
+def counts(labelled: DataFrame) -> DataFrame:
+    """text, lang -> lang, level (0: words, n: n-grams), key, n over all rows."""
+    schema = pa.schema([("lang", pa.string()), ("level", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
+        def part(lang: str, level: int, keys: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
+            own, at = np.unique(keys, return_inverse=True)
+            n = np.bincount(at, weights=weights, minlength=len(own)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(np.full(len(own), level, np.int32)), pa.array(own.view(np.int64)), pa.array(n)], schema=schema)
 
-        def drain() -> Iterator[pa.RecordBatch]:
-            for lang, c in counts.items():
-                split = [(w, n) for run, n in c.items() for w in pieces(run)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(split), pa.string()), pa.array([w for w, _ in split], pa.string()), pa.array([n for _, n in split], pa.int64())], schema=schema)
-            counts.clear()
-
-        for texts, langs in slices(batches, ("text", "lang")):
+        for texts, langs in slices(batches, ("text", "lang"), 1024):
+            by: dict[str, list[str]] = {}
             for text, lang in zip(texts, langs, strict=True):
-                counts.setdefault(lang, Counter()).update(runs(text))
-            if sum(map(len, counts.values())) > KEPT:
-                yield from drain()
-        yield from drain()
+                by.setdefault(lang, []).extend(words(text))
+            for lang, found in by.items():
+                distinct, n = np.unique(np.array(found, object), return_counts=True) if found else ([], np.zeros(0, np.int64))
+                if not len(distinct):
+                    continue
+                distinct = distinct.tolist()
+                yield part(lang, 0, word_keys(distinct), n)
+                for level, keys, of in gram_keys(distinct):
+                    yield part(lang, level, keys, n[of])
 
-    found = labelled.filter("text is not null and lang is not null").select("text", "lang").mapInArrow(count, "lang string, word string, n long")
-    return found.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return labelled.select("text", "lang").mapInArrow(count, "lang string, level int, key long, n long").groupBy("lang", "level", "key").agg(F.sum("n").alias("n"))
 
 
 class Model:
-    """Log frequencies of words and n-grams, a row of one value a language."""
+    """Log frequencies of words (level 0) and n-grams (level n), a row of one value a language, by sorted keys."""
 
-    def __init__(self, langs: list[str], word_rows: list[tuple], gram_rows: list[tuple], totals: dict[str, tuple[int, int]]) -> None:
+    def __init__(self, langs: list[str], table: pa.Table) -> None:
         self.langs = langs
-        at = {lang: i for i, lang in enumerate(langs)}
-        self.words, self.word_scores = self._table(word_rows, at, np.array([totals[x][0] for x in langs], float))
-        self.grams, self.gram_scores = self._table(gram_rows, at, np.array([totals[x][1] for x in langs], float))
-        self._forget()
-
-    @staticmethod
-    def _table(rows: list[tuple], at: dict[str, int], totals: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
-        keys: dict[str, int] = {}
-        for _, key, _ in rows:
-            keys.setdefault(key, len(keys))
-        counts = np.zeros((len(keys), len(at)))
-        for lang, key, n in rows:
-            counts[keys[key], at[lang]] = n
-        return keys, np.log((counts + 0.1) / (totals + 1))
-
-    def _forget(self) -> None:
-        """Runs scored before: their rows in ``scores``, the last column of which counts their words."""
+        place = {lang: i for i, lang in enumerate(langs)}
+        lang = np.array([place[x] for x in table["lang"].combine_chunks().dictionary_encode().dictionary.to_pylist()] or [0])
+        which = lang[table["lang"].combine_chunks().dictionary_encode().indices.to_numpy()] if table.num_rows else np.zeros(0, np.int64)
+        level, key, n = table["level"].to_numpy(), table["key"].to_numpy().view(np.uint64), table["n"].to_numpy()
+        total = np.zeros((2, len(langs)))
+        np.add.at(total, ((level > 0).astype(int), which), n)
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        for k in range(LONGEST + 1):
+            own = level == k
+            keys, at = np.unique(key[own], return_inverse=True)
+            score = np.zeros((len(keys), len(langs)))
+            score[at, which[own]] = n[own]
+            self.levels.append((keys, np.log((score + 0.1) / (total[min(k, 1)] + 1))))
         self.known: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(self.langs) + 1))
-
-    def _learn(self, fresh: list[str]) -> None:
-        word, word_of, gram, starts, sizes, gram_of, penalty = [], [], [], [], [], [], []
-        out = np.zeros((len(fresh), len(self.langs) + 1))
-        for i, run in enumerate(fresh):
-            for w in pieces(run):
-                out[i, -1] += 1
-                if (found := self.words.get(w)) is not None:
-                    word.append(found)
-                    word_of.append(i)
-                    continue
-                framed = f" {w} "
-                for n in range(LONGEST, 0, -1):
-                    hits = [g for k in range(len(framed) - n + 1) if (g := self.grams.get(framed[k : k + n])) is not None]
-                    if hits:
-                        starts.append(len(gram))
-                        sizes.append(len(hits))
-                        gram_of.append(i)
-                        penalty.append(BACK_OFF * (LONGEST - n + 1))
-                        gram += hits
-                        break
-        if word:
-            np.add.at(out[:, :-1], word_of, self.word_scores[word])
-        if gram:
-            means = np.add.reduceat(self.gram_scores[gram], starts, axis=0) / np.array(sizes)[:, None]
-            np.add.at(out[:, :-1], gram_of, means + np.array(penalty)[:, None])
-        begin = len(self.known)
-        self.known.update(zip(fresh, range(begin, begin + len(fresh)), strict=True))
-        if len(self.known) > len(self.scores):
-            self.scores = np.vstack([self.scores[:begin], np.zeros((2 * len(self.known) - begin, out.shape[1]))])
-        self.scores[begin : len(self.known)] = out
+        self.scores = np.zeros((0, len(langs)))
+
+    def _look(self, level: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys the level has, and where those are."""
+        own = self.levels[level][0]
+        if not len(own):
+            return np.zeros(len(keys), bool), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+        hit = own[at] == keys
+        return hit, at[hit]
+
+    def score(self, found: list[str]) -> np.ndarray:
+        """A row for each word."""
+        out = np.zeros((len(found), len(self.langs)))
+        hit, at = self._look(0, word_keys(found))
+        out[hit] = self.levels[0][1][at]
+        left = np.flatnonzero(~hit)
+        if not len(left):
+            return out
+        open_words = np.ones(len(left), bool)
+        for n, keys, of in gram_keys([found[i] for i in left]):
+            own = open_words[of]
+            keys, of = keys[own], of[own]
+            hit, at = self._look(n, keys)
+            if not hit.any():
+                continue
+            of = of[hit]
+            here, begin, size = np.unique(of, return_index=True, return_counts=True)
+            out[left[here]] = np.add.reduceat(self.levels[n][1][at], begin, axis=0) / size[:, None] + BACK_OFF * (LONGEST - n + 1)
+            open_words[here] = False
+        return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and its probability; ``und`` and 0 without letters. Of languages with equal scores the first by name."""
         if not self.langs:
             return [("und", 0.0)] * len(texts)
-        split = [runs(t) for t in texts]
+        split = [words(t) for t in texts]
         if len(self.known) > KEPT:
-            self._forget()
-        fresh: set[str] = set()
-        for found in split:
-            fresh.update(set(found).difference(self.known))
+            self.known, self.scores = {}, self.scores[:0]
+        fresh = sorted({w for found in split for w in found if len(w) <= LONG and w not in self.known})
         if fresh:
-            self._learn(sorted(fresh))
+            begin = len(self.known)
+            if begin + len(fresh) > len(self.scores):
+                self.scores = np.vstack([self.scores[:begin], np.zeros((begin + 2 * len(fresh), len(self.langs)))])
+            self.scores[begin : begin + len(fresh)] = self.score(fresh)
+            self.known.update(zip(fresh, range(begin, begin + len(fresh)), strict=True))
         out = []
         for found in split:
-            total = self.scores[np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))].sum(axis=0)
-            if not total[-1]:
+            if not found:
                 out.append(("und", 0.0))
                 continue
-            p = np.exp(total[:-1] - total[:-1].max())
+            at = np.fromiter((self.known.get(w, -1) for w in found), np.int64, len(found))
+            total = self.scores[at[at >= 0]].sum(axis=0)
+            if (at < 0).any():
+                total = total + self.score([w for w, i in zip(found, at, strict=True) if i < 0]).sum(axis=0)
+            p = np.exp(total - total.max())
             best = int(p.argmax())
             out.append((self.langs[best], round(float(p[best] / p.sum()), 6)))
         return out
 
 
-def train(labelled: DataFrame, n_words: int = WORDS, n_grams: int = GRAMS) -> Model:
-    """Counts over all labelled rows; the model keeps the most frequent entries of each language (ties by text)."""
-    from termloom.llm.storage import written
+def fit_sample(labelled: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """text, lang: at most ``rows`` distinct texts of each language, all of them where there are no more.
 
-    counts = written(count_words(labelled), "words")
-    grams = counts.select("lang", "n", F.concat(F.lit(" "), "word", F.lit(" ")).alias("w")).select(
-        "lang", "n", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda k: F.when(F.length("w") >= k, F.transform(F.sequence(F.lit(1), F.length("w") - k + 1), lambda i: F.substr(F.col("w"), i, k))).otherwise(F.array().cast("array<string>"))))).alias("gram")
-    )
-    grams = written(grams.filter("gram <> ' '").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    Texts are ranked by a hash. Rows beyond about four times the wanted rank are left out before copies are merged (by
+    their hash, on the map side first), so neither a frequent language nor a text of many copies gathers in a task.
+    """
+    own = labelled.filter("text is not null and lang is not null").select("lang", "text", (F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(2.0**53)).alias("u"))
+    sizes = written(own.groupBy("lang").agg(F.count("*").alias("n")), "language-sizes")
+    known = F.broadcast(sizes) if sizes.count() <= FEW else sizes
+    chosen = written(own.join(known, "lang").filter(F.col("u") < F.lit(4.0 * rows) / F.col("n")).groupBy("lang", "u").agg(F.first("text").alias("text")), "labelled")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("u"))
+    last = chosen.select("lang", "u").withColumn("rank", rank).filter(F.col("rank") <= rows).groupBy("lang").agg(F.max("u").alias("last"))
+    return chosen.join(last, "lang").filter("u <= last").select("text", "lang")
 
-    def top(df: DataFrame, key: str, k: int) -> list[tuple]:
-        langs = [r["lang"] for r in df.select("lang").distinct().collect()]  # languages are few
-        return [tuple(r) for lang in sorted(langs) for r in df.filter(F.col("lang") == lang).orderBy(F.desc("n"), key).limit(k).select("lang", key, "n").collect()]
 
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    gram_totals = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    return Model(sorted(totals), top(counts, "word", n_words), top(grams, "gram", n_grams), {k: (n, gram_totals.get(k, 0)) for k, n in totals.items()})
+def train(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
+    """The counts are at most those of ``rows`` texts a language; languages without words are no languages of the model."""
+    table = counts(fit_sample(labelled, rows)).toArrow()
+    return Model(sorted(set(table["lang"].to_pylist())), table)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, text -> doc_id, lang_pred, score for every row; ``und`` with score 0 where a text is null or has no letter."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and GRAMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by FIT_ROWS
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +203,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(predict, "doc_id long, lang_pred string, score double")
 
 
-def held_out(doc_id):
+def held_out(doc_id: str) -> Column:
     """Documents that training never sees."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
@@ -180,7 +213,11 @@ def train_on(docs: DataFrame) -> Model:
 
 
 def document_languages(docs: DataFrame) -> DataFrame:
-    """Learn from the documents that are not held out, predict all. A null doc_id is not held out."""
+    """Learn from the documents that are not held out, predict all. A null doc_id is not held out.
+
+    Repeated rows are predicted each, and learned from once. An empty table gives an empty table; other columns than
+    doc_id, text and lang are ignored.
+    """
     return identify(docs, train_on(docs)).select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
@@ -196,7 +233,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
                 if shared.value.langs:
                     kept = [lang != "und" and score >= least for lang, score in shared.value.predict(texts)]
                 else:
-                    kept = [any(map(pieces, runs(t))) for t in texts]
+                    kept = [bool(words(t)) for t in texts]
                 yield part.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(choose, docs.schema)
