@@ -42,7 +42,7 @@ BLOCK = 2000
 PLANES = -(-K // 64)
 DIFFER = int(0.75 * (1 - SIMILAR) * K + 3 * (K * 0.75 * (1 - SIMILAR) * (1 - 0.75 * (1 - SIMILAR))) ** 0.5)
 WORD = re.compile(r"\w+")
-M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+M1, M2, M3, M4 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x5851F42D4C957F2D)
 #: P(at most n darts in a cell) for rate 1, as 64-bit thresholds.
 POISSON = np.array([min(2**64 - 1, int(p * 2**64)) for p in np.cumsum([np.exp(-1) / np.prod(np.arange(1, n + 1), dtype=float) for n in range(12)])], np.uint64)
 
@@ -94,21 +94,18 @@ def sketch(elements: np.ndarray, weight: np.ndarray) -> np.ndarray:
         cell = mix(element ^ mix(column.astype(np.uint64)))
         cell = mix((cell[:, None] + np.arange(tall, dtype=np.uint64)[None, :] * M2).ravel())
         limit, row = np.repeat(limit, tall), np.tile(np.arange(tall), len(element))
-        ids, ranks = [], []
-        at = np.arange(len(cell))
-        for k in range(len(POISSON)):
-            at = at[cell[at] > POISSON[k]]
-            if not len(at):
-                break
-            dart = mix(cell[at] ^ np.uint64((k + 1) * 0x5851F42D4C957F2D & (2**64 - 1)))
-            rank = row[at] + unit(mix(dart ^ M3))
-            hit = (unit(dart) < limit[at]) & (rank < high)
-            ids.append(dart[hit])
-            ranks.append(rank[hit])
-        dart, rank = np.concatenate(ids) if ids else np.zeros(0, np.uint64), np.concatenate(ranks) if ranks else np.zeros(0)
+        # a cell's hash says how many darts it holds
+        count = np.searchsorted(POISSON, cell)
+        at = np.repeat(np.arange(len(cell)), count)
+        k = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+        dart = mix(cell[at] ^ ((k + 1).astype(np.uint64) * M4))
+        rank = row[at] + unit(mix(dart ^ M3))
+        hit = (unit(dart) < limit[at]) & (rank < high)
+        dart, rank = dart[hit], rank[hit]
         coordinate = mix(dart ^ M2) % np.uint64(K)
         order = np.argsort((coordinate << np.uint64(55)) | (rank * (2.0**54 / high)).astype(np.uint64))
-        first = order[np.unique(coordinate[order], return_index=True)[1]]
+        sorted_by = coordinate[order]
+        first = order[np.concatenate([[True], sorted_by[1:] != sorted_by[:-1]])] if len(order) else order
         if len(first) == K:
             return dart[first]
         darts *= 2
@@ -258,7 +255,8 @@ def _grouped(rows: DataFrame, ids: bool) -> tuple[DataFrame, DataFrame]:
     texts = written(rows.groupBy("digest").agg(F.first("text").alias("text")).join(own, "digest").select("node", "text"), "texts")
     # an original shares more buckets with its copies than they do with each other: the best known member is the centre
     known = members.groupBy("node").agg(F.sum("n").alias("met"))
-    ranked = members.join(known, "node").select("bucket", F.struct("met", (-F.col("node")).alias("id"), "bits").alias("known"), F.struct(F.xxhash64("bucket", "node").alias("h"), (-F.col("node")).alias("id"), "bits").alias("drawn"))
+    # one hash for all buckets, so that buckets which share members draw the same centres and compare each pair once
+    ranked = members.join(known, "node").select("bucket", F.struct("met", (-F.col("node")).alias("id"), "bits").alias("known"), F.struct(F.xxhash64("node").alias("h"), (-F.col("node")).alias("id"), "bits").alias("drawn"))
     chosen = ranked.groupBy("bucket").agg(F.max("known").alias("k"), F.max("drawn").alias("x"), F.min("drawn").alias("y"))
     centres = chosen.select("bucket", F.explode(F.array(*(F.struct((-F.col(c)["id"]).alias("id"), F.col(c)["bits"].alias("bits")) for c in "kxy"))).alias("centre")).select("bucket", F.col("centre.id").alias("centre"), F.col("centre.bits").alias("own"))
     near = members.join(centres, "bucket").filter((F.col("node") != F.col("centre")) & _close(F.col("bits"), F.col("own")))
