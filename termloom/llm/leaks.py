@@ -1,10 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages are runs of words under TF-IDF with hashed features. A randomised SVD, one pass over the passages in
-which tasks add up their part of the product with a random matrix, gives a latent space. Benchmark items, a stated
-query set taken in blocks, are compared by cosine with every window of every document. Every window that holds enough
-of an item's words is checked by the longest common subsequence of words and by whether the item's last sentence (its
-answer) stands in the window; the cosine is returned and drops nothing.
+Passages are runs of words under TF-IDF: frequencies of hashed words, features by a shorter hash. A randomised SVD, one
+pass over the passages in which tasks add up their part of the product with a random matrix, gives a latent space.
+Benchmark items, a stated query set taken in blocks, are compared by cosine with every window of every document. A window
+and an item of at least COSINE are candidates; they are checked by the longest common subsequence of words and by
+whether the item's last sentence (its answer) stands in the window.
 """
 
 from __future__ import annotations
@@ -22,13 +22,20 @@ from termloom.llm.batches import record, slices
 from termloom.llm.storage import written
 
 WORD = re.compile(r"\w+")
-FEATURES, BLOCK, DIMENSIONS, EXTRA, BAND = 4096, 12, 40, 8, 64
+FEATURES, BLOCK, DIMENSIONS, EXTRA, BAND = 2048, 12, 128, 16, 64
 PASSAGE = 5 * BLOCK
+#: Counters of document frequencies. Inverse frequencies count to this power: function words say nothing of a passage.
+COUNTERS, POWER = 1 << 18, 1.5
 #: Windows of so many blocks; an item of n words is sought in the first that holds it whole wherever it begins.
 SCALES = (3, 5, 7, *(12 << k for k in range(20)))
+#: A window is a candidate for an item from this cosine. README.md has the share of windows and the recall at it.
+COSINE = 0.3
 #: Least share of an item's words in order, without and with its answer; least share of the answer.
 ALONE, WITH_ANSWER, ANSWER = 0.8, 0.6, 0.8
-ITEMS = 5000
+#: Items in a block, and words whose vectors are made at a time.
+ITEMS, AT_ONCE = 50_000, 16_000
+#: Longer texts are searched in parts of so many words that overlap by the widest window.
+PART = 8192 * BLOCK
 
 _words: dict[str, int] = {}
 
@@ -47,8 +54,13 @@ def feature(words: np.ndarray) -> np.ndarray:
     return (words & np.uint32(FEATURES - 1)).astype(np.int64)
 
 
-def sign(words: np.ndarray) -> np.ndarray:
-    return 1.0 - 2.0 * ((words >> np.uint32(31)) & np.uint32(1))
+def counter(words: np.ndarray) -> np.ndarray:
+    return ((words >> np.uint32(12)) & np.uint32(COUNTERS - 1)).astype(np.int64)
+
+
+def weight(words: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The inverse frequency of each word with a random sign."""
+    return idf[counter(words)] * (1 - 2 * (words >> np.uint32(31)).astype(np.float32))
 
 
 def scale_of(n_words: int) -> int:
@@ -63,49 +75,67 @@ def word_table(docs: DataFrame) -> DataFrame:
         for ids, texts in slices(batches, ("doc_id", "text")):
             yield record(schema, [(d, h.tobytes()) for d, t in zip(ids, texts, strict=True) if len(h := hashed(t))])
 
-    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(run, "doc long, words binary"), "word-hashes")
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc long, words binary"), "word-hashes")
 
 
 def inverse_frequencies(table: DataFrame) -> np.ndarray:
-    """log((1 + documents) / (1 + documents with the feature)) for each feature, over all documents."""
-    schema = pa.schema([("feature", pa.int32()), ("n", pa.int64())])
+    """log((1 + documents) / (1 + documents with the counter)) to the power, for each counter, over all documents."""
+    schema = pa.schema([("counter", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros(FEATURES + 1, np.int64)
+        totals, last = np.zeros(COUNTERS + 1, np.int64), np.zeros(COUNTERS, np.int64)
         for (rows,) in slices(batches, ("words",)):
             for raw in rows:
-                totals[:FEATURES] += np.bincount(feature(np.frombuffer(raw, np.uint32)), minlength=FEATURES) > 0
-            totals[FEATURES] += len(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(FEATURES + 1), pa.int32()), pa.array(totals)], schema=schema)
+                own = counter(np.frombuffer(raw, np.uint32))
+                place = np.arange(len(own))
+                last[own] = place
+                totals[own[last[own] == place]] += 1  # once for each document
+            totals[COUNTERS] += len(rows)
+        at = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(totals[at])], schema=schema)
 
-    found = table.mapInArrow(count, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # FEATURES + 1 rows
-    n = np.zeros(FEATURES + 1)
-    for r in found:
-        n[r["feature"]] = r["n"]
-    return np.log((1 + n[FEATURES]) / (1 + n[:FEATURES])) + 0.05
+    found = table.mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS + 1 rows
+    n = np.zeros(COUNTERS + 1)
+    n[found["counter"].to_numpy()] = found["n"].to_numpy()
+    return (np.maximum(np.log((1 + n[COUNTERS]) / (1 + n[:COUNTERS])), 0.05) ** POWER).astype(np.float32)
 
 
 def latent_space(table: DataFrame, idf: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """FEATURES x dimensions: TF-IDF weights times the leading right singular vectors, each scaled to unit variance.
+    """FEATURES x dimensions: the leading right singular vectors of the passages' unit TF-IDF rows, each scaled to unit variance.
 
-    One pass: with A the passages' TF-IDF rows and R a random matrix, tasks add up A'(A R); Nystroem's formula
-    turns that product into eigenvectors of A'A.
+    One pass: with A the rows and R a random matrix, tasks add up A'(A R); Nystroem's formula turns that product into
+    eigenvectors of A'A.
     """
-    random = np.random.default_rng(5).standard_normal((FEATURES, dimensions + EXTRA))
-    weighted = (random * idf[:, None]).astype(np.float32)
-    shape, length = (FEATURES, dimensions + EXTRA), PASSAGE
+    shape = (FEATURES, dimensions + EXTRA)
+    random = np.random.default_rng(5).standard_normal(shape)
+    shared = table.sparkSession.sparkContext.broadcast((idf, random.astype(np.float32)))  # of fixed size
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, r = shared.value
         total = np.zeros(shape)
+
+        def add(rows: list[np.ndarray]) -> None:
+            words, sizes = np.concatenate(rows), np.array([len(x) for x in rows])
+            passages = -(-sizes // PASSAGE)
+            of = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            of = of // PASSAGE + np.repeat(np.cumsum(passages) - passages, sizes)
+            n = int(passages.sum())
+            a = np.bincount(of * FEATURES + feature(words), weights=weight(words, idf), minlength=n * FEATURES).astype(np.float32).reshape(n, FEATURES)
+            a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-9)
+            total[:] += a.T @ (a @ r)
+
+        held, size = [], 0
         for (rows,) in slices(batches, ("words",)):
-            words = np.concatenate([np.frombuffer(r, np.uint32) for r in rows])
-            sizes = np.array([len(r) // 4 for r in rows])
-            cuts = np.concatenate([at + np.arange(0, n, length) for at, n in zip(np.cumsum(sizes) - sizes, sizes, strict=True)])
-            f, s = feature(words), sign(words).astype(np.float32)
-            y = np.add.reduceat(weighted[f] * s[:, None], cuts, axis=0)
-            back = np.repeat(y, np.diff(np.append(cuts, len(words))), axis=0) * (s * idf[f].astype(np.float32))[:, None]
-            for k in range(shape[1]):
-                total[:, k] += np.bincount(f, weights=back[:, k], minlength=FEATURES)
+            for raw in rows:
+                words = np.frombuffer(raw, np.uint32)
+                for at in range(0, len(words), 100 * PASSAGE):  # a very long text is taken a hundred passages at a time
+                    held.append(words[at : at + 100 * PASSAGE])
+                    size += len(held[-1])
+                    if size > 2 * AT_ONCE:
+                        add(held)
+                        held, size = [], 0
+        if held:
+            add(held)
         yield record(schema, [(b, total[b * BAND : (b + 1) * BAND].tobytes()) for b in range(FEATURES // BAND)])
 
     schema = pa.schema([("band", pa.int32()), ("part", pa.binary())])
@@ -124,13 +154,13 @@ def latent_space(table: DataFrame, idf: np.ndarray, dimensions: int = DIMENSIONS
         product[r["band"] * BAND : (r["band"] + 1) * BAND] = np.frombuffer(r["part"]).reshape(BAND, -1)
     shift = 1e-9 * max(np.linalg.norm(product), 1e-9)
     core = random.T @ (product + shift * random)
-    vectors, values = np.linalg.eigh((core + core.T) / 2)
-    good = vectors > vectors.max() * 1e-12 if len(vectors) else vectors > 0
-    half = values[:, good] / np.sqrt(vectors[good])
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    good = values > values.max(initial=0) * 1e-5
+    half = vectors[:, good] / np.sqrt(values[good])
     left, singular, _ = np.linalg.svd((product + shift * random) @ half, full_matrices=False)
-    keep = singular > singular.max(initial=0) * 1e-6
+    keep = singular > singular.max(initial=0) * 1e-2  # below is rounding, tasks multiply in single precision
     left, singular = left[:, keep][:, :dimensions], singular[keep][:dimensions]
-    return (left / singular * singular.max(initial=1) * idf[:, None]).astype(np.float32)
+    return (left / singular * singular.max(initial=1)).astype(np.float32)
 
 
 def common(masks: dict[int, int], size: int, words: list[int]) -> int:
@@ -154,7 +184,7 @@ def checked(window: list[int], item: dict) -> tuple[float, float]:
     """Shares of the item and of its answer that stand in the window, in order."""
     hits = [w for w in window if w in item["masks"]]
     n = item["n"]
-    if len(hits) < WITH_ANSWER * n:
+    if len(hits) < WITH_ANSWER * n:  # a window can hold no more of an item in order than words that the item has at all
         return 0.0, 0.0
     share = common(item["masks"], n, hits) / n
     if share < WITH_ANSWER:
@@ -172,67 +202,82 @@ def described(item_id: int | None, text: str | None) -> dict | None:
     return {"id": item_id, "words": words, "n": len(words), "masks": masks_of(words.tolist()), "answer": masks_of(answer), "n_answer": len(answer), "scale": scale_of(len(words))}
 
 
-def windows(words: np.ndarray, space: np.ndarray, scales: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each scale the unit vectors of its windows, the k-th of which begins at block k."""
-    rows = space[feature(words)] * sign(words).astype(np.float32)[:, None]
-    blocks = np.add.reduceat(rows, np.arange(0, len(words), BLOCK), axis=0)
-    sums = np.vstack([np.zeros((1, space.shape[1]), np.float32), np.cumsum(blocks, axis=0)])
-    for scale in scales:
-        width = min(SCALES[scale], len(blocks))
-        z = sums[width:] - sums[:-width]
-        yield scale, z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+def vectors(words: np.ndarray, starts: np.ndarray, space: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The sums of the words' latent vectors from each start to the next, a few words at a time."""
+    out = np.zeros((len(starts), space.shape[1]), np.float32)
+    f, w = feature(words), weight(words, idf)
+    ends, at = np.append(starts[1:], len(words)), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + AT_ONCE, "right")))
+        own = slice(starts[at], ends[to - 1])
+        rows = space[f[own]]
+        rows *= w[own, None]
+        np.add.reduceat(rows, starts[at:to] - starts[at], axis=0, out=out[at:to])
+        at = to
+    return out
+
+
+def unit(z: np.ndarray) -> np.ndarray:
+    return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+
 
+def found_in(docs: list[np.ndarray], space: np.ndarray, idf: np.ndarray, items: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int, int, float, int]]:
+    """Candidates (document, first block, scale, cosine, item's place) of documents that have words.
 
-def search(table: DataFrame, items: list[dict], space: np.ndarray) -> DataFrame:
-    """doc, item_id, cosine, share, answer of the best window of each document and item that pass the checks."""
-    shared = table.sparkSession.sparkContext.broadcast((items, space))  # at most ITEMS items and a matrix of fixed size
+    ``items``: for each scale the unit vectors of its items and their places.
+    """
+    sizes = np.array([len(d) for d in docs])
+    blocks = -(-sizes // BLOCK)
+    first = np.cumsum(blocks) - blocks
+    starts = np.repeat(np.cumsum(sizes) - sizes, blocks) + (np.arange(int(blocks.sum())) - np.repeat(first, blocks)) * BLOCK
+    sums = np.vstack([np.zeros((1, space.shape[1])), np.cumsum(vectors(np.concatenate(docs), starts, space, idf), axis=0, dtype=np.float64)])
+    for scale, (matrix, places) in items.items():
+        width = np.minimum(SCALES[scale], blocks)
+        count = blocks - width + 1
+        doc = np.repeat(np.arange(len(docs)), count)
+        block = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+        for at in range(0, len(doc), AT_ONCE // 4):
+            own, begin = doc[at : at + AT_ONCE // 4], block[at : at + AT_ONCE // 4]
+            low = first[own] + begin
+            z = unit((sums[low + width[own]] - sums[low]).astype(np.float32))
+            for j in range(0, len(places), 4000):
+                near = z @ matrix[j : j + 4000].T
+                for i, k in zip(*(x.tolist() for x in np.nonzero(near >= COSINE)), strict=True):
+                    yield int(own[i]), int(begin[i]), scale, float(near[i, k]), int(places[j + k])
+
+
+def search(table: DataFrame, items: list[tuple], space: np.ndarray, idf: np.ndarray) -> DataFrame:
+    """doc, item_id, cosine, share, answer of the best window of each document and item that pass the checks.
+
+    ``items``: id, text.
+    """
+    own = [(i, t, w) for i, t in items if len(w := hashed(t))]
+    shared = table.sparkSession.sparkContext.broadcast((own, space, idf))  # at most ITEMS items, a matrix and counters of fixed size
     schema = pa.schema([("doc", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("share", pa.float64()), ("answer", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, space = shared.value
-        scales = sorted({i["scale"] for i in items})
-        of = {s: [i for i in items if i["scale"] == s] for s in scales}
-        known = np.unique(np.concatenate([i["words"] for i in items]))
-        held = np.zeros((len(items), len(known) + 1), np.float32)
-        for j, i in enumerate(items):
-            np.add.at(held[j], np.searchsorted(known, i["words"]), 1)
-        needed = np.array([WITH_ANSWER * i["n"] for i in items], np.float32)
-        rows_of = {s: np.array([j for j, i in enumerate(items) if i["scale"] == s]) for s in scales}
-        has = {s: (held[rows_of[s]] > 0).astype(np.float32) for s in scales}
-        least = {s: np.array([WITH_ANSWER * i["n"] for i in of[s]], np.float32) for s in scales}
-        matrix = {}
-        for s in scales:
-            z = np.array([(space[feature(i["words"])] * sign(i["words"]).astype(np.float32)[:, None]).sum(axis=0) for i in of[s]])
-            matrix[s] = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)).T
-        for found in slices(batches, ("doc", "words")):
-            rows = []
-            for doc, raw in zip(*found, strict=True):
-                words, best = np.frombuffer(raw, np.uint32), {}
-                place = np.searchsorted(known, words)
-                place[place == len(known)] = 0
-                place[known[place] != words] = len(known)
-                seen = np.unique(place)
-                # items of which the whole document has too few words can't pass the check in any window
-                open_items = held[:, seen[seen < len(known)]].sum(axis=1) >= needed
-                if not open_items.any():
-                    continue
-                starts = np.arange(0, len(words), BLOCK)
-                left = {s: np.flatnonzero(open_items[rows_of[s]]) for s in scales}
-                for scale, z in windows(words, space, [s for s in scales if len(left[s])]):
-                    own = left[scale]
-                    near = z @ matrix[scale][:, own]
-                    # a window can hold no more of an item in order than words that the item has at all
-                    hits = np.add.reduceat(has[scale][own][:, place], starts, axis=1)
-                    sums = np.hstack([np.zeros((len(hits), 1), np.float32), np.cumsum(hits, axis=1)])
-                    width = min(SCALES[scale], len(starts))
-                    enough = (sums[:, width:] - sums[:, :-width]) >= least[scale][own][:, None]
-                    for at, j in zip(*(x.tolist() for x in np.nonzero(enough.T)), strict=True):
-                        item = of[scale][own[j]]
-                        share, answer = checked(words[at * BLOCK : (at + SCALES[scale]) * BLOCK].tolist(), item)
-                        if (share >= ALONE or share >= WITH_ANSWER and answer >= ANSWER) and (share, answer) > best.get(item["id"], (0, 0, 0))[:2]:
-                            best[item["id"]] = (share, answer, float(near[at, j]))
-                rows += [(doc, i, round(c, 4), round(s, 4), round(a, 4)) for i, (s, a, c) in best.items()]
-            yield record(schema, rows)
+        items, space, idf = shared.value
+        z = unit(vectors(np.concatenate([w for *_, w in items]), np.cumsum([0, *(len(w) for *_, w in items[:-1])]), space, idf))
+        scale = np.array([scale_of(len(w)) for *_, w in items])
+        by_scale = {int(s): (z[scale == s], np.flatnonzero(scale == s)) for s in np.unique(scale)}
+        overlap = SCALES[int(scale.max())] * BLOCK
+        known: dict[int, dict] = {}  # items that have been candidates, as the checks need them
+        for ids, raws in slices(batches, ("doc", "words"), 64):
+            parts, best = [], {}
+            for d, raw in enumerate(raws):
+                words = np.frombuffer(raw, np.uint32)
+                for at in range(0, max(1, len(words) - overlap), PART):
+                    parts.append((d, words[at : at + PART + overlap]))
+            for i, block, s, cosine, k in found_in([w for _, w in parts], space, idf, by_scale):
+                d, words = parts[i]
+                if k not in known:
+                    if len(known) > 20_000:
+                        known.clear()
+                    known[k] = described(*items[k][:2])
+                share, answer = checked(words[block * BLOCK : (block + SCALES[s]) * BLOCK].tolist(), known[k])
+                if (share >= ALONE or share >= WITH_ANSWER and answer >= ANSWER) and (share, answer) > best.get((d, k), (0, 0, 0))[:2]:
+                    best[d, k] = (share, answer, cosine)
+            yield record(schema, [(ids[d], items[k][0], round(c, 4), round(s, 4), round(a, 4)) for (d, k), (s, a, c) in best.items()])
 
     return table.mapInArrow(run, "doc long, item_id long, cosine double, share double, answer double")
 
@@ -240,20 +285,20 @@ def search(table: DataFrame, items: list[dict], space: np.ndarray) -> DataFrame:
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and benchmark item that leaks into it: doc_id, item_id, cosine, share, answer.
 
-    Documents and items without words (null, empty) have no rows, nor have rows with a null doc_id. Rows of a
-    doc_id that occurs more than once count as its passages; of items with equal texts, each has its row,
-    and repeated rows of an item count once.
+    Documents and items without words (null, empty) have no rows. Rows of a doc_id that occurs more than once count
+    as its passages, and so do the rows with a null doc_id; of items with equal texts, each has its row, and repeated
+    rows of an item count once.
     """
     spark = docs.sparkSession
     table = word_table(docs)
     idf = inverse_frequencies(table)
     space = latent_space(table, idf)
-    queries = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    queries = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").distinct()
     blocks = max(1, -(-queries.count() // (ITEMS * 4 // 5)))
     numbered = queries.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     found = spark.createDataFrame([], "doc long, item_id long, cosine double, share double, answer double")
     for b in range(blocks):
-        items = [i for r in numbered.filter(F.col("block") == b).collect() if (i := described(r["item_id"], r["text"]))]
+        items = [(r["item_id"], r["text"]) for r in numbered.filter(F.col("block") == b).collect() if WORD.search(r["text"])]
         if items:
-            found = found.unionByName(search(table, items, space))
+            found = found.unionByName(search(table, items, space, idf))
     return found.groupBy(F.col("doc").alias("doc_id"), "item_id").agg(F.max(F.struct("share", "answer", "cosine")).alias("best")).select("doc_id", "item_id", "best.cosine", "best.share", "best.answer")
