@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.batches import record, slices
@@ -29,7 +29,6 @@ from termloom.llm.storage import written
 LENGTH, K, SEGMENT = 200, 32, 1 << 20
 #: Keys with at most so many different spans are compared inside one task.
 SMALL, CELL = 2000, 8
-NULL_ID = -(2**63)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x9E3779B97F4A7C15
 
@@ -85,32 +84,40 @@ def anchors(raw: bytes, length: int = LENGTH, k: int = K) -> Iterator[tuple[int,
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows that share a doc_id are told apart by their text."""
+    """doc_id, text (null as empty) and the row's key: doc (the id, or a hash of the text where that is null) and sig.
+
+    Rows that share a doc_id are told apart by sig, a 64-bit hash of their text, rows without one by 128 bits.
+    """
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumns(_key())
+
+
+def _key(prefix: str = "") -> dict[str, Column]:
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), (F.crc32(text.cast("binary")) - 2**31).cast("int").alias("sig"), text.alias("text"))
+    return {f"{prefix}doc": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text, F.lit("no id"))), f"{prefix}sig": F.xxhash64(text)}
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc, sig (of _keyed), begin, end: byte ranges whose union is all that repeated windows cover."""
     keyed = _keyed(docs)
-    fields = "doc long, sig int, key long, span long, first int, last int, anchor int"
-    schema = pa.schema([("doc", pa.int64()), ("sig", pa.int32()), ("key", pa.int64()), ("span", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("anchor", pa.int32())])
+    fields = "doc long, sig long, key long, span long, first int, last int, anchor int"
+    schema = pa.schema([("doc", pa.int64()), ("sig", pa.int64()), ("key", pa.int64()), ("span", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("anchor", pa.int32())])
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in slices(batches, ("doc", "sig", "text")):
             yield record(schema, [(doc, sig, *a) for doc, sig, text in zip(*found, strict=True) for a in anchors(text.encode(), length)])
 
     spans = written(keyed.filter(F.octet_length("text") >= length).mapInArrow(sample, fields), "spans")
-    shared = spans.groupBy("key").agg(F.count("*").alias("n"), (F.min("span") < F.max("span")).alias("differ")).filter("n > 1").select("key", "differ")
+    # grouped results are written before they are joined back, so that the join can split a key of many spans
+    shared = written(spans.groupBy("key").agg(F.count("*").alias("n"), (F.min("span") < F.max("span")).alias("differ")).filter("n > 1").select("key", "differ"), "shared-keys")
     kept = written(spans.join(shared, "key"), "shared-spans")
     # a span of each kind stands for the others; tuples of equal spans are counted, not gathered
     kinds = kept.filter("differ").groupBy("key", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc", "sig", "first", "last", "anchor")).alias("one"))
     kinds = written(kinds.select("key", "span", "n", "one.*"), "kinds")
     whole = kept.filter("not differ").select("doc", "sig", "first", "last").unionByName(kept.filter("differ").join(kinds.filter("n > 1").select("key", "span"), ["key", "span"], "left_semi").select("doc", "sig", "first", "last"))
     # the bytes of each kind's span, from its text
-    sizes = kinds.groupBy("key").agg(F.count("*").alias("kinds"))
+    sizes = written(kinds.groupBy("key").agg(F.count("*").alias("kinds")), "kinds-of-keys")
     opened = kinds.join(sizes, "key").groupBy("doc", "sig").agg(F.collect_list(F.struct("key", "kinds", "first", "last", "anchor", (F.col("n") == 1).alias("alone"))).alias("open"))  # bounded by the document's length
-    spans_of = pa.schema([("key", pa.int64()), ("kinds", pa.int64()), ("alone", pa.bool_()), ("doc", pa.int64()), ("sig", pa.int32()), ("first", pa.int32()), ("anchor", pa.int32()), ("bytes", pa.binary())])
+    spans_of = pa.schema([("key", pa.int64()), ("kinds", pa.int64()), ("alone", pa.bool_()), ("doc", pa.int64()), ("sig", pa.int64()), ("first", pa.int32()), ("anchor", pa.int32()), ("bytes", pa.binary())])
 
     def open_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in slices(batches, ("doc", "sig", "text", "open"), 64):
@@ -121,7 +128,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield record(spans_of, rows)
 
     texts = keyed.join(opened, ["doc", "sig"]).dropDuplicates(["doc", "sig"])
-    contents = written(texts.mapInArrow(open_spans, "key long, kinds long, alone boolean, doc long, sig int, first int, anchor int, bytes binary"), "contents")
+    contents = written(texts.mapInArrow(open_spans, "key long, kinds long, alone boolean, doc long, sig long, first int, anchor int, bytes binary"), "contents")
     return whole.select("doc", "sig", F.col("first").alias("begin"), (F.col("last") + length).alias("end")).unionByName(_in_small(contents.filter(F.col("kinds") <= SMALL), length)).unionByName(_in_large(contents.filter(F.col("kinds") > SMALL), length))
 
 
@@ -134,12 +141,12 @@ def runs(flags: np.ndarray, first: int, length: int) -> list[tuple[int, int]]:
     return [(first + int(at[a]), first + int(at[b]) + length) for a, b in zip([0, *(gaps + 1)], [*gaps, len(at) - 1], strict=True)]
 
 
-RANGE = "doc long, sig int, begin int, end int"
+RANGE = "doc long, sig long, begin int, end int"
 
 
 def _in_small(contents: DataFrame, length: int) -> DataFrame:
     """Keys of at most SMALL kinds: their spans meet in one task, many keys at a time, and windows are compared there."""
-    out = pa.schema([("doc", pa.int64()), ("sig", pa.int32()), ("begin", pa.int32()), ("end", pa.int32())])
+    out = pa.schema([("doc", pa.int64()), ("sig", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -175,7 +182,7 @@ def _in_large(contents: DataFrame, length: int) -> DataFrame:
     window, equal runs repeat in all theirs, and only where runs differ does each window become a row. Rows are
     counted by content; no group is gathered.
     """
-    runs_of = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("alone", pa.bool_()), ("doc", pa.int64()), ("sig", pa.int32()), ("first", pa.int32()), ("bytes", pa.binary())])
+    runs_of = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("alone", pa.bool_()), ("doc", pa.int64()), ("sig", pa.int64()), ("first", pa.int32()), ("bytes", pa.binary())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in slices(batches, ("key", "alone", "doc", "sig", "first", "anchor", "bytes"), 128):
@@ -192,11 +199,11 @@ def _in_large(contents: DataFrame, length: int) -> DataFrame:
                     at = end
             yield record(runs_of, rows)
 
-    cells = written(contents.mapInArrow(deal, "key long, content long, alone boolean, doc long, sig int, first int, bytes binary"), "cells")
-    facts = cells.groupBy("key").agg(F.count("*").alias("n"), (F.min("content") < F.max("content")).alias("differ")).filter("n > 1").select("key", "differ")
+    cells = written(contents.mapInArrow(deal, "key long, content long, alone boolean, doc long, sig long, first int, bytes binary"), "cells")
+    facts = written(cells.groupBy("key").agg(F.count("*").alias("n"), (F.min("content") < F.max("content")).alias("differ")).filter("n > 1").select("key", "differ"), "shared-cells")
     met = written(cells.join(facts, "key"), "met-cells")
     whole = met.filter("alone and not differ").select("doc", "sig", F.col("first").alias("begin"), (F.col("first") + F.octet_length("bytes")).alias("end"))
-    wide = pa.schema([("key", pa.int64()), ("alone", pa.bool_()), ("doc", pa.int64()), ("sig", pa.int32()), ("at", pa.int32()), ("content", pa.int64())])
+    wide = pa.schema([("key", pa.int64()), ("alone", pa.bool_()), ("doc", pa.int64()), ("sig", pa.int64()), ("at", pa.int32()), ("content", pa.int64())])
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in slices(batches, ("key", "alone", "doc", "sig", "first", "bytes"), 256):
@@ -206,8 +213,8 @@ def _in_large(contents: DataFrame, length: int) -> DataFrame:
                 rows += [(key, alone, doc, sig, first + i, x) for i, x in enumerate(h)]
             yield record(wide, rows)
 
-    single = written(met.filter("differ").mapInArrow(explode, "key long, alone boolean, doc long, sig int, at int, content long"), "windows")
-    twice = single.groupBy("key", "content").agg(F.count("*").alias("n")).filter("n > 1").select("key", "content")
+    single = written(met.filter("differ").mapInArrow(explode, "key long, alone boolean, doc long, sig long, at int, content long"), "windows")
+    twice = written(single.groupBy("key", "content").agg(F.count("*").alias("n")).filter("n > 1").select("key", "content"), "repeated-windows")
     return whole.unionByName(single.filter("alone").join(twice, ["key", "content"], "left_semi").select("doc", "sig", F.col("at").alias("begin"), (F.col("at") + length).alias("end")))
 
 
@@ -232,19 +239,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary).
 
     A null text is empty; texts shorter than ``length`` bytes lose nothing. Every copy of a repeated string goes.
-    Rows that are repeated whole count as documents of their own, so their texts go from ``length`` bytes up.
+    Rows that are repeated whole count as documents of their own, so their texts go from ``length`` bytes up; rows
+    with a null doc_id are documents too. Other columns are ignored.
     """
     keyed = _keyed(docs)
     ranges = repeated_ranges(docs, length).groupBy("doc", "sig").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))  # bounded by the document's length
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in slices(batches, ("doc", "text", "ranges"), 64):
+        for found in slices(batches, ("doc_id", "text", "ranges"), 64):
             rows = []
-            for doc, text, listed in zip(*found, strict=True):
+            for doc_id, text, listed in zip(*found, strict=True):
                 raw = text.encode()
                 kept, removed, runs = cut(raw, listed or [])
-                rows.append((None if doc == NULL_ID else doc, len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), kept))
+                rows.append((doc_id, len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), kept))
             yield record(schema, rows)
 
     return keyed.join(ranges, ["doc", "sig"], "left").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
@@ -256,8 +264,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Characters that a cut leaves incomplete go too. A row that loses all but white space goes; a row that loses
     nothing stays as it is.
     """
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("__sig", (F.crc32(text.cast("binary")) - 2**31).cast("int"))
+    keyed = docs.withColumns(_key("__"))
     ranges = repeated_ranges(docs, length).groupBy(F.col("doc").alias("__doc"), F.col("sig").alias("__sig")).agg(F.collect_list(F.struct("begin", "end")).alias("__ranges"))
     names, n_chars = docs.columns, docs.schema["n_chars"].dataType.simpleString() if "n_chars" in docs.columns else None
 
