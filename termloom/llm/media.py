@@ -2,7 +2,7 @@
 
 ``interleave`` parses HTML into ordered items: text, or a media reference with its digest and caption.
 ``store_media`` writes payloads once for each task as 8-bit mono WAV; ``media_features`` reads them back, one row a
-digest; ``resolve`` joins the two, and an item keeps its position and caption whatever the join does.
+digest; ``resolve`` joins the two, with frequent digests apart; an item keeps its position and caption whatever the join does.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -132,44 +133,64 @@ def interleave(pages: DataFrame, key: str, html: str, kinds: tuple[str, ...] = (
 
 
 def store_media(payloads: DataFrame, column: str) -> DataFrame:
-    """Write binary ``column`` as WAV files in a table, digest and media. A payload may stand in it more than once."""
+    """Write binary ``column`` as WAV files in a table: digest, media, copies. A payload may stand in it more than once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("digest", pa.string()), ("media", pa.binary())])
+        schema = pa.schema([("digest", pa.string()), ("media", pa.binary()), ("copies", pa.int64())])
         for (raw,) in slices(batches, (column,)):
-            distinct = {hashlib.sha256(p).hexdigest(): p for p in raw if p is not None}
-            yield record(schema, [(d, wav(p)) for d, p in distinct.items()])
+            copies = Counter(p for p in raw if p is not None)
+            yield record(schema, [(hashlib.sha256(p).hexdigest(), wav(p), n) for p, n in copies.items()])
 
-    return written(payloads.select(column).mapInArrow(encode, "digest string, media binary"), "media")
+    return written(payloads.select(column).mapInArrow(encode, "digest string, media binary, copies long"), "media")
+
+
+FEATURES = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def media_features(store: DataFrame) -> DataFrame:
-    """One row a digest, from the stored bytes. The digest is that of the samples read back, not the stored key."""
-    schema = pa.schema([("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+    """One row a digest, from the stored bytes, and its copies. The digest of the samples is that of the bytes read back."""
+    schema = pa.schema([("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("copies", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for digests, stored in slices(batches, ("digest", "media")):
+        for digests, stored, copies in slices(batches, ("digest", "media", "copies")):
             rows = []
-            for digest, media in zip(digests, stored, strict=True):
+            for digest, media, n in zip(digests, stored, copies, strict=True):
                 p = samples(media)
                 v = np.frombuffer(p, np.uint8).astype(np.int32) - 128
                 feature = f"sum={int(v.sum())};energy={int((v.astype(np.int64) ** 2).sum())};peak={int(np.abs(v).max(initial=0))};crossings={int((np.diff(np.signbit(v)) != 0).sum())}"
-                rows.append((digest, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+                rows.append((digest, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature, n))
             yield record(schema, rows)
 
-    found = store.mapInArrow(read, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    return found.groupBy("digest").agg(*(F.max(c).alias(c) for c in found.columns[1:]))  # equal payloads have equal rows
+    found = store.mapInArrow(read, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, copies long")
+    # equal payloads have equal rows; as one value they are grouped by hash, not by sorting
+    return written(found.groupBy("digest").agg(*(F.max(c).alias(c) for c in FEATURES), F.sum("copies").alias("copies")), "features")
 
 
-def resolve(sequence: DataFrame, features: DataFrame) -> DataFrame:
-    """Every item with what its digest leads to; unknown digests and text items have nulls there."""
-    return sequence.join(features, "digest", "left")
+def resolve(sequence: DataFrame, features: DataFrame, key: str) -> DataFrame:
+    """Every item with what its digest leads to; unknown digests and text items have nulls there.
+
+    ``features`` is a written table with the copies of each digest. Digests of more than a quarter of a partition's
+    share of all copies, fewer than four times the partitions, are looked up in a broadcast table; the others are joined.
+    """
+    spark = sequence.sparkSession
+    share = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = features.agg(F.sum("copies")).first()[0] or 0
+    frequent = features.filter(F.col("copies") > max(1, total // share)).select(F.col("digest").alias("__digest"), F.struct(*FEATURES).alias("__hot"))
+    own = sequence.join(F.broadcast(frequent), F.col("digest") == F.col("__digest"), "left")
+    # items that are resolved, and those without a digest, go their own way through the join
+    own = own.withColumn("__key", F.when(F.col("__hot").isNotNull() | F.col("digest").isNull(), F.concat(F.lit("-"), F.xxhash64(key, "position").cast("string"))).otherwise(F.col("digest")))
+    rest = features.select(F.col("digest").alias("__key"), F.struct(*FEATURES).alias("__own"))
+    found = own.join(rest, "__key", "left").withColumn("__found", F.coalesce("__hot", "__own"))
+    return found.select(*sequence.columns, *(F.col(f"__found.{c}").alias(c) for c in FEATURES))
 
 
 def document_media(docs: DataFrame) -> DataFrame:
-    """doc_id and text -> one row a document with the features of its payload. Null texts are empty, copies equal."""
+    """doc_id and text -> one row a document with the features of its payload. Null texts are empty, copies equal.
+
+    Rows that share a doc_id, or have none, have a row each. Other columns are ignored; an empty table gives none.
+    """
     payload = docs.select("doc_id", "text").withColumn("payload", padded(F.col("text")))
     features = media_features(store_media(payload, "payload"))
     pages = payload.select("doc_id", as_page(F.col("text"), F.sha2("payload", 256), F.lit("the text as samples")).alias("html"))
     sequence = interleave(pages, "doc_id", "html", kinds=("media",))
-    return resolve(sequence, features).select("doc_id", F.col("source_bytes").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    return resolve(sequence, features, "doc_id").select("doc_id", F.col("source_bytes").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
