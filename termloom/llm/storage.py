@@ -60,5 +60,14 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def publish(store: fs.FileSystem, temporary: str, final: str) -> None:
-    """Give a finished file its name. A retried task has made the same bytes, so replacing is harmless."""
-    store.move(temporary, final)
+    """Give a finished file its name. A retried task has made the same bytes, so replacing is harmless.
+
+    Some stores do not move over a file that is there; it is deleted then. The manifest, written last, is what counts.
+    """
+    try:
+        store.move(temporary, final)
+    except OSError:
+        if store.get_file_info(final).type == fs.FileType.NotFound:
+            raise
+        store.delete_file(final)
+        store.move(temporary, final)

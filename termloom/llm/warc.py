@@ -9,6 +9,7 @@ in a manifest that is written last; the reader opens only what the manifest name
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,19 +25,22 @@ from termloom.llm.storage import filesystem, new_dir, publish, shuffles_dropped,
 
 REVISIT_FROM, ROLL_BYTES, DATE = 1000, 256 << 20, "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Signs that would break a header line; they are percent-encoded in urls.
+UNSAFE = re.compile(r"[\x00-\x20\x7f-\xa0\u2028\u2029]")
 MANIFEST = "file string, shard long, records long, bytes long, sha1 string"
 
 
-def _record(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
+def _record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, place: int = 0) -> bytes:
+    """``place`` is 0 for the first record of a page_id; it tells the record ids of further ones apart."""
     digest = hashlib.sha1(payload).hexdigest()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + payload if refers_to is None else http
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}{f':{place}' if place else ''}>",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {url}",
+        f"WARC-Target-URI: {UNSAFE.sub(lambda m: ''.join(f'%{b:02X}' for b in m[0].encode()), url)}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{hashlib.sha1(block).hexdigest()}",
         "Content-Type: application/http;msgtype=response",
@@ -92,7 +96,7 @@ def write_warc(pages: DataFrame, path: str, shard_bytes: int | None = None, roll
         store.create_dir(f"{root}/_temporary", recursive=True)
         shard = out = None
         roll = records = size = 0
-        digest, mark = hashlib.sha1(), (None, None, None)
+        digest, mark, last, place = hashlib.sha1(), (None, None, None), None, 0
 
         def close() -> pa.RecordBatch:
             out.close()
@@ -113,7 +117,8 @@ def write_warc(pages: DataFrame, path: str, shard_bytes: int | None = None, roll
                     shard, records, size, digest = own_shard, 0, 0, hashlib.sha1()
                     temporary = f"{root}/_temporary/{uuid.uuid4().hex}"
                     out = store.open_output_stream(temporary, compression=None)
-                raw = _record(page_id, url, payload, mark[2] if mark[:2] == (at, sha1) else None)
+                place, last = place + 1 if at == last else 0, at
+                raw = _record(page_id, url, payload, mark[2] if mark[:2] == (at, sha1) else None, place)
                 out.write(raw)
                 digest.update(raw)
                 records, size = records + 1, size + len(raw)
@@ -127,30 +132,35 @@ def write_warc(pages: DataFrame, path: str, shard_bytes: int | None = None, roll
 
 def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record of an uncompressed WARC stream."""
-    buffer = b""
+    buffer = bytearray()
 
-    def more(n: int) -> bytes:
-        nonlocal buffer
+    def fill(n: int) -> bool:
         while len(buffer) < n:
-            got = stream.read(1 << 20)
+            got = stream.read(max(1 << 20, n - len(buffer)))
             if not got:
-                raise EOFError("the archive ends inside a record")
-            buffer += got
-        out, buffer = buffer[:n], buffer[n:]
+                return False
+            buffer.extend(got)
+        return True
+
+    def take(n: int) -> bytes:
+        if not fill(n):
+            raise EOFError("the archive ends inside a record")
+        out = bytes(buffer[:n])
+        del buffer[:n]
         return out
 
     while True:
-        while (end := buffer.find(b"\r\n\r\n")) < 0:
-            got = stream.read(1 << 20)
-            if not got:
+        searched = 0
+        while (end := buffer.find(b"\r\n\r\n", max(0, searched - 3))) < 0:
+            searched = len(buffer)
+            if not fill(searched + 1):
                 if buffer.strip():
                     raise EOFError("the archive ends inside a record")
                 return
-            buffer += got
-        lines = more(end + 4).decode().split("\r\n")
+        lines = take(end + 4).decode().split("\r\n")
         headers = dict(line.split(": ", 1) for line in lines[1:] if ": " in line)
-        block = more(int(headers["Content-Length"]))
-        more(4)
+        block = take(int(headers["Content-Length"]))
+        take(4)
         yield headers, block
 
 
@@ -160,7 +170,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("file", pa.string())])
 
     def number(urn: str | None) -> int | None:
-        digits = (urn or "").removeprefix("<urn:page:").removesuffix(">")
+        digits = (urn or "").removeprefix("<urn:page:").removesuffix(">").split(":")[0]
         return int(digits) if digits else None
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
