@@ -53,7 +53,7 @@ TRAP = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INS
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = spark.range(1).select(F.explode(F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(turns.columns, row, strict=True))) for row in TRAP))).alias("t")).select("t.*")
-    return chat.chat_digests(turns.unionByName(trap))
+    return chat.chat_digests(turns).unionByName(chat.chat_digests(trap))  # a conversation -1 of the table stays its own
 
 
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
