@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from termloom.llm.batches import record, slices
 from termloom.llm.components import components
-from termloom.llm.storage import written
+from termloom.llm.storage import discard, written
 
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 40, 6
 K = BANDS * ROWS
@@ -242,7 +242,8 @@ def _grouped(rows: DataFrame, ids: bool) -> tuple[DataFrame, DataFrame]:
     sketches = written(_sketches(rows), "sketches")
     nodes = written(sketches.groupBy("key").agg(F.first(F.struct("digest", "bands", "bits")).alias("own")).select("key", "own.*", F.monotonically_increasing_id().alias("node")), "nodes")
     places = written(sketches.select("key", "digest").distinct().join(nodes.select("key", "node"), "key").select("digest", "node"), "places")
-    joined = lambda links: links.select("a", "b")
+    discard(sketches)
+    joined, same = lambda links: links.select("a", "b"), None
     if ids:
         held = rows.select("doc_id", "digest").distinct().join(places, "digest").select("doc_id", "node").distinct()
         several = held.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("top")).filter("a < top").select("doc_id", "a")
@@ -262,7 +263,7 @@ def _grouped(rows: DataFrame, ids: bool) -> tuple[DataFrame, DataFrame]:
     near = members.join(centres, "bucket").filter((F.col("node") != F.col("centre")) & _close(F.col("bits"), F.col("own")))
     stars = near.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
     stars = written(stars, "stars")
-    links = written(_verified(stars, texts), "links")
+    first_links = links = written(_verified(stars, texts), "links")
     parts = components(joined(links))
     # a component may still hold nodes near another one's: only pairs across components are left to compare
     rest = members.join(parts, "node", "left").select("bucket", "node", "bits", F.coalesce("component", "node").alias("component"))
@@ -271,7 +272,9 @@ def _grouped(rows: DataFrame, ids: bool) -> tuple[DataFrame, DataFrame]:
     if not extra.isEmpty():
         parts = components(joined(links))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("join_links"))
-    return places, written(parts.join(degree, "node", "left"), "parts")
+    parts = written(parts.join(degree, "node", "left"), "parts")
+    discard(nodes, buckets, members, texts, stars, first_links, extra, same)
+    return places, parts
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -37,7 +37,19 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark, path = df.sparkSession, new_dir(df.sparkSession, name)
     with shuffles_dropped(spark):
         df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "written_to", None)
+        if path:
+            session = table.sparkSession
+            at = session._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(session._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @contextlib.contextmanager

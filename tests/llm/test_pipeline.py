@@ -1,6 +1,9 @@
 """The pipeline's stages on repeated rows, shared and null ids, against brute force."""
 
+import zlib
+
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from termloom.llm import minhash
@@ -80,3 +83,36 @@ def test_one_row_of_each_group_goes_on(spark, tmp_path):
     # the item itself repeats across rows, so leaks are judged on the rows before spans go
     clean = stages["decontaminate"](spark, one, str(tmp_path))
     assert sorted((i or 0, t) for i, t in clean.select("doc_id", "text").collect()) == sorted((i or 0, t) for i, t in found if ITEM not in t)
+
+
+def test_language_stage_against_a_plain_version(spark):
+    from tests.llm.test_language import Plain
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("u", F.lit(1)).withColumn("n", F.lit("x")).withColumn("last", F.lit(None).cast("int"))
+    rows = docs.collect()
+    model = Plain([(r["text"], r["lang"]) for r in rows if r["text"] is not None and r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1])
+    kept = corpus_pipeline.language_id(spark, docs, "")
+    assert kept.columns == docs.columns
+    want = sorted(r["doc_id"] for r in rows for lang, score in [model.predict(r["text"])] if lang != "und" and score >= 0.5)
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
+
+
+def test_packing_stage_packs_every_row(spark):
+    rows = [(None, "a b c"), (1, None), (1, "x y"), (1, "x y"), (2, "")]
+    pieces = corpus_pipeline.packed(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r["offset"], r["length"]) for r in pieces)[0][0] == 0 and len({r["sequence_id"] for r in pieces}) == 1
+    assert len(pieces) == len(rows) and sum(r["length"] for r in pieces) == max(r["offset"] + r["length"] for r in pieces)
+
+
+def test_empty_tables_and_clashing_names(spark, tmp_path):
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id long, text string, lang string, n_chars long, node long, bucket string, key binary, digest string, row int, component string, ranges string, words string"
+    docs = spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), name)
+        assert docs.count() == 0 and (name == "packing" or docs.columns == [c.split()[0] for c in schema.split(", ")])
+    row = lambda i, t: (i, t, "en", len(t), 1, "b", b"k", "d", 2, "c", "r", "w")
+    docs = spark.createDataFrame([row(i, prose(120)) for i in range(40)] + [row(50, f"{prose(60)} {ITEM}"), row(51, "12 !")], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), name)
+    assert sorted(r["doc_id"] for r in docs.collect()) == list(range(40)) and docs.columns == [c.split()[0] for c in schema.split(", ")]
