@@ -1,4 +1,8 @@
-"""A training corpus from raw documents: five stages, each written as Parquet and read again as the next one's input."""
+"""A training corpus from raw documents: five stages, each written as Parquet and read again as the next one's input.
+
+An empty table stays empty through all stages. Stages but the last keep all columns, whatever their names (but for those
+that begin with two underscores). Null texts go in the first stage, as they have no language.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm import langid, leaks, minhash, packing, repeats
-from termloom.llm.storage import written
+from termloom.llm.storage import discard, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the last stage. A stage's table is deleted once the next one's is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return docs
 
 
