@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from itertools import islice
 
 import numpy as np
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer
 
 #: The characters of Unicode's White_Space property.
 WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -23,6 +25,11 @@ CHUNK = re.compile(f" ?[{LETTER}]++(?=[{WHITE}\\x00-\\x40\\x5b-\\x60\\x7b-\\x7f]
 ODD = re.compile("[\x1c-\x1f|]")
 KEPT, LONG, AT_ONCE = 800_000, 64, 2_000
 
+#: The byte-level alphabet: printable bytes of Latin-1 stand for themselves, the others in turn for the signs from 256 on.
+PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+ALPHABET = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in PLAIN)}
+BLANK = chr(ALPHABET[32])
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -36,49 +43,54 @@ class Encoder:
         before = made["pre_tokenizer"] or {}
         self.newline = self.tokenizer.token_to_id("Ċ")
         self.by_chunk = made["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"] and self.newline is not None
-        # letters after at most one blank are never split, so the split by patterns can be left out for them
-        self.by_line = Tokenizer.from_file(path) if self.by_chunk else None
-        if self.by_line:
-            self.by_line.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def learn(self, chunks: list[str]) -> None:
-        """Chunks without white space inside go to the library as the lines of one text."""
-        letters, plain = [], []
+        """Letters after at most one blank are never split, so the library's model takes them without the split by patterns.
+
+        Other chunks without white space inside go to the library as the lines of one text.
+        """
+        tokenize, code, known, plain = self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I", self.known, []
         for c in chunks:
             if len(c) <= LONG and (c[1:] if c[0] == " " else c).isalpha():
-                letters.append(c)
+                if c.isascii():
+                    spelt = BLANK + c[1:] if c[0] == " " else c
+                else:
+                    spelt = c.encode().decode("latin-1").translate(ALPHABET)
+                ids = array(code, [t.id for t in tokenize(spelt)])
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                known[c] = ids.tobytes()
             elif len(c) > LONG or c.isspace() or ODD.search(c):
-                self.known[c] = self.whole(c)
+                known[c] = self.whole(c)
             else:
                 plain.append(c)
-        self._lines(self.by_line, letters)
-        self._lines(self.tokenizer, plain)
-
-    def _lines(self, tokenizer: Tokenizer, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), AT_ONCE):
-            part = chunks[at : at + AT_ONCE]
-            ids = np.array(tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+        for at in range(0, len(plain), AT_ONCE):
+            part = plain[at : at + AT_ONCE]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, self.dtype)
             cuts = np.flatnonzero(ids == self.newline)
             raw, width = ids.tobytes(), self.dtype.itemsize
             starts, ends = [0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(raw)]
-            self.known.update((c, raw[a:b]) for c, a, b in zip(part, starts, ends, strict=True))
+            known.update((c, raw[a:b]) for c, a, b in zip(part, starts, ends, strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return [self.whole(t) for t in texts]
         if len(self.known) > KEPT:
             self.known = dict(islice(self.known.items(), KEPT // 4))  # chunks that were met first are the frequent ones
-        chunked, fresh = [CHUNK.findall(t) for t in texts], set()
-        for chunks in chunked:
-            fresh.update(set(chunks).difference(self.known))
+        chunked = [CHUNK.findall(t) for t in texts]
+        found = [list(map(self.known.get, chunks)) for chunks in chunked]
+        missing = [[i for i, x in enumerate(parts) if x is None] for parts in found]
+        fresh = dict.fromkeys(chunks[i] for chunks, at in zip(chunked, missing, strict=True) for i in at)
         if fresh:
             self.learn(list(fresh))
-        get = self.known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in chunked]
+        for chunks, parts, at in zip(chunked, found, missing, strict=True):
+            for i in at:
+                parts[i] = self.known[chunks[i]]
+        return [b"".join(parts) for parts in found]
 
 
 def encoder(path: str) -> Encoder:

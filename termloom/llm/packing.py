@@ -28,13 +28,16 @@ DIMENSIONS, BITS, FEATURES = 3, 16, 1 << 14
 _projections: list[np.ndarray] = []
 
 
-def point(ids: np.ndarray) -> np.ndarray:
-    """DIMENSIONS integers of BITS bits from the hashed, log-weighted counts of ids."""
+def points(texts: list[np.ndarray]) -> np.ndarray:
+    """For each text's ids DIMENSIONS integers of BITS bits, from its hashed, log-weighted counts of ids."""
     if not _projections:
         _projections.append(np.random.default_rng(11).standard_normal((FEATURES, DIMENSIONS)))
-    seen, counts = np.unique((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(50), return_counts=True)
-    weight = 1.0 + np.log(counts)
-    v = weight @ _projections[0][seen] / np.sqrt((weight**2).sum()) if len(seen) else np.zeros(DIMENSIONS)
+    sizes = np.array([len(ids) for ids in texts])
+    feature = ((np.concatenate(texts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(50)).astype(np.int64)
+    seen, counts = np.unique(np.repeat(np.arange(len(texts)), sizes) * FEATURES + feature, return_counts=True)
+    text, weight, rows = seen // FEATURES, 1.0 + np.log(counts), _projections[0][seen % FEATURES]
+    norm = np.sqrt(np.bincount(text, weight**2, len(texts)))
+    v = np.stack([np.bincount(text, weight * rows[:, k], len(texts)) for k in range(DIMENSIONS)], axis=1) / np.maximum(norm, 1e-12)[:, None]
     return (1 / (1 + np.exp(-np.clip(v, -30, 30))) * (2**BITS - 1)).astype(np.int64)
 
 
@@ -74,7 +77,7 @@ def ordered_ids(docs: DataFrame, tokenizer: str, end_id: int = END) -> DataFrame
         end = np.array([end_id], enc.dtype).tobytes()
         for doc_ids, texts in slices(batches, ("doc_id", "text")):
             coded = enc.ids([t or "" for t in texts])
-            curve = hilbert(list(np.array([point(np.frombuffer(raw, enc.dtype)) for raw in coded]).T)).tolist()
+            curve = hilbert(list(points([np.frombuffer(raw, enc.dtype) for raw in coded]).T)).tolist()
             yield record(schema, [(d, c, xxhash.xxh3_128_digest(raw), len(raw) // enc.dtype.itemsize + 1, raw + end) for d, c, raw in zip(doc_ids, curve, coded, strict=True)])
 
     coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, curve long, mark binary, n_tokens long, ids binary")
