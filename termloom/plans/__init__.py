@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -22,3 +22,10 @@ def checkpoint_ready(spark: SparkSession) -> None:
     """Let checkpoint() work: in local mode without a configured folder, set a temporary one."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(work_dir(spark, "checkpoints"))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read again: what uses it several times does not work it out several times."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
