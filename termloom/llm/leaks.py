@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,18 +23,19 @@ from termloom.llm.batches import record, slices
 from termloom.llm.storage import written
 
 WORD = re.compile(r"\w+")
-FEATURES, BLOCK, DIMENSIONS, EXTRA, BAND = 2048, 12, 128, 16, 64
+FEATURES, BLOCK, DIMENSIONS, EXTRA, BAND = 2048, 12, 96, 16, 64
 PASSAGE = 5 * BLOCK
 #: Counters of document frequencies. Inverse frequencies count to this power: function words say nothing of a passage.
 COUNTERS, POWER = 1 << 18, 1.5
 #: Windows of so many blocks; an item of n words is sought in the first that holds it whole wherever it begins.
 SCALES = (3, 5, 7, *(12 << k for k in range(20)))
 #: A window is a candidate for an item from this cosine. README.md has the share of windows and the recall at it.
-COSINE = 0.3
+COSINE = 0.36
 #: Least share of an item's words in order, without and with its answer; least share of the answer.
 ALONE, WITH_ANSWER, ANSWER = 0.8, 0.6, 0.8
 #: Items in a block, and words whose vectors are made at a time.
 ITEMS, AT_ONCE = 50_000, 16_000
+KEPT = 500_000
 #: Longer texts are searched in parts of so many words that overlap by the widest window.
 PART = 8192 * BLOCK
 
@@ -42,12 +44,16 @@ _words: dict[str, int] = {}
 
 def hashed(text: str | None) -> np.ndarray:
     """A 32-bit hash of each word in lower case."""
+    global _words
     found = WORD.findall((text or "").lower())
-    if len(_words) > 300_000:
-        _words.clear()
-    for w in set(found).difference(_words):
-        _words[w] = xxhash.xxh32_intdigest(w.encode())
-    return np.fromiter(map(_words.__getitem__, found), np.uint32, len(found))
+    if len(_words) > KEPT:
+        _words = dict(islice(_words.items(), KEPT // 4))  # words that were met first are the frequent ones
+    hashes = list(map(_words.get, found))
+    for i, h in enumerate(hashes):
+        if h is None:
+            w = found[i]
+            hashes[i] = _words[w] = xxhash.xxh32_intdigest(w)
+    return np.array(hashes, np.uint32)
 
 
 def feature(words: np.ndarray) -> np.ndarray:
@@ -204,16 +210,14 @@ def described(item_id: int | None, text: str | None) -> dict | None:
 
 def vectors(words: np.ndarray, starts: np.ndarray, space: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """The sums of the words' latent vectors from each start to the next, a few words at a time."""
-    out = np.zeros((len(starts), space.shape[1]), np.float32)
+    sizes = np.diff(np.append(starts, len(words)))
+    wide = int(sizes.max())
+    out, step = np.zeros((len(starts), space.shape[1]), np.float32), max(1, AT_ONCE // wide)
     f, w = feature(words), weight(words, idf)
-    ends, at = np.append(starts[1:], len(words)), 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + AT_ONCE, "right")))
-        own = slice(starts[at], ends[to - 1])
-        rows = space[f[own]]
-        rows *= w[own, None]
-        np.add.reduceat(rows, starts[at:to] - starts[at], axis=0, out=out[at:to])
-        at = to
+    for at in range(0, len(starts), step):
+        own = sizes[at : at + step, None] > np.arange(wide)
+        place = np.where(own, starts[at : at + step, None] + np.arange(wide), 0)
+        out[at : at + step] = np.einsum("bk,bkd->bd", np.where(own, w[place], 0), space[f[place]])
     return out
 
 
@@ -230,7 +234,8 @@ def found_in(docs: list[np.ndarray], space: np.ndarray, idf: np.ndarray, items:
     blocks = -(-sizes // BLOCK)
     first = np.cumsum(blocks) - blocks
     starts = np.repeat(np.cumsum(sizes) - sizes, blocks) + (np.arange(int(blocks.sum())) - np.repeat(first, blocks)) * BLOCK
-    sums = np.vstack([np.zeros((1, space.shape[1])), np.cumsum(vectors(np.concatenate(docs), starts, space, idf), axis=0, dtype=np.float64)])
+    sums = np.zeros((len(starts) + 1, space.shape[1]), np.float32)
+    np.cumsum(vectors(np.concatenate(docs), starts, space, idf), axis=0, out=sums[1:])
     for scale, (matrix, places) in items.items():
         width = np.minimum(SCALES[scale], blocks)
         count = blocks - width + 1
@@ -239,7 +244,7 @@ def found_in(docs: list[np.ndarray], space: np.ndarray, idf: np.ndarray, items:
         for at in range(0, len(doc), AT_ONCE // 4):
             own, begin = doc[at : at + AT_ONCE // 4], block[at : at + AT_ONCE // 4]
             low = first[own] + begin
-            z = unit((sums[low + width[own]] - sums[low]).astype(np.float32))
+            z = unit(sums[low + width[own]] - sums[low])
             for j in range(0, len(places), 4000):
                 near = z @ matrix[j : j + 4000].T
                 for i, k in zip(*(x.tolist() for x in np.nonzero(near >= COSINE)), strict=True):
@@ -257,7 +262,11 @@ def search(table: DataFrame, items: list[tuple], space: np.ndarray, idf: np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, space, idf = shared.value
-        z = unit(vectors(np.concatenate([w for *_, w in items]), np.cumsum([0, *(len(w) for *_, w in items[:-1])]), space, idf))
+        sizes = np.array([len(w) for *_, w in items])
+        blocks = -(-sizes // BLOCK)
+        first = np.cumsum(blocks) - blocks
+        starts = np.repeat(np.cumsum(sizes) - sizes, blocks) + (np.arange(int(blocks.sum())) - np.repeat(first, blocks)) * BLOCK
+        z = unit(np.add.reduceat(vectors(np.concatenate([w for *_, w in items]), starts, space, idf), first, axis=0))
         scale = np.array([scale_of(len(w)) for *_, w in items])
         by_scale = {int(s): (z[scale == s], np.flatnonzero(scale == s)) for s in np.unique(scale)}
         overlap = SCALES[int(scale.max())] * BLOCK
