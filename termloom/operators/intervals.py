@@ -25,11 +25,26 @@ def islands(masked: DataFrame, keys: list[str], mask: str, slots: int) -> DataFr
     return bits.withColumn("run", run).groupBy(*keys, "run").agg(F.min("slot").alias("first"), (F.max("slot") + 1).alias("after")).drop("run")
 
 
-def overlaps(rows: DataFrame, within: list[str], key: str, start: str, end: str) -> DataFrame:
-    """Pairs a < b whose half-open intervals meet, with the common part; touching is no overlap."""
-    a, b = (rows.select(*within, F.col(key).alias(x), F.col(start).alias(f"{x}_start"), F.col(end).alias(f"{x}_end")) for x in "ab")
-    met = a.join(b, within).filter("a < b and a_start < b_end and b_start < a_end")
-    return met.select(*within, "a", "b", F.greatest("a_start", "b_start").alias("from"), F.least("a_end", "b_end").alias("to"))
+def overlaps(rows: DataFrame, within: list[str], key: str, start: str, end: str, days: int = 30) -> DataFrame:
+    """Pairs a < b whose half-open date intervals meet, with the common part; touching is no overlap.
+
+    Intervals are dealt into buckets of ``days`` days, so that only those near each other in time are compared; a pair
+    counts in the bucket where its common part begins.
+    """
+    bucket = lambda c: F.floor(F.unix_date(c) / days)
+    dealt = rows.select(*within, F.col(key).alias("k"), F.col(start).alias("s"), F.col(end).alias("e")).filter("s < e")
+    dealt = dealt.withColumn("bucket", F.explode(F.sequence(bucket(F.col("s")), bucket(F.date_sub("e", 1)))))
+    a, b = (dealt.select(*within, "bucket", F.col("k").alias(x), F.col("s").alias(f"{x}_start"), F.col("e").alias(f"{x}_end")) for x in "ab")
+    met = a.join(b, [*within, "bucket"]).filter("a < b and a_start < b_end and b_start < a_end")
+    met = met.withColumn("from", F.greatest("a_start", "b_start")).filter(bucket(F.col("from")) == F.col("bucket"))
+    return met.select(*within, "a", "b", "from", F.least("a_end", "b_end").alias("to"))
+
+
+def near_another(rows: DataFrame, within: list[str], order: list[str], day: str, days: int) -> DataFrame:
+    """Rows less than ``days`` days from some other of their group: the one before or after is the nearest."""
+    w = Window.partitionBy(*within).orderBy(day, *order)
+    gap = F.least(F.datediff(F.col(day), F.lag(day).over(w)), F.datediff(F.lead(day).over(w), F.col(day)))
+    return rows.withColumn("__gap", gap).filter(F.col("__gap") < days).drop("__gap")
 
 
 def lanes_groups(rows: DataFrame, within: list[str], start: str, end: str, order: list[str]) -> DataFrame:
@@ -38,3 +53,23 @@ def lanes_groups(rows: DataFrame, within: list[str], start: str, end: str, order
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.coalesce(F.col(start) >= before, F.lit(True)).cast("int")
     return rows.withColumn("lane_group", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def lanes(rows: DataFrame, group: list[str], start: str, end: str, order: list[str]) -> DataFrame:
+    """A lane for each interval of a group of overlapping ones: the first lane that is free again at its start.
+
+    ``start`` and ``end`` are whole numbers. The choice depends on earlier ones, so a group is folded in order; groups
+    are as long as intervals overlap one another.
+    """
+    listed = rows.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(start, *order, F.col(end).cast("long").alias("__end")))).alias("rows"))
+
+    def place(acc, x):
+        free = F.array_position(F.transform(acc["ends"], lambda e: e <= x[start]), F.lit(True))  # from 1; 0 where none is
+        at = F.when(free > 0, free - 1).otherwise(F.size(acc["ends"])).cast("int")
+        ends = F.when(free > 0, F.transform(acc["ends"], lambda e, i: F.when(i == at, x["__end"]).otherwise(e))).otherwise(F.concat(acc["ends"], F.array(x["__end"])))
+        return F.struct(ends.alias("ends"), F.concat(acc["lanes"], F.array(at)).alias("lanes"))
+
+    begin = F.struct(F.array().cast("array<long>").alias("ends"), F.array().cast("array<int>").alias("lanes"))
+    done = listed.withColumn("plan", F.aggregate("rows", begin, place))
+    flat = done.select(*group, F.size("plan.ends").alias("n_lanes"), F.explode(F.arrays_zip(F.col("rows"), F.col("plan.lanes").alias("lane"))).alias("z"))
+    return flat.select(*group, *(F.col(f"z.rows.{c}").alias(c) for c in order), F.col("z.lane").alias("lane"), "n_lanes")

@@ -20,3 +20,19 @@ def greedy(pool: DataFrame, who: str, order: list[str], cost: str, mask: str, it
 
     done = rows.select(who, F.aggregate("rows", start, take).alias("plan"))
     return done.select(who, F.array_join("plan.chosen", ",").alias("chosen"), F.size("plan.chosen").alias("n_chosen"), F.round("plan.cost", 2).alias("cost"))
+
+
+def relaxed(pool: DataFrame, who: str, order: list[str], cost: str, mask: str, item: str, budget: float, least: float, ladder: list[tuple[str, str, bool]]) -> DataFrame:
+    """Per ``who`` the plan of the first level of ``ladder`` (name, condition on items, whether ``least`` cost is asked).
+
+    Levels are tried in order; a level has a plan where greedy() chooses items and their cost reaches ``least`` or none is
+    asked. Whoever has no plan on any level is ``infeasible``.
+    """
+    plans = None
+    for n, (name, condition, bounded) in enumerate(ladder):
+        found = greedy(pool.filter(condition), who, order, cost, mask, item, budget)
+        found = found.filter((F.col("n_chosen") > 0) & (F.col("cost") >= (least if bounded else 0.0))).withColumn("level", F.lit(n)).withColumn("status", F.lit(name))
+        plans = found if plans is None else plans.unionByName(found)
+    first = plans.groupBy(who).agg(F.min_by(F.struct("status", "chosen", "n_chosen", "cost"), "level").alias("p"))
+    everyone = pool.select(who).distinct()
+    return everyone.join(first, who, "left").select(who, F.coalesce("p.status", F.lit("infeasible")).alias("status"), "p.chosen", "p.n_chosen", "p.cost")

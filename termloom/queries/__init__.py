@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.queries import events, graphs, relational, texts, timetable
+from termloom.queries import assist, events, graphs, relational, texts, timetable
 
-GROUPS = (events, relational, timetable, texts, graphs)
+GROUPS = (events, relational, timetable, texts, assist, graphs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

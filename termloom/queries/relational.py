@@ -50,7 +50,8 @@ def plan_totals(spark, sf):
 
 def ownership_status(spark, sf):
     """Is an order there, and does its customer belong to nation 3?"""
-    asked = spark.range(1, 400).select((F.col("id") * 97).alias("o_orderkey"))
+    known = table(spark, sf, "orders").select("o_orderkey")
+    asked = known.union(known.select(-F.col("o_orderkey")))  # every order, and as many keys that are unknown
     found = asked.join(table(spark, sf, "orders"), "o_orderkey", "left").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
     return found.select("o_orderkey", F.when(F.col("o_custkey").isNull(), 404).when(F.col("c_nationkey") == 3, 200).otherwise(403).alias("status"))
 
@@ -58,7 +59,7 @@ def ownership_status(spark, sf):
 def anti_prereq(spark, sf):
     """Parts that customers of segment BUILDING would need but never ordered, of a required set."""
     need = table(spark, sf, "part").filter("p_partkey <= 20").select("p_partkey")
-    who = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING' and c_custkey <= 300").select("c_custkey")
+    who = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey")
     had = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("c_custkey"), F.col("l_partkey").alias("p_partkey")).distinct()
     # the required set is the query's constant, at most 20 rows
     return who.crossJoin(F.broadcast(need)).join(had, ["c_custkey", "p_partkey"], "left_anti").groupBy("c_custkey").agg(F.count("*").alias("n_missing"), F.min("p_partkey").alias("first_missing"))
@@ -135,9 +136,9 @@ def sorts_misc(spark, sf):
 
 
 def alternatives(spark, sf):
-    """For each returned line of the first orders, the cheapest other supplier of the same part."""
+    """For each returned line the cheapest other supplier of the same part."""
     lines = table(spark, sf, "lineitem")
-    asked = lines.filter("l_returnflag = 'R' and l_orderkey <= 500").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("own"))
+    asked = lines.filter("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("own"))
     other = lines.groupBy("l_partkey", "l_suppkey").agg(F.min("l_extendedprice").alias("price"))
     w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("price", "l_suppkey")
     return asked.join(other, "l_partkey").filter("l_suppkey <> own").withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("l_orderkey", "l_linenumber", "l_suppkey", "price")
@@ -152,7 +153,8 @@ def array_ops(spark, sf):
 
 def context_row(spark, sf):
     """One wide row a customer, defaults for unknown ids."""
-    asked = spark.range(1, 60).select((F.col("id") * 53).alias("c_custkey"))
+    known = table(spark, sf, "customer").select("c_custkey")
+    asked = known.union(known.select(-F.col("c_custkey")))  # every customer, and as many that are unknown
     spent = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("spent"), F.count_if(F.expr("o_orderstatus = 'P'")).alias("pending"))
     return asked.join(table(spark, sf, "customer"), "c_custkey", "left").join(spent, "c_custkey", "left").select("c_custkey", F.coalesce("c_name", F.lit("unknown")).alias("name"), F.col("c_name").isNull().alias("is_default"), F.coalesce("n", F.lit(0)).alias("n_orders"), F.coalesce("spent", F.lit(0.0)).alias("spent"), F.coalesce("pending", F.lit(0)).alias("pending"))
 
@@ -169,7 +171,7 @@ def alerts_rules(spark, sf):
 
 def replace_by_key(spark, sf):
     """A draft keeps one line of each part: new lines replace old ones."""
-    lines = table(spark, sf, "lineitem").filter("l_orderkey <= 2000")
+    lines = table(spark, sf, "lineitem")
     old, new = lines.filter("l_linenumber <= 3"), lines.filter("l_linenumber > 3")
     kept = old.join(new.select("l_orderkey", "l_suppkey"), ["l_orderkey", "l_suppkey"], "left_anti").select("l_orderkey", "l_suppkey", "l_linenumber")
     return kept.unionByName(new.select("l_orderkey", "l_suppkey", "l_linenumber")).groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("line_sum"))
@@ -185,8 +187,8 @@ ORACLE_SQL = {
     "lookup_missing": f"SELECT a.pos, a.id AS c_custkey FROM (VALUES {_ASKED}) AS a(pos, id) ANTI JOIN customer ON c_custkey = a.id",
     "left_attach_collect": "SELECT c_custkey, count(o_orderkey) AS n_orders, coalesce(array_to_string(list_sort(list(o_orderkey) FILTER (WHERE o_orderkey IS NOT NULL))[1:5], ','), '') AS first_orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
     "plan_totals": "SELECT o_orderkey, count(*) AS n_items, round(sum(l_quantity), 2) AS quantity, count(DISTINCT l_partkey) AS n_parts, bool_or(l_returnflag = 'R') AS any_returned FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
-    "ownership_status": "SELECT i * 97 AS o_orderkey, CASE WHEN o_custkey IS NULL THEN 404 WHEN c_nationkey = 3 THEN 200 ELSE 403 END AS status FROM range(1, 400) t(i) LEFT JOIN orders ON o_orderkey = i * 97 LEFT JOIN customer ON c_custkey = o_custkey",
-    "anti_prereq": "WITH had AS (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey) SELECT c_custkey, count(*) AS n_missing, min(p_partkey) AS first_missing FROM customer, part WHERE c_mktsegment = 'BUILDING' AND c_custkey <= 300 AND p_partkey <= 20 AND NOT EXISTS (SELECT 1 FROM had WHERE o_custkey = c_custkey AND l_partkey = p_partkey) GROUP BY 1",
+    "ownership_status": "WITH a AS (SELECT o_orderkey AS k FROM orders UNION ALL SELECT -o_orderkey FROM orders) SELECT k AS o_orderkey, CASE WHEN o_custkey IS NULL THEN 404 WHEN c_nationkey = 3 THEN 200 ELSE 403 END AS status FROM a LEFT JOIN orders ON o_orderkey = k LEFT JOIN customer ON c_custkey = o_custkey",
+    "anti_prereq": "WITH had AS (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey) SELECT c_custkey, count(*) AS n_missing, min(p_partkey) AS first_missing FROM customer, part WHERE c_mktsegment = 'BUILDING' AND p_partkey <= 20 AND NOT EXISTS (SELECT 1 FROM had WHERE o_custkey = c_custkey AND l_partkey = p_partkey) GROUP BY 1",
     "semi_passed": "SELECT p_brand, count(*) AS n FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1",
     "group_duplicate": "SELECT l_orderkey, l_suppkey, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS lines FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
     "credit_bounds": "SELECT l_orderkey, t AS total, CASE WHEN t > 200 THEN 'over' WHEN t < 20 THEN 'under' ELSE 'ok' END AS status, CASE WHEN t > 200 THEN round(t - 200, 2) WHEN t < 20 THEN round(20 - t, 2) ELSE 0.0::DOUBLE END AS distance FROM (SELECT l_orderkey, round(sum(l_quantity), 2) AS t FROM lineitem GROUP BY 1)",
@@ -198,9 +200,9 @@ ORACLE_SQL = {
     "first_per_key": "SELECT o_custkey, o_orderkey, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1",
     "candidate_priority": "WITH p AS (SELECT *, CASE WHEN p_size >= 45 THEN 0 WHEN starts_with(p_type, 'PROMO') THEN 1 WHEN p_retailprice > 1500 THEN 2 ELSE 3 END AS priority FROM part) SELECT * FROM (SELECT p_brand, p_partkey, priority, row_number() OVER (PARTITION BY p_brand ORDER BY priority, p_retailprice DESC, p_partkey) AS place FROM p) WHERE place <= 5",
     "sorts_misc": "WITH o AS (SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus <> 'O') AS left_out FROM orders GROUP BY 1), t AS (SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderstatus = 'O') SELECT t.*, left_out FROM t JOIN o USING (o_orderpriority) WHERE rn <= 3",
-    "alternatives": "WITH o AS (SELECT l_partkey, l_suppkey, min(l_extendedprice) AS price FROM lineitem GROUP BY 1, 2) SELECT a.l_orderkey, a.l_linenumber, o.l_suppkey, price FROM lineitem a JOIN o ON o.l_partkey = a.l_partkey AND o.l_suppkey <> a.l_suppkey WHERE a.l_returnflag = 'R' AND a.l_orderkey <= 500 QUALIFY row_number() OVER (PARTITION BY a.l_orderkey, a.l_linenumber ORDER BY price, o.l_suppkey) = 1",
+    "alternatives": "WITH o AS (SELECT l_partkey, l_suppkey, min(l_extendedprice) AS price FROM lineitem GROUP BY 1, 2) SELECT a.l_orderkey, a.l_linenumber, o.l_suppkey, price FROM lineitem a JOIN o ON o.l_partkey = a.l_partkey AND o.l_suppkey <> a.l_suppkey WHERE a.l_returnflag = 'R' QUALIFY row_number() OVER (PARTITION BY a.l_orderkey, a.l_linenumber ORDER BY price, o.l_suppkey) = 1",
     "array_ops": "WITH x AS (SELECT l_orderkey, list(l_returnflag ORDER BY l_linenumber, l_returnflag, l_suppkey) AS f, list(l_suppkey ORDER BY l_linenumber, l_returnflag, l_suppkey) AS s FROM lineitem GROUP BY 1) SELECT l_orderkey, array_to_string(list_transform(list_filter(list_zip(f, range(len(f))), lambda p: list_position(f, p[1]) = p[2] + 1), lambda p: p[1]), '') AS distinct_flags, array_to_string(list_transform(list_filter(list_zip(f, range(len(f))), lambda p: p[2] % 2 = 0), lambda p: p[1]), '') AS even_flags, array_to_string(f[greatest(len(f) - 2, 1):], '') AS last_three, array_to_string(list_sort(list_filter(['A', 'N', 'R'], lambda v: NOT list_contains(f, v))), '') AS absent, s[-1] AS last_supplier FROM x",
-    "context_row": "WITH s AS (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS spent, count(*) FILTER (WHERE o_orderstatus = 'P') AS pending FROM orders GROUP BY 1) SELECT i * 53 AS c_custkey, coalesce(c_name, 'unknown') AS name, c_name IS NULL AS is_default, coalesce(n, 0) AS n_orders, coalesce(spent, 0) AS spent, coalesce(pending, 0) AS pending FROM range(1, 60) t(i) LEFT JOIN customer ON c_custkey = i * 53 LEFT JOIN s ON o_custkey = i * 53",
+    "context_row": "WITH s AS (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS spent, count(*) FILTER (WHERE o_orderstatus = 'P') AS pending FROM orders GROUP BY 1) SELECT k AS c_custkey, coalesce(c_name, 'unknown') AS name, c_name IS NULL AS is_default, coalesce(n, 0) AS n_orders, coalesce(spent, 0) AS spent, coalesce(pending, 0) AS pending FROM (SELECT c_custkey AS k FROM customer UNION ALL SELECT -c_custkey FROM customer) LEFT JOIN customer ON c_custkey = k LEFT JOIN s ON o_custkey = k",
     "alerts_rules": "WITH d AS (SELECT *, date_diff('day', DATE '1995-06-15', CAST(l_shipdate AS DATE)) AS days FROM lineitem), a AS (SELECT l_orderkey, 'A1' AS code FROM d WHERE days IN (7, 3, 1) UNION SELECT l_orderkey, 'A2' FROM d WHERE days BETWEEN 0 AND 7 AND l_returnflag = 'R' UNION SELECT l_orderkey, 'A3' FROM d WHERE days BETWEEN 0 AND 30 AND l_quantity <= 2) SELECT code, count(*) AS n, min(l_orderkey || ':' || code || ':1995-06-15') AS first_key FROM a GROUP BY 1",
-    "replace_by_key": "WITH l AS (SELECT * FROM lineitem WHERE l_orderkey <= 2000), n AS (SELECT * FROM l WHERE l_linenumber > 3), u AS (SELECT l_orderkey, l_linenumber FROM l WHERE l_linenumber <= 3 AND NOT EXISTS (SELECT 1 FROM n WHERE n.l_orderkey = l.l_orderkey AND n.l_suppkey = l.l_suppkey) UNION ALL SELECT l_orderkey, l_linenumber FROM n) SELECT l_orderkey, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS line_sum FROM u GROUP BY 1",
+    "replace_by_key": "WITH l AS (SELECT * FROM lineitem), n AS (SELECT * FROM l WHERE l_linenumber > 3), u AS (SELECT l_orderkey, l_linenumber FROM l WHERE l_linenumber <= 3 AND NOT EXISTS (SELECT 1 FROM n WHERE n.l_orderkey = l.l_orderkey AND n.l_suppkey = l.l_suppkey) UNION ALL SELECT l_orderkey, l_linenumber FROM n) SELECT l_orderkey, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS line_sum FROM u GROUP BY 1",
 }

@@ -63,8 +63,7 @@ def interval_overlap_exact(spark, sf):
 def exam_semi_clash(spark, sf):
     """Orders that clash with some other one (exists)."""
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("d"))
-    other = o.select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("k"), F.col("d").alias("e"))
-    return o.join(other, (F.col("o_custkey") == F.col("c")) & (F.col("o_orderkey") != F.col("k")) & (F.abs(F.datediff("d", "e")) < 10), "left_semi").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return I.near_another(o, ["o_custkey"], ["o_orderkey"], "d", 10).groupBy("o_custkey").agg(F.count("*").alias("n"))
 
 
 def lane_assign(spark, sf):
@@ -73,6 +72,13 @@ def lane_assign(spark, sf):
     return g.groupBy("o_custkey", "lane_group").agg(F.count("*").alias("n"), F.min("from_day").alias("from_day"), F.max("to_day").alias("to_day"))
 
 
+def lane_numbers(spark, sf):
+    """A lane for each order of 60 days among those of its customer that overlap it."""
+    day = F.unix_date(F.to_date("o_orderdate")).cast("long")
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", day.alias("s"), (day + 60).alias("e"))
+    return I.lanes(I.lanes_groups(o, ["o_custkey"], "s", "e", ["o_orderkey"]), ["o_custkey", "lane_group"], "s", "e", ["o_orderkey"]).select("o_orderkey", "lane", "n_lanes")
+
+
 def rush_moves(spark, sf):
     """The next event of a user within a quarter of an hour, of another kind."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -88,8 +94,8 @@ def time_format(spark, sf):
 
 
 def calendar_rows(spark, sf):
-    """Four weekly occurrences of each of the first orders."""
-    o = table(spark, sf, "orders").filter("o_orderkey <= 1000").select("o_orderkey", S.first_weekday(F.to_date("o_orderdate"), (F.col("o_orderkey") % 5).cast("int")).alias("first"))
+    """Four weekly occurrences of each order."""
+    o = table(spark, sf, "orders").select("o_orderkey", S.first_weekday(F.to_date("o_orderdate"), (F.col("o_orderkey") % 5).cast("int")).alias("first"))
     return o.select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("week"), "first").select("o_orderkey", "week", F.date_add("first", F.col("week") * 7).alias("day"))
 
 
@@ -100,7 +106,7 @@ def greedy_plan(spark, sf):
     return planning.greedy(pool, "o_custkey", ["rank", "l_orderkey", "l_linenumber", "l_partkey"], "l_quantity", "mask", "item", 60.0)
 
 
-QUERIES = {f.__name__: f for f in (slot_mask, slot_week, slot_clash, slot_overlap_islands, slot_profile, interval_overlap_exact, exam_semi_clash, lane_assign, rush_moves, time_format, calendar_rows, greedy_plan)}
+QUERIES = {f.__name__: f for f in (slot_mask, slot_week, slot_clash, slot_overlap_islands, slot_profile, interval_overlap_exact, exam_semi_clash, lane_assign, lane_numbers, rush_moves, time_format, calendar_rows, greedy_plan)}
 
 _RUNS = MEETINGS + ", w AS (SELECT user_id, day, bit_or(mask) AS mask FROM k GROUP BY 1, 2), b AS (SELECT user_id, day, i AS slot FROM w, range(26) t(i) WHERE (mask >> i) & 1 = 1), r AS (SELECT user_id, day, min(slot) AS f, max(slot) + 1 AS a FROM (SELECT *, slot - row_number() OVER (PARTITION BY user_id, day ORDER BY slot) AS g FROM b) GROUP BY user_id, day, g)"
 ORACLE_SQL = {
@@ -114,5 +120,5 @@ ORACLE_SQL = {
     "lane_assign": "WITH o AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS f, CAST(o_orderdate AS DATE) + 60 AS t FROM orders), b AS (SELECT *, max(t) OVER (PARTITION BY o_custkey ORDER BY f, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o), g AS (SELECT *, CAST(sum(CASE WHEN before IS NULL OR f >= before THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY f, o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS lane_group FROM b) SELECT o_custkey, lane_group, count(*) AS n, min(f) AS from_day, max(t) AS to_day FROM g GROUP BY 1, 2",
     "rush_moves": "WITH n AS (SELECT event_id, floor(epoch(ts)) AS t, event_type, floor(epoch(lead(ts) OVER w)) AS nt, lead(event_type) OVER w AS ne, lead(event_id) OVER w AS next_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id, next_id, CAST(floor((nt - t) / 60) AS BIGINT) AS gap_minutes FROM n WHERE (nt - t) / 60 BETWEEN 0 AND 900 AND event_type <> ne",
     "time_format": "WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderkey % 1440 AS m FROM orders) SELECT o_orderkey, printf('%02d:%02d', m // 60, m % 60) AS clock, m AS minutes, isodow(d) - 1 AS weekday, d + CAST((2 - (isodow(d) - 1) + 7) % 7 AS INT) AS first_wednesday, (1998 - year(d)) * 12 + 12 - month(d) AS months_old, year(d) + 543 AS be_year, strftime(d, '%Y%m%d') || 'T' || printf('%02d%02d', m // 60, m % 60) || '00' AS stamp FROM orders JOIN o USING (o_orderkey)",
-    "calendar_rows": "WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey <= 1000) SELECT o_orderkey, CAST(w AS INT) AS week, d + CAST((o_orderkey % 5 - (isodow(d) - 1) + 7) % 7 + w * 7 AS INT) AS day FROM o, range(4) t(w)",
+    "calendar_rows": "WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders) SELECT o_orderkey, CAST(w AS INT) AS week, d + CAST((o_orderkey % 5 - (isodow(d) - 1) + 7) % 7 + w * 7 AS INT) AS day FROM o, range(4) t(w)",
 }
