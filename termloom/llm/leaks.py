@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ COUNTERS, POWER = 1 << 18, 1.5
 #: Windows of so many blocks; an item of n words is sought in the first that holds it whole wherever it begins.
 SCALES = (3, 5, 7, *(12 << k for k in range(20)))
 #: A window is a candidate for an item from this cosine. README.md has the share of windows and the recall at it.
-COSINE = 0.36
+COSINE = 0.38
 #: Least share of an item's words in order, without and with its answer; least share of the answer.
 ALONE, WITH_ANSWER, ANSWER = 0.8, 0.6, 0.8
 #: Items in a block, and words whose vectors are made at a time.
@@ -188,11 +188,11 @@ def masks_of(words: list[int]) -> dict[int, int]:
 
 def checked(window: list[int], item: dict) -> tuple[float, float]:
     """Shares of the item and of its answer that stand in the window, in order."""
-    hits = [w for w in window if w in item["masks"]]
-    n = item["n"]
+    masks, n = item["masks"], item["n"]
+    hits = [w for w in window if w in masks]
     if len(hits) < WITH_ANSWER * n:  # a window can hold no more of an item in order than words that the item has at all
         return 0.0, 0.0
-    share = common(item["masks"], n, hits) / n
+    share = common(masks, n, hits) / n
     if share < WITH_ANSWER:
         return share, 0.0
     answer = [w for w in window if w in item["answer"]]
@@ -247,8 +247,8 @@ def found_in(docs: list[np.ndarray], space: np.ndarray, idf: np.ndarray, items:
             z = unit(sums[low + width[own]] - sums[low])
             for j in range(0, len(places), 4000):
                 near = z @ matrix[j : j + 4000].T
-                for i, k in zip(*(x.tolist() for x in np.nonzero(near >= COSINE)), strict=True):
-                    yield int(own[i]), int(begin[i]), scale, float(near[i, k]), int(places[j + k])
+                i, k = np.nonzero(near >= COSINE)
+                yield from zip(own[i].tolist(), begin[i].tolist(), repeat(scale), near[i, k].tolist(), places[j + k].tolist(), strict=False)
 
 
 def search(table: DataFrame, items: list[tuple], space: np.ndarray, idf: np.ndarray) -> DataFrame:
@@ -277,13 +277,16 @@ def search(table: DataFrame, items: list[tuple], space: np.ndarray, idf: np.ndar
                 words = np.frombuffer(raw, np.uint32)
                 for at in range(0, max(1, len(words) - overlap), PART):
                     parts.append((d, words[at : at + PART + overlap]))
+            lists: dict[int, list[int]] = {}
             for i, block, s, cosine, k in found_in([w for _, w in parts], space, idf, by_scale):
-                d, words = parts[i]
+                d = parts[i][0]
+                if i not in lists:
+                    lists[i] = parts[i][1].tolist()
                 if k not in known:
                     if len(known) > 20_000:
                         known.clear()
                     known[k] = described(*items[k][:2])
-                share, answer = checked(words[block * BLOCK : (block + SCALES[s]) * BLOCK].tolist(), known[k])
+                share, answer = checked(lists[i][block * BLOCK : (block + SCALES[s]) * BLOCK], known[k])
                 if (share >= ALONE or share >= WITH_ANSWER and answer >= ANSWER) and (share, answer) > best.get((d, k), (0, 0, 0))[:2]:
                     best[d, k] = (share, answer, cosine)
             yield record(schema, [(ids[d], items[k][0], round(c, 4), round(s, 4), round(a, 4)) for (d, k), (s, a, c) in best.items()])
