@@ -162,6 +162,29 @@ def test_questions(spark):
     assert v("RSI!") == ["rsi", "what is rsi", "rsi how"] and v("please tell me about the RSI") == ["please tell me about the rsi", "tell me about rsi"]
 
 
+def test_lanes(spark):
+    """Against a plain assignment of the first free lane."""
+    import random
+
+    from termloom.operators import intervals
+
+    draw = random.Random(5)
+    rows = [(k, i, s := draw.randrange(60), s + draw.randrange(1, 12)) for k in range(4) for i in range(25)]
+    df = spark.createDataFrame(rows, "k long, i long, s long, e long")
+    got = {(r["k"], r["i"]): (r["lane"], r["n_lanes"]) for r in intervals.lanes(intervals.lanes_groups(df, ["k"], "s", "e", ["i"]), ["k", "lane_group"], "s", "e", ["i"]).collect()}
+    want = {}
+    for k in range(4):
+        ends, members = [], []
+        for s, i, e in [*sorted((s, i, e) for kk, i, s, e in rows if kk == k), (10**6, None, 0)]:
+            if members and s >= max(ends):  # all have ended: a new group
+                want |= {(k, j): (lane, len(ends)) for j, lane in members}
+                ends, members = [], []
+            lane = next((n for n, x in enumerate(ends) if x <= s), len(ends))
+            ends[lane : lane + 1] = [e]
+            members.append((i, lane))
+    assert got == want
+
+
 def test_relaxation(spark):
     pool = spark.createDataFrame([("a", 1, 3.0, 1, "x", True), ("b", 1, 3.0, 1, "y", False), ("c", 1, 0.5, 1, "z", False)], "who string, rank int, cost double, mask long, item string, nice boolean")
     got = {r["who"]: (r["status"], r["chosen"]) for r in planning.relaxed(pool, "who", ["rank"], "cost", "mask", "item", 6.0, 2.0, [("strict", "nice", True), ("any", "true", True)]).collect()}
