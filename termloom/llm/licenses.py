@@ -51,20 +51,20 @@ class SuffixAutomaton:
         self.vocabulary: dict[str, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        ends: list[dict[int, int]] = [{}]
+        ends: list[dict[int, set[int]]] = [{}]
         self.templates = [(label, words(t)) for label, t in templates.items()]
         for k, sequence in enumerate([t for _, t in self.templates] + [words(p) for p in phrases]):
             last = 0
             for at, w in enumerate(sequence):
                 last = self._extend(last, self.vocabulary.setdefault(w, len(self.vocabulary)), ends)
                 if k < len(self.templates):
-                    ends[last].setdefault(k, at)
+                    ends[last].setdefault(k, set()).add(at)
         for s in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
             if self.link[s] > 0:
                 for k, at in ends[s].items():
-                    ends[self.link[s]].setdefault(k, at)
-        #: for each state: template -> where some occurrence of its factors ends
-        self.ends = ends
+                    ends[self.link[s]].setdefault(k, set()).update(at)
+        #: for each state that may end a long match: template -> where its factors end there, ascending
+        self.ends = [{k: sorted(at) for k, at in e.items()} if self.length[s] >= SHORTEST else {} for s, e in enumerate(ends)]
         own: dict[int, list[tuple[int, str]]] = {}
         for p, label in phrases.items():
             s = 0
@@ -76,7 +76,7 @@ class SuffixAutomaton:
         for s in sorted(range(1, len(self.next)), key=self.length.__getitem__):
             self.phrases[s] = self.phrases[self.link[s]] + own.get(s, [])
 
-    def _extend(self, last: int, c: int, ends: list[dict[int, int]]) -> int:
+    def _extend(self, last: int, c: int, ends: list[dict[int, set[int]]]) -> int:
         if c in self.next[last]:
             q = self.next[last][c]
             return q if self.length[q] == self.length[last] + 1 else self._split(last, q, c, ends)
@@ -92,16 +92,16 @@ class SuffixAutomaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, c, ends)
         return new
 
-    def _state(self, length: int, edges: dict[int, int], ends: list[dict[int, int]]) -> int:
+    def _state(self, length: int, edges: dict[int, int], ends: list[dict[int, set[int]]]) -> int:
         self.next.append(edges)
         self.link.append(0)
         self.length.append(length)
         ends.append({})
         return len(self.next) - 1
 
-    def _split(self, p: int, q: int, c: int, ends: list[dict[int, int]]) -> int:
+    def _split(self, p: int, q: int, c: int, ends: list[dict[int, set[int]]]) -> int:
         clone = self._state(self.length[p] + 1, dict(self.next[q]), ends)
-        ends[clone] = dict(ends[q])
+        ends[clone] = {k: set(at) for k, at in ends[q].items()}
         self.link[clone], self.link[q] = self.link[q], clone
         while p >= 0 and self.next[p].get(c) == q:
             self.next[p][c] = clone
@@ -135,7 +135,10 @@ class SuffixAutomaton:
         return found, long
 
     def spans(self, long: list[tuple[int, int, int]]) -> list[tuple[str, float, int, int]]:
-        """Chains of matches: (label, share of the template covered, first word, word after the last)."""
+        """Chains of matches: (label, share of the template covered, first word, word after the last).
+
+        A match that stands at several places of a template takes the one that adds most to the chain, the first of those.
+        """
         out = []
         chains: dict[int, list[int]] = {}  # template -> [covered words, first word, end, end in the template]
 
@@ -144,8 +147,11 @@ class SuffixAutomaton:
             out.append((self.templates[k][0], covered / len(self.templates[k][1]), first, end))
 
         for end, size, state in long:
-            for k, at in self.ends[state].items():
+            for k, places in self.ends[state].items():
                 c = chains.get(k)
+                at = places[0]
+                if c and len(places) > 1:
+                    at = max(places, key=lambda x: (min(size, x + 1 - c[3]), -x))
                 new = min(size, at + 1 - c[3], end - c[2]) if c else size
                 if c and (end - size - c[2] > GAP or new < 1):
                     close(k)

@@ -50,6 +50,15 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan_licenses(docs).count() == len(TEXTS) and licenses.scan_licenses(empty).count() == 0
 
 
+def test_a_template_that_repeats_a_phrase():
+    """The second match of a repeated phrase goes on where the chain stands, so all of the template is covered."""
+    template = "one two three four five six one two three four five seven eight nine ten eleven"
+    automaton = licenses.SuffixAutomaton({}, {"x": template})
+    text = template.replace("six", "six zzz").split()
+    assert automaton.spans(automaton.scan(text)[1]) == [("x", 1.0, 0, len(text))]
+    assert automaton.spans(automaton.scan(template.split())[1]) == [("x", 1.0, 0, 16)]
+
+
 def test_phrases_against_brute_force():
     automaton = licenses.SuffixAutomaton(licenses.PHRASES, licenses.TEMPLATES)
     pool = sorted({w for p in licenses.PHRASES for w in p.split()} | {"of"})
