@@ -93,7 +93,7 @@ ORACLE_SQL = {
     "markdown_chunks": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, p // 4 + 1 AS section, string_agg(line, chr(10) ORDER BY p) FILTER (WHERE p % 4 <> 0) AS text FROM l GROUP BY 1, 2), b AS (SELECT *, section - 1 AS k FROM s) SELECT doc_id, section, CASE k % 4 WHEN 0 THEN 'T' || 4 * k WHEN 1 THEN 'T' || 4 * (k - 1) || ' > T' || 4 * k WHEN 2 THEN 'T' || 4 * (k - 2) || ' > T' || 4 * (k - 1) || ' > T' || 4 * k ELSE 'T' || 4 * (k - 3) || ' > T' || 4 * k END AS breadcrumb, length(trim(coalesce(text, ''), ' '))::INT AS chars FROM b",
     "html_rows": "WITH x AS (SELECT page_id, regexp_extract_all(html, '(?s)<(li|p)>(.*?)</(?:li|p)>', 1) AS t, regexp_extract_all(html, '(?s)<(li|p)>(.*?)</(?:li|p)>', 2) AS b FROM pages), r AS (SELECT page_id, unnest(t) AS tag, unnest(b) AS body, unnest(range(len(t))) AS position FROM x) SELECT page_id, position::INT AS position, tag, regexp_extract(body, 'href=\"([^\"]*)\"', 1) AS href, regexp_replace(body, '<[^>]*>', '', 'g') AS text FROM r",
     "dates_scalar": f"WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(o_orderkey % 900 AS INT) AS m, o_orderpriority AS p FROM orders) SELECT o_orderkey, d AS date, m AS start_min, m + 95 AS end_min, 1 AS n_slots, (isodow(d) - 1)::INT AS day, '2/25' || strftime(d, '%y') AS term, ((2 * m + 95) // 60 * 30)::INT AS middle, {_STAMP.format(d='d', m='m')} AS stamp, greatest(1, 2540 - (year(d) + 543) + 1)::INT AS study_year, 7 AS clamped FROM o",
-    "calendar_ics": f"WITH m AS (SELECT l_orderkey, l_linenumber * 10000000 + l_partkey AS position, 'P' || l_partkey || '\; x\\,y' AS title, CASE WHEN l_returnflag = 'R' THEN 'LOCATION:Hall' || chr(13) || chr(10) ELSE '' END AS loc, l_partkey % 7 AS day, l_linenumber * 60 AS s, CAST(o_orderdate AS DATE) AS f FROM lineitem JOIN orders ON o_orderkey = l_orderkey), e AS (SELECT *, {_FIRST} AS d FROM m), t AS (SELECT l_orderkey, string_agg(CASE WHEN d <= f + 5 THEN 'BEGIN:VEVENT' || chr(13) || chr(10) || 'UID:' || l_orderkey || '-' || position || chr(13) || chr(10) || 'SUMMARY:' || title || chr(13) || chr(10) || loc || 'DTSTART:' || {_STAMP.format(d='d', m='s')} || chr(13) || chr(10) || 'DTEND:' || {_STAMP.format(d='d', m='(s + 50)')} || chr(13) || chr(10) || 'RRULE:FREQ=WEEKLY;BYDAY=' || ['MO', 'TU', 'WE', 'TH', 'FR', 'SA', 'SU'][day + 1] || ';UNTIL=' || strftime(f + 5, '%Y%m%d') || 'T235959' || chr(13) || chr(10) || 'END:VEVENT' || chr(13) || chr(10) ELSE '' END, '' ORDER BY position, loc) AS body, count(*) FILTER (WHERE d <= f + 5) AS n FROM e GROUP BY 1) SELECT l_orderkey, md5('BEGIN:VCALENDAR' || chr(13) || chr(10) || 'PRODID:-//plan//EN' || chr(13) || chr(10) || 'VERSION:2.0' || chr(13) || chr(10) || body || 'END:VCALENDAR' || chr(13) || chr(10)) AS digest, n::INT AS events FROM t",
+    "calendar_ics": f"WITH m AS (SELECT l_orderkey, l_linenumber * 10000000 + l_partkey AS position, 'P' || l_partkey || '\\; x\\,y' AS title, CASE WHEN l_returnflag = 'R' THEN 'LOCATION:Hall' || chr(13) || chr(10) ELSE '' END AS loc, l_partkey % 7 AS day, l_linenumber * 60 AS s, CAST(o_orderdate AS DATE) AS f FROM lineitem JOIN orders ON o_orderkey = l_orderkey), e AS (SELECT *, {_FIRST} AS d FROM m), t AS (SELECT l_orderkey, string_agg(CASE WHEN d <= f + 5 THEN 'BEGIN:VEVENT' || chr(13) || chr(10) || 'UID:' || l_orderkey || '-' || position || chr(13) || chr(10) || 'SUMMARY:' || title || chr(13) || chr(10) || loc || 'DTSTART:' || {_STAMP.format(d='d', m='s')} || chr(13) || chr(10) || 'DTEND:' || {_STAMP.format(d='d', m='(s + 50)')} || chr(13) || chr(10) || 'RRULE:FREQ=WEEKLY;BYDAY=' || ['MO', 'TU', 'WE', 'TH', 'FR', 'SA', 'SU'][day + 1] || ';UNTIL=' || strftime(f + 5, '%Y%m%d') || 'T235959' || chr(13) || chr(10) || 'END:VEVENT' || chr(13) || chr(10) ELSE '' END, '' ORDER BY position, loc) AS body, count(*) FILTER (WHERE d <= f + 5) AS n FROM e GROUP BY 1) SELECT l_orderkey, md5('BEGIN:VCALENDAR' || chr(13) || chr(10) || 'PRODID:-//plan//EN' || chr(13) || chr(10) || 'VERSION:2.0' || chr(13) || chr(10) || body || 'END:VCALENDAR' || chr(13) || chr(10)) AS digest, n::INT AS events FROM t",
     "metrics_lines": "WITH h AS (SELECT event_type, b.bound, b.le, count(*) FILTER (WHERE value <= b.le) AS n FROM events, (VALUES ('10.0', 10), ('25.0', 25), ('50.0', 50), ('100.0', 100), ('200.0', 200), ('+Inf', 'Infinity'::DOUBLE)) AS b(bound, le) GROUP BY 1, 2, 3) SELECT event_type, string_agg('event_value_bucket{event_type=\"' || event_type || '\",le=\"' || bound || '\"} ' || n, chr(10) ORDER BY le) AS lines FROM h GROUP BY 1",
     "message_last_write": "SELECT conv_id, turn, role, length(text) AS chars FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1",
     "section_faults": "WITH s AS (SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'N') AS n, count(*) FILTER (WHERE l_returnflag = 'N' AND l_partkey % 9 > 6) AS bad, count(*) FILTER (WHERE l_returnflag = 'N' AND CAST(trunc(l_quantity) AS INT) <= 2) AS back FROM lineitem GROUP BY 1), f AS (SELECT CASE WHEN n = 0 AND l_orderkey % 4 <> 0 THEN 'no meetings' WHEN bad > 0 THEN 'bad day' WHEN back > 0 THEN 'meeting ends before it starts' WHEN l_orderkey % 50 <= 0 THEN 'exam ends before it starts' END AS fault FROM s) SELECT fault, count(*) AS n FROM f WHERE fault IS NOT NULL GROUP BY 1",
