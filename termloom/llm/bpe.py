@@ -76,11 +76,18 @@ class Encoder:
             starts, ends = [0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(raw)]
             known.update((c, raw[a:b]) for c, a, b in zip(part, starts, ends, strict=True))
 
+    def trim(self, most: int = KEPT // 4) -> None:
+        """Forget chunks where there are more than ``most``; those that were met first are the frequent ones.
+
+        Tasks do so when they end, as other operators use the same workers.
+        """
+        if len(self.known) > most:
+            self.known = dict(islice(self.known.items(), KEPT // 4))
+
     def ids(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return [self.whole(t) for t in texts]
-        if len(self.known) > KEPT:
-            self.known = dict(islice(self.known.items(), KEPT // 4))  # chunks that were met first are the frequent ones
+        self.trim(KEPT)
         chunked = [CHUNK.findall(t) for t in texts]
         found = [list(map(self.known.get, chunks)) for chunks in chunked]
         missing = [[i for i, x in enumerate(parts) if x is None] for parts in found]

@@ -108,8 +108,7 @@ class Model:
             score = np.zeros((len(keys), len(langs)))
             score[at, which[own]] = n[own]
             self.levels.append((keys, np.log((score + 0.1) / (total[min(k, 1)] + 1))))
-        self.known: dict[str, int] = {}
-        self.scores = np.zeros((0, len(langs)))
+        self.forget()
 
     def _look(self, level: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which keys the level has, and where those are."""
@@ -141,13 +140,17 @@ class Model:
             open_words[here] = False
         return out
 
+    def forget(self) -> None:
+        """Drop the scores of words met so far; tasks do so when they end, as other operators use the same workers."""
+        self.known, self.scores = {}, np.zeros((0, len(self.langs)))
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and its probability; ``und`` and 0 without letters. Of languages with equal scores the first by name."""
         if not self.langs:
             return [("und", 0.0)] * len(texts)
         split = [words(t) for t in texts]
         if len(self.known) > KEPT:
-            self.known, self.scores = {}, self.scores[:0]
+            self.forget()
         fresh = sorted({w for found in split for w in found if len(w) <= LONG and w not in self.known})
         if fresh:
             begin = len(self.known)
@@ -199,6 +202,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in slices(batches, ("doc_id", "text")):
             yield record(schema, [(i, *p) for i, p in zip(ids, shared.value.predict(texts), strict=True)])
+        shared.value.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(predict, "doc_id long, lang_pred string, score double")
 
@@ -235,5 +239,6 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
                 else:
                     kept = [bool(words(t)) for t in texts]
                 yield part.filter(pa.array(kept, pa.bool_()))
+        shared.value.forget()
 
     return docs.mapInArrow(choose, docs.schema)

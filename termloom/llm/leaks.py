@@ -35,19 +35,24 @@ COSINE = 0.38
 ALONE, WITH_ANSWER, ANSWER = 0.8, 0.6, 0.8
 #: Items in a block, and words whose vectors are made at a time.
 ITEMS, AT_ONCE = 50_000, 16_000
-KEPT = 500_000
+KEPT = 400_000
 #: Longer texts are searched in parts of so many words that overlap by the widest window.
 PART = 8192 * BLOCK
 
 _words: dict[str, int] = {}
 
 
+def forget() -> None:
+    """Keep the words that were met first, which are the frequent ones; tasks do so when they end, as other operators use the same workers."""
+    global _words
+    _words = dict(islice(_words.items(), KEPT // 4))
+
+
 def hashed(text: str | None) -> np.ndarray:
     """A 32-bit hash of each word in lower case."""
-    global _words
     found = WORD.findall((text or "").lower())
     if len(_words) > KEPT:
-        _words = dict(islice(_words.items(), KEPT // 4))  # words that were met first are the frequent ones
+        forget()
     hashes = list(map(_words.get, found))
     for i, h in enumerate(hashes):
         if h is None:
@@ -80,6 +85,7 @@ def word_table(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in slices(batches, ("doc_id", "text")):
             yield record(schema, [(d, h.tobytes()) for d, t in zip(ids, texts, strict=True) if len(h := hashed(t))])
+        forget()
 
     return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc long, words binary"), "word-hashes")
 

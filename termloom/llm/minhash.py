@@ -19,6 +19,7 @@ import functools
 import operator
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,7 @@ M1, M2, M3, M4 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), n
 #: P(at most n darts in a cell) for rate 1, as 64-bit thresholds.
 POISSON = np.array([min(2**64 - 1, int(p * 2**64)) for p in np.cumsum([np.exp(-1) / np.prod(np.arange(1, n + 1), dtype=float) for n in range(12)])], np.uint64)
 
+WORDS_KEPT = 300_000
 _words: dict[str, int] = {}
 
 
@@ -60,13 +62,19 @@ def unit(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+def forget() -> None:
+    """Keep the words that were met first, which are the frequent ones; tasks do so when they end, as other operators use the same workers."""
+    global _words
+    _words = dict(islice(_words.items(), WORDS_KEPT // 4))
+
+
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct five-word shingles and how often each occurs; fewer words make one shingle."""
     found = WORD.findall((text or "").lower())
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if len(_words) > 300_000:
-        _words.clear()
+    if len(_words) > WORDS_KEPT:
+        forget()
     for w in set(found).difference(_words):
         _words[w] = xxhash.xxh3_64_intdigest(w.encode())
     h = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
@@ -185,6 +193,7 @@ def _sketches(rows: DataFrame) -> DataFrame:
                 key = xxhash.xxh3_128_digest((" ".join(found) if found else "\0" + (text or "")).encode())
                 out.append((key, own, *(x.view(np.int64).tolist() for x in bands(text))))
             yield record(schema, out)
+        forget()
 
     found = rows.select("digest", "text").mapInArrow(run, "key binary, digest binary, bands array<long>, weighted array<long>, plain array<long>")
     return found.select("key", "digest", "bands", F.struct("weighted", "plain").alias("bits"))

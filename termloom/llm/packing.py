@@ -79,6 +79,7 @@ def ordered_ids(docs: DataFrame, tokenizer: str, end_id: int = END) -> DataFrame
             coded = enc.ids([t or "" for t in texts])
             curve = hilbert(list(points([np.frombuffer(raw, enc.dtype) for raw in coded]).T)).tolist()
             yield record(schema, [(d, c, xxhash.xxh3_128_digest(raw), len(raw) // enc.dtype.itemsize + 1, raw + end) for d, c, raw in zip(doc_ids, curve, coded, strict=True)])
+        enc.trim()
 
     coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, curve long, mark binary, n_tokens long, ids binary")
     coded = written(coded.withColumn("row", F.monotonically_increasing_id()), "coded")

@@ -107,6 +107,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             nulls += sum(d is None for d in doc_ids)
             ids.append(np.array([d for d in doc_ids if d is not None], np.int64))
             lengths.append(np.array([len(c) // enc.dtype.itemsize + 1 for c in coded], np.int64))
+        enc.trim()
         if out is None:
             return
         own, sizes = np.concatenate(ids), np.concatenate(lengths)
