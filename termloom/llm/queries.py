@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import chat, langid, leaks, licenses, media, minhash, packing, repeats, token_file, warc
+from termloom.llm import chat, jaccard, langid, leaks, licenses, media, minhash, packing, repeats, token_file, trie, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,18 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_ids(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_media_columns": op2_media_columns,
@@ -71,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
     "op10_token_ids": op10_token_ids,
+    "op11_whitening": op11_whitening,
+    "op12_ngram_jaccard": op12_ngram_jaccard,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -96,6 +111,31 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                (3 + sum(length(esc) + CASE WHEN before IS NULL OR before <> role THEN length(esc_role) + 8 ELSE 3 END))::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op13_prefix_trie": """
+        WITH own AS (
+            SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS at,
+                   {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t
+            FROM conversations WHERE conv_id IS NOT NULL),
+        convs AS (
+            SELECT c, count(*) AS n, c - c % 100 AS base,
+                   xor(list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR x IN string_split(c::VARCHAR, '')])),
+                       lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295) % 6 AS h
+            FROM own GROUP BY c),
+        steps AS (
+            SELECT k.c, o.at AS at, o.t FROM convs k JOIN own o ON o.c = k.base WHERE o.at < k.h
+            UNION ALL SELECT k.c, o.at, o.t FROM convs k JOIN own o ON o.c = k.c WHERE o.at >= k.h),
+        lists AS (SELECT k.c, coalesce((SELECT list(s.t ORDER BY s.at) FROM steps s WHERE s.c = k.c), []) AS l FROM convs k),
+        paths AS (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM lists),
+        nodes AS (SELECT d, l[1:d] AS p, min(c) AS conv_id, count(*) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE len(l) = d), '') AS ends FROM paths GROUP BY d, l[1:d]),
+        kids AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+        full_nodes AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k ON n.d = k.d AND n.p = k.p),
+        above AS (SELECT *, unnest(range(0, d + 1)) AS up FROM full_nodes),
+        rolled AS (
+            SELECT up AS d, p[1:up] AS p, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves,
+                   sum(CASE WHEN d = 0 THEN 0 ELSE (n - 1) * length(p[d].text) END)::BIGINT AS saved_tokens
+            FROM above GROUP BY ALL)
+        SELECT f.conv_id, f.d AS depth, u.conv_id AS parent_conv_id, f.n AS n_convs, f.n_children, r.n_leaves, r.saved_tokens, sha256(f.ends) AS ends_sha256
+        FROM full_nodes f JOIN rolled r ON f.d = r.d AND f.p = r.p LEFT JOIN nodes u ON u.d = f.d - 1 AND u.p = f.p[1:f.d - 1]""",
 }
 
 
