@@ -107,10 +107,11 @@ def reduced(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     q = np.eye(n)
     for k in range(n - 2):
         v = a[k + 1 :, k].copy()
-        size = np.linalg.norm(v)
-        if size == 0:
+        largest = np.abs(v).max()
+        if largest == 0:
             continue
-        v[0] += math.copysign(size, v[0])
+        v /= largest  # squares of rounding would be lost
+        v[0] += math.copysign(np.linalg.norm(v), v[0])
         v /= np.linalg.norm(v)
         p = a[k + 1 :, k + 1 :] @ v
         w = p - v * (v @ p)
