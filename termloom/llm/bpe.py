@@ -1,7 +1,8 @@
 """Token ids of texts by the tokenizers library, each distinct chunk encoded once.
 
 A byte-level BPE vocabulary never joins characters across the start of a run of white space, so a text can be
-cut there, and equal chunks have equal ids. Vocabularies built otherwise are encoded text by text.
+cut there, and equal chunks have equal ids. Before that texts are cut at the vocabulary's special tokens, as white space
+before one ends a text of its own. Vocabularies built otherwise are encoded text by text.
 """
 
 from __future__ import annotations
@@ -43,7 +44,10 @@ class Encoder:
         before = made["pre_tokenizer"] or {}
         self.newline = self.tokenizer.token_to_id("Ċ")
         self.by_chunk = made["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"] and self.newline is not None
-        self.known: dict[str, bytes] = {}
+        added = sorted((t["content"] for t in made["added_tokens"]), key=len, reverse=True)  # of several the longest
+        self.by_chunk &= not any(t[c] for t in made["added_tokens"] for c in ("lstrip", "rstrip", "single_word"))
+        self.special = re.compile(f"({'|'.join(map(re.escape, added))})") if added else None
+        self.known: dict[str, bytes] = {t: self.whole(t) for t in added}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -84,11 +88,17 @@ class Encoder:
         if len(self.known) > most:
             self.known = dict(islice(self.known.items(), KEPT // 4))
 
+    def chunks(self, text: str) -> list[str]:
+        parts = self.special.split(text) if self.special else [text]
+        if len(parts) == 1:
+            return CHUNK.findall(text)
+        return [c for k, part in enumerate(parts) for c in ([part] if k % 2 else CHUNK.findall(part))]
+
     def ids(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return [self.whole(t) for t in texts]
         self.trim(KEPT)
-        chunked = [CHUNK.findall(t) for t in texts]
+        chunked = [self.chunks(t) for t in texts]
         found = [list(map(self.known.get, chunks)) for chunks in chunked]
         missing = [[i for i, x in enumerate(parts) if x is None] for parts in found]
         fresh = dict.fromkeys(chunks[i] for chunks, at in zip(chunked, missing, strict=True) for i in at)

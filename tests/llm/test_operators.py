@@ -109,6 +109,9 @@ def test_tokens_are_the_library_s():
     t, enc = Tokenizer.from_file(PATH), bpe.Encoder(PATH)
     texts = [t or "" for _, t in TEXTS] + ["a   b  c", "x\n \ny", " \t lead", "trail  ", "it's 12,5!! <|endoftext|> z<|endoftext|>", "a  b \x1c c", "z" * 500, "\n", "a|b\x85c"]
     texts += ["it's We'LL don't, é's x'd", "word—next a,b;c ǅabc ʰabc aʰ, ßx² 12abc abc12 _a_ a_b", "İstanbul’s ͅa á, b", "a\x1cb |x| <|endoftext|>,a", "ªº µm Ⅷa aⅧ, 中文,字 a中"]
+    texts += ["\n\n<|endoftext|>", "a  <|endoftext|>  b", "<|endoftext|><|endoftext|> \t", "x <|endoftext|", "\n <|endoftext|>\n <|endoftext|>é"]
+    signs = ["<|endoftext|>", " ", "\n", "\t", "a", "it's", "é", "1", "|", "<", "\u3000", "\x1c", ",", "Word"]
+    texts += ["".join(signs[k] for k in rng.integers(0, len(signs), rng.integers(1, 12))) for _ in range(3000)]
     for text, raw in zip(texts, enc.ids(texts), strict=True):
         assert np.frombuffer(raw, enc.dtype).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
