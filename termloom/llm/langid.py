@@ -26,6 +26,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST, BACK_OFF = 5, math.log(0.4)
 #: Distinct labelled texts of each language that a model is fitted on, at most; those of the smallest hashes are taken.
 FIT_ROWS = 4000
+#: Distinct texts drawn beyond four times FIT_ROWS, so that small bounds are reached too.
+SPARE = 100
 #: Scored words that a worker remembers, and the length from which words are scored anew each time.
 KEPT, LONG = 200_000, 64
 #: Languages up to this number are joined to rows as a broadcast table.
@@ -176,13 +178,14 @@ class Model:
 def fit_sample(labelled: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     """text, lang: at most ``rows`` distinct texts of each language, all of them where there are no more.
 
-    Texts are ranked by a hash. Rows beyond about four times the wanted rank are left out before copies are merged (by
-    their hash, on the map side first), so neither a frequent language nor a text of many copies gathers in a task.
+    Texts are ranked by a hash. Those beyond about four times the wanted rank, told by the number of distinct hashes of
+    the language, are left out before texts are shuffled, and copies are merged on the map side first, so neither a
+    frequent language nor a text of many copies gathers in a task.
     """
     own = labelled.filter("text is not null and lang is not null").select("lang", "text", (F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(2.0**53)).alias("u"))
-    sizes = written(own.groupBy("lang").agg(F.count("*").alias("n")), "language-sizes")
+    sizes = written(own.groupBy("lang").agg(F.count_distinct("u").alias("n")), "language-sizes")
     known = F.broadcast(sizes) if sizes.count() <= FEW else sizes
-    chosen = written(own.join(known, "lang").filter(F.col("u") < F.lit(4.0 * rows) / F.col("n")).groupBy("lang", "u").agg(F.first("text").alias("text")), "labelled")
+    chosen = written(own.join(known, "lang").filter(F.col("u") < F.lit(4.0 * rows + SPARE) / F.col("n")).groupBy("lang", "u").agg(F.first("text").alias("text")), "labelled")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("u"))
     last = chosen.select("lang", "u").withColumn("rank", rank).filter(F.col("rank") <= rows).groupBy("lang").agg(F.max("u").alias("last"))
     return chosen.join(last, "lang").filter("u <= last").select("text", "lang")

@@ -73,3 +73,10 @@ def test_odd_words(spark):
     found = langid.fit_sample(many, 20).groupBy("lang").count().collect()
     assert sorted((r["lang"], r["count"]) for r in found) == [("a", 20), ("b", 20)]
     assert langid.fit_sample(many, 1000).count() == 200
+
+
+def test_copies_cost_no_training_text(spark):
+    """20,000 rows of 200 distinct texts: a bound of 200 keeps them all, a bound of 50 keeps 50."""
+    many = spark.range(20_000).selectExpr("id AS doc_id", "concat('w', if(id % 3 = 0, 0, id % 200), ' common') AS text", "'a' AS lang")
+    assert langid.fit_sample(many, 200).count() == 200
+    assert langid.fit_sample(many, 50).select("text").distinct().count() == 50
