@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.queries import assist, events, graphs, parsing, relational, texts, timetable
+from termloom.queries import assist, events, graphs, pages, parsing, relational, texts, timetable
 
-GROUPS = (events, relational, timetable, texts, assist, parsing, graphs)
+GROUPS = (events, relational, timetable, texts, assist, parsing, graphs, pages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
