@@ -11,11 +11,11 @@ from termloom.operators import planning
 from termloom.sources import table
 
 
-def _meetings(spark, sf):
+def _meetings(spark, sf, *more):
     """Each event is a meeting on its weekday, from its time of day, 20 to 169 minutes long."""
     ev = table(spark, sf, "events").filter("user_id is not null")
     start = F.hour("ts") * 60 + F.minute("ts")
-    return ev.select("event_id", "user_id", F.weekday("ts").alias("day"), start.alias("start"), (start + 20 + F.col("event_id") % 150).cast("long").alias("end"))
+    return ev.select("event_id", "user_id", F.weekday("ts").alias("day"), start.alias("start"), (start + 20 + F.col("event_id") % 150).cast("long").alias("end"), *more)
 
 
 MEETINGS = "m AS (SELECT event_id, user_id, (isodow(ts) - 1)::INT AS day, hour(ts) * 60 + minute(ts) AS s, hour(ts) * 60 + minute(ts) + 20 + event_id % 150 AS e FROM events WHERE user_id IS NOT NULL), c AS (SELECT *, greatest(s, 480) AS a, least(e, 1260) AS b FROM m), k AS (SELECT *, CASE WHEN a < b THEN (1::BIGINT << CAST(ceil((b - 480) / 30.0) AS INT)) - (1::BIGINT << CAST(floor((a - 480) / 30.0) AS INT)) ELSE 0 END AS mask FROM c)"
@@ -33,8 +33,7 @@ def slot_week(spark, sf):
 
 def slot_clash(spark, sf):
     """Meetings of one user, one calendar day, that touch a common slot."""
-    ev = _meetings(spark, sf).join(table(spark, sf, "events").select("event_id", F.to_date("ts").alias("date")), "event_id")
-    m = ev.withColumn("mask", S.slot_mask(F.col("start"), F.col("end")))
+    m = _meetings(spark, sf, F.to_date("ts").alias("date")).withColumn("mask", S.slot_mask(F.col("start"), F.col("end")))
     return I.clashes(m, ["user_id", "date"], "event_id").select("user_id", "date", "a", "b", "both")
 
 
