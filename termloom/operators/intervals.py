@@ -73,3 +73,25 @@ def lanes(rows: DataFrame, group: list[str], start: str, end: str, order: list[s
     done = listed.withColumn("plan", F.aggregate("rows", begin, place))
     flat = done.select(*group, F.size("plan.ends").alias("n_lanes"), F.explode(F.arrays_zip(F.col("rows"), F.col("plan.lanes").alias("lane"))).alias("z"))
     return flat.select(*group, *(F.col(f"z.rows.{c}").alias(c) for c in order), F.col("z.lane").alias("lane"), "n_lanes")
+
+
+def others_mask(parts: DataFrame, plan: str, part: str, mask: str) -> DataFrame:
+    """plan, part, kept: the slots that all other parts of a plan take, by what stands before and after a part.
+
+    Masks of one part are joined first, so a part never stands in its own way; a plan's only part has 0.
+    """
+    own = parts.groupBy(plan, part).agg(F.bit_or(mask).alias("own"))
+    w = Window.partitionBy(plan).orderBy(part)
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    side = lambda over: F.coalesce(F.bit_or("own").over(over), F.lit(0).cast("long"))
+    return own.select(plan, part, side(before).bitwiseOR(side(after)).alias("kept"))
+
+
+def fitting_alternatives(chosen: DataFrame, pool: DataFrame, plan: str, part: str, section: str) -> DataFrame:
+    """plan, part, section, to: for each chosen section the smallest other one of its part with seats that meets none of
+    the plan's other parts. ``chosen`` and ``pool`` have part, section, mask, the pool full as well (null: not full)."""
+    kept = others_mask(chosen, plan, part, "mask")
+    own = chosen.select(plan, part, section).distinct().join(kept, [plan, part])
+    other = pool.filter(~F.coalesce("full", F.lit(False))).select(part, F.col(section).alias("to"), F.col("mask").alias("taken"))
+    fits = own.join(other, part).filter((F.col("to") != F.col(section)) & (F.col("taken").bitwiseAND(F.col("kept")) == 0))
+    return fits.groupBy(plan, part, section).agg(F.min("to").alias("to"))

@@ -105,10 +105,20 @@ def greedy_plan(spark, sf):
     return planning.greedy(pool, "o_custkey", ["rank", "l_orderkey", "l_linenumber", "l_partkey"], "l_quantity", "mask", "item", 60.0)
 
 
-QUERIES = {f.__name__: f for f in (slot_mask, slot_week, slot_clash, slot_overlap_islands, slot_profile, interval_overlap_exact, exam_semi_clash, lane_assign, lane_numbers, rush_moves, time_format, calendar_rows, greedy_plan)}
+def alternatives_fitting(spark, sf):
+    """For each line of an order another supplier of its part whose hours meet none of the order's other parts."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    start = F.col("l_suppkey") % 24 * S.SLOT + S.OPENS
+    lines = lines.withColumn("mask", S.slot_mask(start, start + 60 + F.col("l_partkey") % 3 * S.SLOT))
+    pool = lines.select("l_partkey", "l_suppkey", "mask", (F.col("l_suppkey") % 10 == 0).alias("full")).distinct()
+    return I.fitting_alternatives(lines, pool, "l_orderkey", "l_partkey", "l_suppkey")
+
+
+QUERIES = {f.__name__: f for f in (alternatives_fitting, slot_mask, slot_week, slot_clash, slot_overlap_islands, slot_profile, interval_overlap_exact, exam_semi_clash, lane_assign, lane_numbers, rush_moves, time_format, calendar_rows, greedy_plan)}
 
 _RUNS = MEETINGS + ", w AS (SELECT user_id, day, bit_or(mask) AS mask FROM k GROUP BY 1, 2), b AS (SELECT user_id, day, i AS slot FROM w, range(26) t(i) WHERE (mask >> i) & 1 = 1), r AS (SELECT user_id, day, min(slot) AS f, max(slot) + 1 AS a FROM (SELECT *, slot - row_number() OVER (PARTITION BY user_id, day ORDER BY slot) AS g FROM b) GROUP BY user_id, day, g)"
 ORACLE_SQL = {
+    "alternatives_fitting": "WITH l AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, (1::BIGINT << least(l_suppkey % 24 + 2 + l_partkey % 3, 26)::INT) - (1::BIGINT << (l_suppkey % 24)::INT) AS mask FROM lineitem), k AS (SELECT a.l_orderkey, a.l_partkey, a.l_suppkey, coalesce(bit_or(b.mask), 0) AS kept FROM l a LEFT JOIN l b ON b.l_orderkey = a.l_orderkey AND b.l_partkey <> a.l_partkey GROUP BY 1, 2, 3), p AS (SELECT DISTINCT l_partkey, l_suppkey, mask FROM l WHERE l_suppkey % 10 <> 0) SELECT l_orderkey, k.l_partkey, k.l_suppkey, min(p.l_suppkey) AS \"to\" FROM k JOIN p ON p.l_partkey = k.l_partkey AND p.l_suppkey <> k.l_suppkey AND p.mask & kept = 0 GROUP BY 1, 2, 3",
     "slot_mask": f"WITH {MEETINGS} SELECT event_id, day, mask, array_to_string(list_transform(range(26), lambda i: CAST((mask >> i) & 1 AS VARCHAR)), '') AS text FROM k",
     "slot_week": f"WITH {MEETINGS} SELECT user_id, day, bit_or(mask) AS mask, bit_count(bit_or(mask))::BIGINT AS busy FROM k GROUP BY 1, 2",
     "slot_clash": f"WITH {MEETINGS}, d AS (SELECT k.*, CAST(events.ts AS DATE) AS date FROM k JOIN events USING (event_id)) SELECT x.user_id, x.date, x.event_id AS a, y.event_id AS b, x.mask & y.mask AS both FROM d x JOIN d y ON x.user_id = y.user_id AND x.date = y.date AND x.event_id < y.event_id WHERE x.mask & y.mask <> 0",
