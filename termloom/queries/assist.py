@@ -21,7 +21,7 @@ def _asked(spark, sf):
 
 def query_variants(spark, sf):
     """Wordings of each question: short ones get context, long ones lose polite words."""
-    q = _asked(spark, sf).select("conv_id", "turn", questions.variants(F.left("text", F.lit(40)), ["{} what is it", "{} how to use it", "meaning of {}"], ["and", "of", "the"]).alias("v"))
+    q = _asked(spark, sf).select("conv_id", "turn", questions.variants(F.col("text"), ["{} what is it", "{} how to use it", "meaning of {}"], ["and", "of", "the"]).alias("v"))
     return q.select("conv_id", "turn", F.size("v").alias("n"), F.array_join("v", "|").alias("variants"))
 
 
@@ -42,13 +42,15 @@ def tool_plan(spark, sf):
 
 
 def payload_scrub_deep(spark, sf):
-    """A payload around each event: sensitive keys go at any depth, texts are scrubbed, all else stays."""
+    """A payload around each event and its props: sensitive keys go at any depth, texts are scrubbed, all else stays."""
     ev = table(spark, sf, "events")
-    mail = F.concat(F.lit("u"), F.col("event_id").cast("string"), F.lit("@example.org"))
-    payload = F.to_json(F.struct(F.struct(F.col("event_id").alias("id"), mail.alias("Email"), F.struct(mail.alias("note"), F.lit("secret").alias("token")).alias("inner")).alias("outer"), F.array(F.struct(F.concat(F.lit("call 081-234-5678 "), "event_type").alias("text"))).alias("list")))
+    mail = F.concat(F.lit("u"), F.coalesce(F.col("user_id").cast("string"), F.lit("nobody")), F.lit("@example.org"))
+    told = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("call 081-234-"), F.lpad((F.col("event_id") % 10000).cast("string"), 4, "0"))).otherwise(F.concat(F.lit("room "), (F.col("event_id") % 1000).cast("string")))
+    rest = F.struct(F.struct(F.col("event_id").alias("id"), mail.alias("Email"), F.struct(mail.alias("note"), F.col("value").alias("token")).alias("inner")).alias("outer"), F.array(F.struct(F.concat(told, F.lit(" "), "event_type").alias("text"))).alias("list"))
+    payload = F.concat(F.lit('{"props": ['), F.coalesce("props", F.lit("null")), F.lit('], "body": '), F.to_json(rest), F.lit("}"))
     clean = X.scrub_json(payload)
     get = lambda p: F.get_json_object(clean, p)
-    return ev.select("event_id", get("$.outer.id").cast("long").alias("id"), get("$.outer.Email").isNull().alias("no_mail"), get("$.outer.inner.note").alias("note"), get("$.outer.inner.token").isNull().alias("no_token"), get("$.list[0].text").alias("text"))
+    return ev.select("event_id", get("$.body.outer.id").cast("long").alias("id"), get("$.body.outer.Email").isNull().alias("no_mail"), get("$.body.outer.inner.note").alias("note"), get("$.body.outer.inner.token").isNull().alias("no_token"), get("$.body.list[0].text").alias("text"), get("$.props[0].k").cast("long").alias("k"))
 
 
 def sse_parse(spark, sf):
@@ -96,10 +98,10 @@ QUERIES = {f.__name__: f for f in (query_variants, expand_topics, tool_plan, pay
 _Q = "SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user'"
 _TOPIC = {name: "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")" for name, words, _ in TOPICS}
 ORACLE_SQL = {
-    "query_variants": f"WITH q AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(left(text, 40)), '[!-/:-@\\[-`{{-~]', ' ', 'g'), '\\s+', ' ', 'g')) AS b FROM ({_Q})), s AS (SELECT *, trim(regexp_replace(regexp_replace(b, '\\b(and|of|the)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS s FROM q), v AS (SELECT conv_id, turn, CASE WHEN length(b) <= 18 THEN [b, b || ' what is it', b || ' how to use it', 'meaning of ' || b] WHEN s <> '' AND s <> b THEN [b, s] ELSE [b] END AS v FROM s) SELECT conv_id, turn, len(v)::INT AS n, array_to_string(v, '|') AS variants FROM v",
+    "query_variants": f"WITH q AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[!-/:-@\\[-`{{-~]', ' ', 'g'), '\\s+', ' ', 'g')) AS b FROM ({_Q})), s AS (SELECT *, trim(regexp_replace(regexp_replace(b, '\\b(and|of|the)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS s FROM q), v AS (SELECT conv_id, turn, CASE WHEN length(b) <= 18 THEN [b, b || ' what is it', b || ' how to use it', 'meaning of ' || b] WHEN s <> '' AND s <> b THEN [b, s] ELSE [b] END AS v FROM s) SELECT conv_id, turn, len(v)::INT AS n, array_to_string(v, '|') AS variants FROM v",
     "expand_topics": f"SELECT conv_id, turn, concat_ws('; ', CASE WHEN {_TOPIC['graduate']} THEN 'degree total credits' END, CASE WHEN {_TOPIC['term_credits']} THEN 'credits a term' END, CASE WHEN {_TOPIC['credits']} AND NOT {_TOPIC['graduate']} AND NOT {_TOPIC['term_credits']} THEN 'credits' END, CASE WHEN {_TOPIC['clash']} THEN 'times that clash' END, CASE WHEN {_TOPIC['exam']} THEN 'exam calendar' END) AS added FROM ({_Q})",
     "tool_plan": f"WITH i AS (SELECT conv_id, turn, lower(text) AS t FROM ({_Q})), k AS (SELECT conv_id, turn, CASE WHEN contains(t, 'with') THEN 'PLAN' WHEN contains(t, 'is') THEN 'CHECK' ELSE 'ASK' END AS intent, contains(t, 'term') AS term, regexp_matches(t, '[0-9]{{2,}}') AS code, contains(t, 'day') AS d FROM i), m AS (SELECT conv_id, turn, intent, CASE intent WHEN 'PLAN' THEN concat_ws(',', CASE WHEN NOT term THEN 'term' END, CASE WHEN NOT d THEN 'day' END) WHEN 'CHECK' THEN concat_ws(',', CASE WHEN NOT code THEN 'code' END) ELSE '' END AS missing FROM k) SELECT conv_id, turn, intent, missing, CASE intent WHEN 'PLAN' THEN 'context > catalog+rules > plan' WHEN 'CHECK' THEN 'catalog > check' ELSE 'search' END AS stages, CASE WHEN missing <> '' THEN 'clarify' ELSE 'run' END AS action FROM m",
-    "payload_scrub_deep": "SELECT event_id, event_id::BIGINT AS id, true AS no_mail, '[EMAIL]' AS note, true AS no_token, 'call [PHONE] ' || event_type AS text FROM events",
+    "payload_scrub_deep": "SELECT event_id, event_id::BIGINT AS id, true AS no_mail, '[EMAIL]' AS note, true AS no_token, CASE WHEN user_id % 2 = 0 THEN 'call [PHONE] ' ELSE 'room ' || (event_id % 1000) || ' ' END || event_type AS text, (props->>'$.k')::BIGINT AS k FROM events",
     "sse_parse": "SELECT conv_id, count(*) FILTER (WHERE role = 'assistant') AS tokens, count(*) FILTER (WHERE role IS DISTINCT FROM 'assistant') AS contexts, 1::BIGINT AS done, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1",
     "text_rows_parse": "SELECT l_orderkey, count(*) AS csv_rows, sum(l_linenumber % 6 + 1)::BIGINT AS csv_credits, count(*) FILTER (WHERE l_returnflag = 'R') AS csv_failed, count(*) AS text_rows, sum(l_linenumber % 6 + 1)::BIGINT AS text_credits, count(*) FILTER (WHERE l_returnflag = 'R') AS text_failed FROM lineitem GROUP BY 1",
     "nested_projection": "WITH i AS (SELECT l_orderkey, count(*)::INT AS n, arg_min(l_returnflag, (l_linenumber, upper(trim(l_returnflag)), greatest(50 - l_quantity, 0))) AS c, min(l_linenumber) AS p, round(sum(greatest(50 - l_quantity, 0)), 2) AS l FROM lineitem GROUP BY 1) SELECT o_orderkey, o_orderpriority AS level, n AS n_items, p::INT AS first_position, c AS first_code, l AS left FROM orders JOIN i ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O'",

@@ -24,8 +24,8 @@ def graph_critical_path(spark, sf):
 
 
 def graph_eligible(spark, sf):
-    """Not passed, and every direct prerequisite passed."""
-    passed = table(spark, sf, "lineitem").filter("l_returnflag = 'A'").select(F.col("l_partkey").alias("p")).distinct()
+    """Not passed, and every direct prerequisite passed; a part with more A than R lines is passed."""
+    passed = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p")).agg((F.count_if(F.col("l_returnflag") == "A") > F.count_if(F.col("l_returnflag") == "R")).alias("good")).filter("good").select("p")
     edges = _edges(spark, sf)
     missing = edges.join(passed, F.col("a") == F.col("p"), "left_anti").select(F.col("b").alias("p"))
     all_parts = table(spark, sf, "part").select(F.col("p_partkey").alias("p"))
@@ -66,7 +66,7 @@ _CRITICAL = "n AS (SELECT a AS node FROM e UNION SELECT b FROM e), x AS (SELECT
 ORACLE_SQL = {
     "graph_closure": f"{_REACH} SELECT source, count(*) AS unlocks, max(depth) AS depth FROM r GROUP BY 1",
     "graph_critical_path": f"{_REACH}, {_CRITICAL} SELECT * FROM c",
-    "graph_eligible": "WITH p AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A') SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT k FROM p) AND (p_partkey < 2 OR p_partkey // 2 IN (SELECT k FROM p))",
+    "graph_eligible": "WITH p AS (SELECT l_partkey AS k FROM lineitem GROUP BY 1 HAVING count(*) FILTER (WHERE l_returnflag = 'A') > count(*) FILTER (WHERE l_returnflag = 'R')) SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT k FROM p) AND (p_partkey < 2 OR p_partkey // 2 IN (SELECT k FROM p))",
     "graph_info": f"{_REACH}, {_CRITICAL}, p AS (SELECT b AS node, string_agg(CAST(a AS VARCHAR), ',' ORDER BY a) AS prerequisites FROM e GROUP BY 1), s AS (SELECT a AS node, string_agg(CAST(b AS VARCHAR), ',' ORDER BY b) AS unlocks_directly FROM e GROUP BY 1) SELECT node, coalesce(prerequisites, '') AS prerequisites, coalesce(unlocks_directly, '') AS unlocks_directly, depth, unlocks, score FROM c LEFT JOIN p USING (node) LEFT JOIN s USING (node)",
     "graph_cycles": "WITH RECURSIVE e AS (SELECT p_partkey AS a, CASE WHEN p_partkey % 10 = 4 THEN p_partkey - 4 ELSE p_partkey + 1 END AS b FROM part WHERE p_partkey % 5 <> 4 OR p_partkey % 10 = 4), w(path, b) AS (SELECT [a], b FROM e UNION ALL SELECT list_append(path, w.b), e.b FROM w JOIN e ON e.a = w.b WHERE w.b > path[1] AND NOT list_contains(path, w.b)) SELECT array_to_string(path, ',') AS cycle, len(path) AS n FROM w WHERE b = path[1]",
     "stream_dedup": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",

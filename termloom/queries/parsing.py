@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from termloom import sinks
 from termloom.functions import dates, hashing
+from termloom.functions.text import WHITE
 from termloom.operators import analytics, chunking
 from termloom.queries.events import BOUNDS
 from termloom.sources import markdown, table, timetable
@@ -88,8 +89,11 @@ def masked_users(spark, sf):
 QUERIES = {f.__name__: f for f in (doc_chunks_soft, doc_chunks_lines, markdown_chunks, html_rows, dates_scalar, calendar_ics, metrics_lines, message_last_write, section_faults, masked_users)}
 
 _STAMP = "strftime({d}, '%Y%m%d') || 'T' || printf('%02d%02d00', {m} // 60, {m} % 60)"
+_WHITE = "'" + WHITE + "'"
+_END = "CASE WHEN length(t) - s <= 420 THEN length(t) WHEN contains(substr(t, s + 211, 210), chr(10)) THEN s + 420 - instr(reverse(substr(t, s + 211, 210)), chr(10)) WHEN contains(substr(t, s + 211, 210), ' ') THEN s + 420 - instr(reverse(substr(t, s + 211, 210)), ' ') ELSE s + 420 END"
 _FIRST = "f + CAST((day - (isodow(f) - 1) + 7) % 7 AS INT)"
 ORACLE_SQL = {
+    "doc_chunks_soft": f"WITH RECURSIVE d AS (SELECT doc_id, trim(text, {_WHITE}) AS t FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, t, s, {_END} AS e FROM (SELECT doc_id, t, 0::BIGINT AS s FROM d WHERE t <> '') UNION ALL SELECT doc_id, t, s, {_END} AS e FROM (SELECT doc_id, t, greatest(e - 80, s + 1) AS s FROM c WHERE e < length(t))), k AS (SELECT doc_id, s, trim(substr(t, s + 1, e - s), {_WHITE}) AS chunk FROM c) SELECT doc_id, count(*) AS n, round(avg(length(chunk)), 4) AS mean_chars, min(length(chunk)) AS shortest, max(length(chunk)) AS longest, md5(string_agg(chunk, chr(12) ORDER BY s)) AS digest FROM k WHERE chunk <> '' GROUP BY 1",
     "markdown_chunks": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, p // 4 + 1 AS section, string_agg(line, chr(10) ORDER BY p) FILTER (WHERE p % 4 <> 0) AS text FROM l GROUP BY 1, 2), b AS (SELECT *, section - 1 AS k FROM s) SELECT doc_id, section, CASE k % 4 WHEN 0 THEN 'T' || 4 * k WHEN 1 THEN 'T' || 4 * (k - 1) || ' > T' || 4 * k WHEN 2 THEN 'T' || 4 * (k - 2) || ' > T' || 4 * (k - 1) || ' > T' || 4 * k ELSE 'T' || 4 * (k - 3) || ' > T' || 4 * k END AS breadcrumb, length(trim(coalesce(text, ''), ' '))::INT AS chars FROM b",
     "html_rows": "WITH x AS (SELECT page_id, regexp_extract_all(html, '(?s)<(li|p)>(.*?)</(?:li|p)>', 1) AS t, regexp_extract_all(html, '(?s)<(li|p)>(.*?)</(?:li|p)>', 2) AS b FROM pages), r AS (SELECT page_id, unnest(t) AS tag, unnest(b) AS body, unnest(range(len(t))) AS position FROM x) SELECT page_id, position::INT AS position, tag, regexp_extract(body, 'href=\"([^\"]*)\"', 1) AS href, regexp_replace(body, '<[^>]*>', '', 'g') AS text FROM r",
     "dates_scalar": f"WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(o_orderkey % 900 AS INT) AS m, o_orderpriority AS p FROM orders) SELECT o_orderkey, d AS date, m AS start_min, m + 95 AS end_min, 1 AS n_slots, (isodow(d) - 1)::INT AS day, '2/25' || strftime(d, '%y') AS term, ((2 * m + 95) // 60 * 30)::INT AS middle, {_STAMP.format(d='d', m='m')} AS stamp, greatest(1, 2540 - (year(d) + 543) + 1)::INT AS study_year, 7 AS clamped FROM o",

@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,23 +40,70 @@ def test_keys(spark):
 def test_scrubbing_at_any_depth(spark):
     raw = json.dumps({"Token": "x", "a": [{"b": "mail a.b@c.org", "PASSWORD": 1}, 5, None], "c": "0812345678 and 1164104412345"})
     assert json.loads(one(spark, X.scrub_json(F.lit(raw)))) == {"a": [{"b": "mail [EMAIL]"}, 5, None], "c": "[PHONE] and [STUDENT_ID]"}
-    assert one(spark, X.scrub_json(F.lit("no json"))) is None
+    assert one(spark, X.scrub_json(F.lit("no json"))) is None and one(spark, X.scrub_json(F.lit("[" * 200_000))) is None
+    assert one(spark, X.scrub_json(F.lit('"a@b.co"'))) == '"[EMAIL]"' and one(spark, X.scrub_json(F.lit('[[{"x": {"Cookie": {}, "y": ["a@b.co"]}}], 1.5]'))) == '[[{"x": {"y": ["[EMAIL]"]}}], 1.5]'
     assert one(spark, X.scrub(F.lit("Bearer abc.def== eyJa.eyJb.c 123456789012-3"))) == "Bearer [REDACTED] [JWT] [STUDENT_ID]"
 
 
-def test_chunks():
-    assert chunking.soft("  short ", 20, 5) == ["short"] and chunking.soft(" ", 20, 5) == []
-    text = "aaaa bbbb\ncccc dddd eeee ffff"
-    assert chunking.soft(text, 14, 3) == ["aaaa bbbb", "bbb\ncccc dddd", "ddd eeee ffff"]
-    assert all(len(c) <= 50 for c in chunking.soft("x" * 1000, 50, 10)) and "".join(c[:40] for c in chunking.soft("x" * 1000, 50, 10)) == "x" * 960 + "x" * 40
-    assert chunking.whole_lines("ab\n\ncd\n" + "e" * 25 + "\nf", 10, 2) == ["ab\ncd", "e" * 10, "e" * 10, "e" * 9, "f"]
+def soft_plain(text, size, overlap):
+    """The rule by itself: of all places where a chunk may end, those of lines first, then of blanks, the last one."""
+    text, at, out = text.strip(), 0, []
+    while at < len(text):
+        places = range(at + size // 2, at + size)
+        end = len(text) if at + size >= len(text) else next((p for sign in "\n " for p in reversed(places) if text[p] == sign), at + size)
+        out.append(text[at:end].strip())
+        if end == len(text):
+            break
+        at = max(end - overlap, at + 1)
+    return [c for c in out if c]
+
+
+def lines_plain(text, size, overlap):
+    """Groups of lines that can't take one more; longer lines in windows."""
+    groups = []
+    for line in filter(None, map(str.strip, text.split("\n"))):
+        if len(line) <= size and groups and groups[-1] is not None and len(groups[-1]) + 1 + len(line) <= size:
+            groups[-1] += "\n" + line
+        elif len(line) <= size:
+            groups.append(line)
+        else:
+            windows = [line[i : i + size] for i in range(0, len(line), size - overlap)]
+            groups += [w for i, w in enumerate(windows) if (i == 0 or i * (size - overlap) < len(line) - size + (size - overlap)) and w.strip()] + [None]
+    return [g for g in groups if g is not None]
+
+
+def test_chunks(spark):
+    cut = lambda f, text, *a: one(spark, f(F.lit(text), *a))
+    assert cut(chunking.soft, "  short ", 20, 5) == ["short"] and cut(chunking.soft, " ", 20, 5) == [] and cut(chunking.soft, None, 20, 5) is None
+    assert cut(chunking.soft, "aaaa bbbb\ncccc dddd eeee ffff", 14, 3) == ["aaaa bbbb", "bbb\ncccc dddd", "ddd eeee ffff"]
+    xs = cut(chunking.soft, "x" * 1000, 50, 10)
+    assert all(len(c) <= 50 for c in xs) and "".join(c[:40] for c in xs) == "x" * 960 + "x" * 40
+    assert cut(chunking.whole_lines, "ab\n\ncd\n" + "e" * 25 + "\nf", 10, 2) == ["ab\ncd", "e" * 10, "e" * 10, "e" * 9, "f"]
+    assert cut(chunking.whole_lines, "e" * 10 + "\nab", 10, 2) == ["e" * 10, "ab"] and cut(chunking.whole_lines, None, 10, 2) is None
+
+
+def test_chunks_of_random_texts(spark):
+    dice = random.Random(5)
+    texts = ["".join(dice.choices("ab \n\u00a0\U0001f600é", weights=[9, 9, dice.choice([1, 6]), dice.choice([0, 3]), 1, 1, 1], k=dice.randrange(120))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    for size, overlap in ((20, 5), (9, 0), (10, 5), (12, 8), (8, 7), (2, 1), (1, 0)):
+        got = {r["i"]: (r["s"], r["w"]) for r in df.select("i", chunking.soft(F.col("t"), size, overlap).alias("s"), chunking.whole_lines(F.col("t"), size, overlap).alias("w")).collect()}
+        for i, t in enumerate(texts):
+            assert got[i] == (soft_plain(t, size, overlap), lines_plain(t, size, overlap)), (size, overlap, t)
+
+
+def test_chunks_of_a_long_text(spark):
+    text = ("word " * 9 + "\n") * 40_000
+    assert one(spark, F.size(chunking.soft(F.lit(text), 420, 80))) == len(soft_plain(text, 420, 80))
+    with pytest.raises(ValueError, match="part"):
+        chunking.chunked(spark.createDataFrame([("a", 1)], "t string, part int"), "t", 5, 1)
 
 
 def test_chunk_queries_cover_texts(spark):
     df = spark.createDataFrame([(1, "one two three " * 80, "c"), (2, None, "c"), (3, " \n", "c"), (4, "word " * 10, "c")], "doc_id long, text string, part string").drop("part")
     rows = chunking.chunked(df, "text", 100, 20).collect()
     by = {i: [r["chunk"] for r in sorted(rows, key=lambda r: r["part"]) if r["doc_id"] == i] for i in (1, 2, 3, 4)}
-    assert by[2] == by[3] == [] and len(by[4]) == 1 and all(len(c) <= 100 for c in by[1]) and by[1] == chunking.soft("one two three " * 80, 100, 20)
+    assert by[2] == by[3] == [] and len(by[4]) == 1 and all(len(c) <= 100 for c in by[1]) and by[1] == soft_plain("one two three " * 80, 100, 20)
 
 
 def test_markdown(spark, tmp_path):
@@ -113,8 +161,21 @@ def test_registrar_pages(spark, tmp_path):
 
 
 def test_transcripts(spark):
-    assert transcript.rows_of('รหัสวิชา,ชื่อวิชา,หน่วยกิต,เกรด\nA1,"x, y",3(2-2-5),B+\n\n,,,\n') == [("A1", "x, y", 3, "B+", "")]
-    assert transcript.rows_of("A1,A\nB2,F") == [("A1", "", 3, "A", ""), ("B2", "", 3, "F", "")] and transcript.rows_of(None) == []
+    sheets = ['รหัสวิชา,ชื่อวิชา,หน่วยกิต,เกรด\nA1,"x, y",3(2-2-5),B+\n\n,,,\n', "A1,A\nB2,F", None, " \n", "A1", "Term,Grade,Code,Code\n1/66,A,no,C3\nx,B\n", 'code,name\nD4,"two\nlines"\nCode,again\n', "code,credits\nE5,๑๒\nF6,99999999999\nG7,none", "code,name\nH8," + "z" * 200_000]
+    df = spark.createDataFrame(list(enumerate(sheets)), "id int, t string")
+    got = {}
+    for r in sorted(transcript.from_csv_text(df, "t").collect()):
+        got.setdefault(r["id"], []).append(r[2:])
+    assert got == {
+        0: [("A1", "x, y", 3, "B+", "")],
+        1: [("A1", "", 3, "A", ""), ("B2", "", 3, "F", "")],
+        4: [("A1", "", 3, "", "")],
+        5: [("C3", "", 3, "A", "1/66")],
+        6: [("D4", "two\nlines", 3, "", "")],
+        7: [("E5", "", 12, "", ""), ("F6", "", 3, "", ""), ("G7", "", 3, "", "")],
+        8: [("H8", "z" * 200_000, 3, "", "")],
+    }
+    assert transcript.from_csv_text(df.limit(0), "t").count() == 0
     df = spark.createDataFrame([(1, "04000201-62 Physics 1 B+ 1/2566\n\n04000202-62 เคมี 12 ไม่ผ่าน\nno grade here 99")], "id long, t string")
     assert [(r["code"], r["credits"], r["grade"]) for r in transcript.from_free_text(df, "t").orderBy("line").collect()] == [("04000201-62", 1, "B+"), ("04000202-62", 12, "ไม่ผ่าน")]
 
@@ -197,7 +258,7 @@ def test_queries_without_sql_on_tables(spark):
 
     sf = "/root/testdata/sf0.001"
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    for name, cut in (("doc_chunks_soft", chunking.soft), ("doc_chunks_lines", chunking.whole_lines)):
+    for name, cut in (("doc_chunks_soft", soft_plain), ("doc_chunks_lines", lines_plain)):
         got = {r["doc_id"]: (r["n"], r["digest"]) for r in queries.queries()[name](spark, sf).collect()}
         assert got == {i: (len(c), hashlib.md5("\f".join(c).encode()).hexdigest()) for i, t in texts.items() if (c := cut(t or "", 420, 80))}
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").join(spark.read.parquet(f"{sf}/orders.parquet"), F.col("l_orderkey") == F.col("o_orderkey")).collect()
