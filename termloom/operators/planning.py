@@ -1,4 +1,4 @@
-"""Greedy planning: choices depend on earlier ones, so each student's pool is folded by Spark's aggregate."""
+"""Plans: greedy choice, where each student's pool is folded by Spark's aggregate, and repairs by joins."""
 
 from __future__ import annotations
 
@@ -36,3 +36,36 @@ def relaxed(pool: DataFrame, who: str, order: list[str], cost: str, mask: str, i
     first = plans.groupBy(who).agg(F.min_by(F.struct("status", "chosen", "n_chosen", "cost"), "level").alias("p"))
     everyone = pool.select(who).distinct()
     return everyone.join(first, who, "left").select(who, F.coalesce("p.status", F.lit("infeasible")).alias("status"), "p.chosen", "p.n_chosen", "p.cost")
+
+
+def repairs(chosen: DataFrame, pool: DataFrame, plan: str) -> DataFrame:
+    """plan, course, from, to, faults: every change of one section that leaves its whole plan without a fault.
+
+    ``chosen`` has plan, section, course, slots (array of struct(kind, at): the times it takes, kind C1 for meetings and
+    C2 for exams, in a unit that is exact), full, passed; ``pool`` has section, course, slots, full. A section is at fault
+    if it shares a slot (C1, C2) or is full (C6); it may give way to another section of its course with seats. The plan
+    that results is checked anew: no slot taken twice, no full section, no course twice or already passed (C5).
+
+    No pairs within a plan: a slot's takers are counted once. Without a section no slot is shared if none has three takers
+    and every one with two is the section's own. Repeated rows count once; null slots are none, null flags are false; rows
+    of a null plan have no repairs, empty tables none either.
+    """
+    own = chosen.select(plan, "section", "course", F.coalesce("slots", F.array().cast(chosen.schema["slots"].dataType)).alias("slots"), F.coalesce("full", F.lit(False)).alias("full"), F.coalesce("passed", F.lit(False)).alias("passed"))
+    own = own.groupBy(plan, "section", "course").agg(F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"), F.bool_or("full").alias("full"), F.bool_or("passed").alias("passed"))
+    taken = own.select(plan, "section", F.explode("slots").alias("slot"))
+    takers = taken.groupBy(plan, "slot").agg(F.count("*").alias("n"))
+    shared = takers.filter("n > 1")
+    in_plan = shared.groupBy(plan).agg(F.count("*").alias("twice"), F.count_if(F.col("n") > 2).alias("thrice"))
+    in_section = taken.join(shared, [plan, "slot"]).groupBy(plan, "section").agg(F.count("*").alias("mine"), F.collect_set("slot.kind").alias("kinds"))
+    courses = own.groupBy(plan, "course").agg(F.count("*").alias("n"), F.count_if("full").alias("full"), F.bool_or("passed").alias("passed"))
+    sound = courses.groupBy(plan).agg(F.sum("full").alias("n_full"), (F.max("n") == 1).alias("single"), F.bool_or("passed").alias("again")).filter("single and not again").select(plan, "n_full")
+
+    bad = own.join(sound, plan).join(in_plan, plan, "left").join(in_section, [plan, "section"], "left").na.fill(0, ["twice", "thrice", "mine"])
+    bad = bad.filter(((F.col("mine") > 0) | F.col("full")) & (F.col("thrice") == 0) & (F.col("mine") == F.col("twice")) & (F.col("n_full") == F.col("full").cast("int")))
+    faults = F.concat(F.coalesce("kinds", F.array().cast("array<string>")), F.when(F.col("full"), F.array(F.lit("C6"))).otherwise(F.array().cast("array<string>")))
+    bad = bad.select(plan, "course", F.col("section").alias("from"), "slots", F.array_join(F.array_sort(faults), ",").alias("faults"))
+    seats = pool.filter(~F.coalesce("full", F.lit(False))).groupBy("course", F.col("section").alias("to")).agg(F.array_distinct(F.flatten(F.collect_set("slots"))).alias("theirs"))
+    tries = bad.join(seats, "course").filter(F.col("to") != F.col("from"))
+    asked = tries.select(plan, "from", "to", "slots", F.explode("theirs").alias("slot")).join(takers, [plan, "slot"])
+    barred = asked.filter(F.col("n") > F.array_contains("slots", F.col("slot")).cast("int")).select(plan, "from", "to").distinct()
+    return tries.join(barred, [plan, "from", "to"], "left_anti").select(plan, "course", "from", "to", "faults")

@@ -114,10 +114,22 @@ def alternatives_fitting(spark, sf):
     return I.fitting_alternatives(lines, pool, "l_orderkey", "l_partkey", "l_suppkey")
 
 
-QUERIES = {f.__name__: f for f in (alternatives_fitting, slot_mask, slot_week, slot_clash, slot_overlap_islands, slot_profile, interval_overlap_exact, exam_semi_clash, lane_assign, lane_numbers, rush_moves, time_format, calendar_rows, greedy_plan)}
+def plan_repairs(spark, sf):
+    """Orders as plans, parts as courses, their suppliers as sections: changes of one line that leave no fault."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct()
+    slot = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at"))
+    first = F.col("l_suppkey") % 48
+    hours = F.transform(F.sequence(first, first + F.col("l_partkey") % 3), lambda at: slot("C1", at))
+    slots = F.concat(hours, F.array(slot("C2", (F.col("l_partkey") * 7 + F.col("l_suppkey")) % 60)))
+    own = lines.select("l_orderkey", F.concat_ws("-", "l_partkey", "l_suppkey").alias("section"), F.col("l_partkey").alias("course"), slots.alias("slots"), (F.col("l_suppkey") % 10 == 0).alias("full"), (F.col("l_partkey") % 50 == 0).alias("passed"))
+    return planning.repairs(own, own.select("section", "course", "slots", "full").distinct(), "l_orderkey")
+
+
+QUERIES = {f.__name__: f for f in (plan_repairs, alternatives_fitting, slot_mask, slot_week, slot_clash, slot_overlap_islands, slot_profile, interval_overlap_exact, exam_semi_clash, lane_assign, lane_numbers, rush_moves, time_format, calendar_rows, greedy_plan)}
 
 _RUNS = MEETINGS + ", w AS (SELECT user_id, day, bit_or(mask) AS mask FROM k GROUP BY 1, 2), b AS (SELECT user_id, day, i AS slot FROM w, range(26) t(i) WHERE (mask >> i) & 1 = 1), r AS (SELECT user_id, day, min(slot) AS f, max(slot) + 1 AS a FROM (SELECT *, slot - row_number() OVER (PARTITION BY user_id, day ORDER BY slot) AS g FROM b) GROUP BY user_id, day, g)"
 ORACLE_SQL = {
+    "plan_repairs": "WITH x AS (SELECT DISTINCT l_orderkey, l_partkey AS c, l_suppkey AS s, l_suppkey % 48 AS a, l_suppkey % 48 + l_partkey % 3 AS b, (l_partkey * 7 + l_suppkey) % 60 AS e FROM lineitem), k AS (SELECT y.l_orderkey, y.c, y.s, z.c AS zc, z.s AS zs, y.a <= z.b AND z.a <= y.b AS c1, y.e = z.e AS c2 FROM x y JOIN x z ON z.l_orderkey = y.l_orderkey AND (z.c, z.s) <> (y.c, y.s)), q AS (SELECT l_orderkey, count(*) FILTER (WHERE c1 OR c2) / 2 AS pairs FROM k GROUP BY 1), o AS (SELECT l_orderkey, count(*) FILTER (WHERE s % 10 = 0) AS n_full FROM x GROUP BY 1 HAVING count(*) = count(DISTINCT c) AND count(*) FILTER (WHERE c % 50 = 0) = 0), m AS (SELECT l_orderkey, c, s, count(*) FILTER (WHERE c1 OR c2) AS mine, bool_or(c1) AS c1, bool_or(c2) AS c2 FROM k GROUP BY 1, 2, 3), bad AS (SELECT x.l_orderkey, x.c, x.s, concat_ws(',', CASE WHEN c1 THEN 'C1' END, CASE WHEN c2 THEN 'C2' END, CASE WHEN x.s % 10 = 0 THEN 'C6' END) AS faults FROM x JOIN o ON o.l_orderkey = x.l_orderkey LEFT JOIN q ON q.l_orderkey = x.l_orderkey LEFT JOIN m ON m.l_orderkey = x.l_orderkey AND m.c = x.c AND m.s = x.s WHERE (coalesce(c1, false) OR coalesce(c2, false) OR x.s % 10 = 0) AND coalesce(mine, 0) = coalesce(pairs, 0) AND n_full = (x.s % 10 = 0)::INT), p AS (SELECT DISTINCT c, s, a, b, e FROM x WHERE s % 10 <> 0) SELECT l_orderkey, bad.c AS course, bad.c || '-' || bad.s AS \"from\", p.c || '-' || p.s AS \"to\", faults FROM bad JOIN p ON p.c = bad.c AND p.s <> bad.s WHERE NOT EXISTS (SELECT 1 FROM x y WHERE y.l_orderkey = bad.l_orderkey AND (y.c, y.s) <> (bad.c, bad.s) AND ((y.a <= p.b AND p.a <= y.b) OR y.e = p.e))",
     "alternatives_fitting": "WITH l AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, (1::BIGINT << least(l_suppkey % 24 + 2 + l_partkey % 3, 26)::INT) - (1::BIGINT << (l_suppkey % 24)::INT) AS mask FROM lineitem), k AS (SELECT a.l_orderkey, a.l_partkey, a.l_suppkey, coalesce(bit_or(b.mask), 0) AS kept FROM l a LEFT JOIN l b ON b.l_orderkey = a.l_orderkey AND b.l_partkey <> a.l_partkey GROUP BY 1, 2, 3), p AS (SELECT DISTINCT l_partkey, l_suppkey, mask FROM l WHERE l_suppkey % 10 <> 0) SELECT l_orderkey, k.l_partkey, k.l_suppkey, min(p.l_suppkey) AS \"to\" FROM k JOIN p ON p.l_partkey = k.l_partkey AND p.l_suppkey <> k.l_suppkey AND p.mask & kept = 0 GROUP BY 1, 2, 3",
     "slot_mask": f"WITH {MEETINGS} SELECT event_id, day, mask, array_to_string(list_transform(range(26), lambda i: CAST((mask >> i) & 1 AS VARCHAR)), '') AS text FROM k",
     "slot_week": f"WITH {MEETINGS} SELECT user_id, day, bit_or(mask) AS mask, bit_count(bit_or(mask))::BIGINT AS busy FROM k GROUP BY 1, 2",
