@@ -7,9 +7,10 @@ dart. As many darts are thrown as fill all coordinates almost surely; a set with
 as many. Equal values at a coordinate have the weighted Jaccard similarity as probability.
 
 Texts are similar by weighted or by plain shingles (each of weight 1), so those with repeated shingles have a
-signature of each kind. Signatures are cut into bands. In each bucket every member is compared with the one that
-shares most buckets with others and with two that a hash chooses. Members that are still in different components
-after that are compared in blocks of a bucket, each pair in one of its buckets only. Two bits of each coordinate say
+signature of each kind. Signatures are cut into bands. A bucket has three centres: the member that shares most buckets
+with others and two that a hash chooses. Every member is compared with the centre of most of its buckets, then with
+those of its other centres that are still in another component. Members that are in different components after that
+are compared in blocks of a bucket, each pair in one of its buckets only. Two bits of each coordinate say
 inside the join whether a pair can be similar at all; every link is then checked on the shingles themselves.
 """
 
@@ -48,14 +49,19 @@ M1, M2, M3, M4 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), n
 POISSON = np.array([min(2**64 - 1, int(p * 2**64)) for p in np.cumsum([np.exp(-1) / np.prod(np.arange(1, n + 1), dtype=float) for n in range(12)])], np.uint64)
 
 WORDS_KEPT = 300_000
+#: Shingles (16 bytes each) of texts that a task remembers while it checks pairs.
+SETS_KEPT = 2_000_000
 _words: dict[str, int] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     x = x + M1
-    x = (x ^ (x >> np.uint64(30))) * M2
-    x = (x ^ (x >> np.uint64(27))) * M3
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(30)
+    x *= M2
+    x ^= x >> np.uint64(27)
+    x *= M3
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -70,7 +76,14 @@ def forget() -> None:
 
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct five-word shingles and how often each occurs; fewer words make one shingle."""
-    found = WORD.findall((text or "").lower())
+    return shingled(words_of(text))
+
+
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
+
+
+def shingled(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if len(_words) > WORDS_KEPT:
@@ -96,19 +109,29 @@ def sketch(elements: np.ndarray, weight: np.ndarray) -> np.ndarray:
     while True:
         high = darts / total  # ranks below this: about ``darts`` darts in all
         wide, tall = np.ceil(weight).astype(np.int64), int(np.ceil(high))
-        element = np.repeat(elements, wide)
-        column = np.arange(len(element)) - np.repeat(np.cumsum(wide) - wide, wide)
-        limit = np.repeat(weight, wide) - column  # of the element's region in this cell
-        cell = mix(element ^ mix(column.astype(np.uint64)))
+        whole = not (weight != 1).any()
+        if whole:
+            cell = mix(elements ^ mix(np.zeros(1, np.uint64)))
+        else:
+            element = np.repeat(elements, wide)
+            column = np.arange(len(element)) - np.repeat(np.cumsum(wide) - wide, wide)
+            limit = np.repeat(np.repeat(weight, wide) - column, tall)  # of the element's region in this cell
+            cell = mix(element ^ mix(column.astype(np.uint64)))
+        row = np.tile(np.arange(tall), len(cell))
         cell = mix((cell[:, None] + np.arange(tall, dtype=np.uint64)[None, :] * M2).ravel())
-        limit, row = np.repeat(limit, tall), np.tile(np.arange(tall), len(element))
         # a cell's hash says how many darts it holds
         count = np.searchsorted(POISSON, cell)
         at = np.repeat(np.arange(len(cell)), count)
         k = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
         dart = mix(cell[at] ^ ((k + 1).astype(np.uint64) * M4))
-        rank = row[at] + unit(mix(dart ^ M3))
-        hit = (unit(dart) < limit[at]) & (rank < high)
+        if whole:  # each cell lies in its element's region
+            rank = row[at] + unit(mix(dart ^ M3))
+            hit = rank < high
+        else:
+            hit = unit(dart) < limit[at]
+            dart, at = dart[hit], at[hit]
+            rank = row[at] + unit(mix(dart ^ M3))
+            hit = rank < high
         dart, rank = dart[hit], rank[hit]
         coordinate = mix(dart ^ M2) % np.uint64(K)
         order = np.argsort((coordinate << np.uint64(55)) | (rank * (2.0**54 / high)).astype(np.uint64))
@@ -124,7 +147,11 @@ def bands(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     A text without words has no keys. Where no shingle repeats, both sets are the same and the plain one's bits are left out.
     """
-    elements, counts = shingles(text)
+    return banded(*shingles(text))
+
+
+def banded(elements: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """See bands, of a text's shingles."""
     if not len(elements):
         return np.zeros(0, np.uint64), np.zeros(2 * PLANES, np.uint64), np.zeros(0, np.uint64)
     key, bits = _signed(sketch(elements, weights(counts)))
@@ -189,9 +216,9 @@ def _sketches(rows: DataFrame) -> DataFrame:
                 if own in done:
                     continue
                 done.add(own)
-                found = WORD.findall((text or "").lower())
+                found = words_of(text)
                 key = xxhash.xxh3_128_digest((" ".join(found) if found else "\0" + (text or "")).encode())
-                out.append((key, own, *(x.view(np.int64).tolist() for x in bands(text))))
+                out.append((key, own, *(x.view(np.int64).tolist() for x in banded(*shingled(found)))))
             yield record(schema, out)
         forget()
 
@@ -206,13 +233,19 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
-        last, kept = None, None
+        sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # rows come by b; an a, often a centre, comes again and again
+        size, last, kept = 0, None, None
         for found in slices(batches, ("a", "b", "ta", "tb"), 64):
             rows = []
             for a, b, ta, tb in zip(*found, strict=True):
-                if last != a:
-                    last, kept = a, shingles(ta)
-                s = similarity(kept, shingles(tb))
+                if last != b:
+                    last, kept = b, shingles(tb)
+                if a not in sets:
+                    if size > SETS_KEPT:
+                        sets, size = {}, 0
+                    sets[a] = shingles(ta)
+                    size += len(sets[a][0])
+                s = similarity(sets[a], kept)
                 if s >= SIMILAR:
                     rows.append((a, b, s))
             yield record(schema, rows)
@@ -220,6 +253,18 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "a long, b long, similarity double").distinct()
 
 
+def _labelled(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of nodes with their component; a node without links is its own."""
+    return nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Those of the pairs a, b that are in different components."""
+    side = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
 def _apart(members: DataFrame, nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs a, b of nodes in different components that share a bucket and are close by their bits, each pair once.
 
@@ -270,19 +315,20 @@ def _grouped(rows: DataFrame, ids: bool) -> tuple[DataFrame, DataFrame]:
     chosen = ranked.groupBy("bucket").agg(F.max("known").alias("k"), F.max("drawn").alias("x"), F.min("drawn").alias("y"))
     centres = chosen.select("bucket", F.explode(F.array(*(F.struct((-F.col(c)["id"]).alias("id"), F.col(c)["bits"].alias("bits")) for c in "kxy"))).alias("centre")).select("bucket", F.col("centre.id").alias("centre"), F.col("centre.bits").alias("own"))
     near = members.join(centres, "bucket").filter((F.col("node") != F.col("centre")) & _close(F.col("bits"), F.col("own")))
-    stars = near.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
-    stars = written(stars, "stars")
-    first_links = links = written(_verified(stars, texts), "links")
-    parts = components(joined(links))
-    # a component may still hold nodes near another one's: only pairs across components are left to compare
-    rest = members.join(parts, "node", "left").select("bucket", "node", "bits", F.coalesce("component", "node").alias("component"))
-    extra = written(_verified(_apart(rest, nodes).join(stars, ["a", "b"], "left_anti"), texts), "links")
-    links = links.union(extra)
-    if not extra.isEmpty():
-        parts = components(joined(links))
+    stars = written(near.groupBy("node", "centre").agg(F.count("*").alias("n")).select("node", "n", F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")), "stars")
+    pairs = lambda t: t.select("a", "b").distinct()
+    # each node meets the centre of most of its buckets; then, after each step, only pairs across components are left
+    best = written(pairs(stars.groupBy("node").agg(F.max(F.struct("n", "a", "b")).alias("s")).select("s.*")), "stars")
+    steps = [written(_verified(best, texts), "links")]
+    parts = components(joined(steps[0]))
+    for left in (lambda: _across(pairs(stars), parts).join(best, ["a", "b"], "left_anti"), lambda: _apart(_labelled(members, parts).select("bucket", "node", "bits", "component"), nodes).join(pairs(stars), ["a", "b"], "left_anti")):
+        steps.append(written(_verified(left(), texts), "links"))
+        if not steps[-1].isEmpty():
+            parts = components(joined(functools.reduce(DataFrame.union, steps)))
+    links = functools.reduce(DataFrame.union, steps)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("join_links"))
     parts = written(parts.join(degree, "node", "left"), "parts")
-    discard(nodes, buckets, members, texts, stars, first_links, extra, same)
+    discard(nodes, buckets, members, texts, stars, best, *steps, same)
     return places, parts
 
 

@@ -30,3 +30,36 @@ def test_links_are_named_for_what_they_count(spark):
     found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert found.columns == ["doc_id", "class_id", "join_links"]
     assert all(r["class_id"] == 0 and 1 <= r["join_links"] <= 29 for r in found.collect())
+
+
+def test_copies_that_are_joined_are_not_compared_again(spark, monkeypatch):
+    """Copies of one text share buckets with many centres; a link to one of these is enough."""
+    base, rows = list(prose(300)), []
+    for i in range(300):
+        own = list(base)
+        own[int(rng.integers(300))] = f"e{i}"
+        rows.append((i, " ".join(own)))
+    judged, verified = [], minhash._verified
+
+    def counted(pairs, texts):
+        judged.append(pairs.count())
+        return verified(pairs, texts)
+
+    monkeypatch.setattr(minhash, "_verified", counted)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["class_id"] for r in got} == {0}
+    assert sum(judged) < 400
+
+
+def test_pairs_across_components(spark):
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (3, 9), (8, 9)], "a long, b long")
+    parts = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "node long, component long")
+    assert sorted(map(tuple, minhash._across(pairs, parts).collect())) == [(1, 3), (3, 9), (8, 9)]
+
+
+def test_sketch_of_unit_weights_is_the_general_one(monkeypatch):
+    """Unit weights are taken without the test of the region; a weight just above 1 sees the same darts but for its second cell."""
+    elements = minhash.shingles(prose(120))[0]
+    plain = minhash.sketch(elements, np.ones(len(elements)))
+    near = minhash.sketch(elements, np.full(len(elements), 1 + 1e-12))
+    assert (plain == near).mean() > 0.99
