@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import json
 import re
-import sys
-from array import array
 from itertools import islice
 
 import numpy as np
@@ -57,21 +55,23 @@ class Encoder:
 
         Other chunks without white space inside go to the library as the lines of one text.
         """
-        tokenize, code, known, plain = self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I", self.known, []
+        tokenize, known, plain = self.tokenizer.model.tokenize, self.known, []
+        words, made, ends = [], [], [0]
         for c in chunks:
             if len(c) <= LONG and (c[1:] if c[0] == " " else c).isalpha():
                 if c.isascii():
                     spelt = BLANK + c[1:] if c[0] == " " else c
                 else:
                     spelt = c.encode().decode("latin-1").translate(ALPHABET)
-                ids = array(code, [t.id for t in tokenize(spelt)])
-                if sys.byteorder == "big":
-                    ids.byteswap()
-                known[c] = ids.tobytes()
+                made += [t.id for t in tokenize(spelt)]
+                words.append(c)
+                ends.append(len(made))
             elif len(c) > LONG or c.isspace() or ODD.search(c):
                 known[c] = self.whole(c)
             else:
                 plain.append(c)
+        raw, ends = np.array(made, self.dtype).tobytes(), [e * self.dtype.itemsize for e in ends]
+        known.update((c, raw[a:b]) for c, a, b in zip(words, ends[:-1], ends[1:], strict=True))
         for at in range(0, len(plain), AT_ONCE):
             part = plain[at : at + AT_ONCE]
             ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, self.dtype)
@@ -99,15 +99,11 @@ class Encoder:
             return [self.whole(t) for t in texts]
         self.trim(KEPT)
         chunked = [self.chunks(t) for t in texts]
-        found = [list(map(self.known.get, chunks)) for chunks in chunked]
-        missing = [[i for i, x in enumerate(parts) if x is None] for parts in found]
-        fresh = dict.fromkeys(chunks[i] for chunks, at in zip(chunked, missing, strict=True) for i in at)
+        fresh = set().union(*chunked).difference(self.known)
         if fresh:
             self.learn(list(fresh))
-        for chunks, parts, at in zip(chunked, found, missing, strict=True):
-            for i in at:
-                parts[i] = self.known[chunks[i]]
-        return [b"".join(parts) for parts in found]
+        of = self.known.__getitem__
+        return [b"".join(map(of, chunks)) for chunks in chunked]
 
 
 def encoder(path: str) -> Encoder:
