@@ -39,13 +39,22 @@ KEPT = 400_000
 #: Longer texts are searched in parts of so many words that overlap by the widest window.
 PART = 8192 * BLOCK
 
-_words: dict[str, int] = {}
+
+class Hashes(dict):
+    """Hashes of words; one that is not there is made."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh32_intdigest(word)
+        return h
+
+
+_words = Hashes()
 
 
 def forget() -> None:
     """Keep the words that were met first, which are the frequent ones; tasks do so when they end, as other operators use the same workers."""
     global _words
-    _words = dict(islice(_words.items(), KEPT // 4))
+    _words = Hashes(islice(_words.items(), KEPT // 4))
 
 
 def hashed(text: str | None) -> np.ndarray:
@@ -53,12 +62,7 @@ def hashed(text: str | None) -> np.ndarray:
     found = WORD.findall((text or "").lower())
     if len(_words) > KEPT:
         forget()
-    hashes = list(map(_words.get, found))
-    for i, h in enumerate(hashes):
-        if h is None:
-            w = found[i]
-            hashes[i] = _words[w] = xxhash.xxh32_intdigest(w)
-    return np.array(hashes, np.uint32)
+    return np.fromiter(map(_words.__getitem__, found), np.uint32, len(found))
 
 
 def feature(words: np.ndarray) -> np.ndarray:
