@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from termloom.llm.batches import record, slices
 from termloom.llm.storage import written
+from termloom.llm.word_hashes import hashes_of, signs_of
 
 WORD = re.compile(r"\w+")
 FEATURES, BLOCK, DIMENSIONS, EXTRA, BAND = 2048, 12, 96, 16, 64
@@ -36,6 +37,8 @@ ALONE, WITH_ANSWER, ANSWER = 0.8, 0.6, 0.8
 #: Items in a block, and words whose vectors are made at a time.
 ITEMS, AT_ONCE = 50_000, 16_000
 KEPT = 400_000
+#: Texts are hashed together up to so many characters; a longer one is taken word by word.
+CHARACTERS = 1 << 20
 #: Longer texts are searched in parts of so many words that overlap by the widest window.
 PART = 8192 * BLOCK
 
@@ -49,6 +52,7 @@ class Hashes(dict):
 
 
 _words = Hashes()
+_signs: np.ndarray | None = None
 
 
 def forget() -> None:
@@ -65,6 +69,26 @@ def hashed(text: str | None) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, found), np.uint32, len(found))
 
 
+def hashed_all(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """What ``hashed`` gives for each text, made for many texts at a time."""
+    global _signs
+    if _signs is None:
+        _signs = signs_of(WORD)
+    held, size = [], 0
+    for text in texts:
+        small = (text or "").lower()
+        if held and size + len(small) > CHARACTERS:
+            yield from hashes_of(held, _signs)
+            held, size = [], 0
+        if len(small) > CHARACTERS:
+            yield hashed(text)
+        else:
+            held.append(small)
+            size += len(small)
+    if held:
+        yield from hashes_of(held, _signs)
+
+
 def feature(words: np.ndarray) -> np.ndarray:
     return (words & np.uint32(FEATURES - 1)).astype(np.int64)
 
@@ -88,7 +112,7 @@ def word_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in slices(batches, ("doc_id", "text")):
-            yield record(schema, [(d, h.tobytes()) for d, t in zip(ids, texts, strict=True) if len(h := hashed(t))])
+            yield record(schema, [(d, h.tobytes()) for d, h in zip(ids, hashed_all(texts), strict=True) if len(h)])
         forget()
 
     return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc long, words binary"), "word-hashes")
@@ -136,9 +160,10 @@ def latent_space(table: DataFrame, idf: np.ndarray, dimensions: int = DIMENSIONS
             of = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             of = of // PASSAGE + np.repeat(np.cumsum(passages) - passages, sizes)
             n = int(passages.sum())
-            a = np.bincount(of * FEATURES + feature(words), weights=weight(words, idf), minlength=n * FEATURES).astype(np.float32).reshape(n, FEATURES)
-            a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-9)
-            total[:] += a.T @ (a @ r)
+            a = np.zeros((n, FEATURES), np.float32)
+            np.add.at(a.reshape(-1), of * FEATURES + feature(words), weight(words, idf))
+            unscaled = a @ r  # rows of unit length would be divided by their norm here and in the second product
+            total[:] += a.T @ (unscaled / np.maximum(np.einsum("ij,ij->i", a, a), 1e-18)[:, None])
 
         held, size = [], 0
         for (rows,) in slices(batches, ("words",)):
@@ -227,7 +252,7 @@ def vectors(words: np.ndarray, starts: np.ndarray, space: np.ndarray, idf: np.nd
     for at in range(0, len(starts), step):
         own = sizes[at : at + step, None] > np.arange(wide)
         place = np.where(own, starts[at : at + step, None] + np.arange(wide), 0)
-        out[at : at + step] = np.einsum("bk,bkd->bd", np.where(own, w[place], 0), space[f[place]])
+        out[at : at + step] = (np.where(own, w[place], 0)[:, None, :] @ space.take(f[place], axis=0))[:, 0]
     return out
 
 
@@ -254,9 +279,11 @@ def found_in(docs: list[np.ndarray], space: np.ndarray, idf: np.ndarray, items:
         for at in range(0, len(doc), AT_ONCE // 4):
             own, begin = doc[at : at + AT_ONCE // 4], block[at : at + AT_ONCE // 4]
             low = first[own] + begin
-            z = unit(sums[low + width[own]] - sums[low])
+            z = sums[low + width[own]] - sums[low]
+            norms = np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-12)[:, None]
             for j in range(0, len(places), 4000):
                 near = z @ matrix[j : j + 4000].T
+                near /= norms
                 i, k = np.nonzero(near >= COSINE)
                 yield from zip(own[i].tolist(), begin[i].tolist(), repeat(scale), near[i, k].tolist(), places[j + k].tolist(), strict=False)
 
