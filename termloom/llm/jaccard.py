@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.llm.batches import record
 from termloom.llm.components import components
 from termloom.llm.minhash import digest, mix
 from termloom.llm.storage import discard, written
@@ -33,6 +34,8 @@ WORDS, LINK = 4, 85
 SAMPLE = 4
 #: Rows of a column that are multiplied at a time, and bytes of text and shingles that a task handles at once.
 BLOCK, AT_ONCE, GRAMS = 1000, 1 << 21, 1 << 20
+#: Most bits of the mask of chosen texts; with more than a sixteenth as many texts it passes more of the others.
+MASK = 1 << 25
 
 _RANDOM = np.random.default_rng(1201)
 BASE = np.uint64(0xD1342543DE82EF95)
@@ -155,7 +158,8 @@ def _shared(nodes: DataFrame) -> DataFrame:
     """node, shared: how many of its sampled shingles other nodes have, for nodes that share some.
 
     Shingles meet in buckets of their hash. What a task's own rows share is counted before, and goes into its bucket as one
-    mark, so a shingle of very many rows is no more than a mark from each task there.
+    mark, so a shingle of very many rows is no more than a mark from each task there. The counts of each task then meet in
+    buckets of nodes, where they are added.
     """
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 8 * partitions
@@ -202,8 +206,12 @@ def _shared(nodes: DataFrame) -> DataFrame:
                     yield from flush()
         yield from flush()
 
+    def added(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        own, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+        return own, np.bincount(at, np.concatenate([x for _, x in found])).astype(np.int64)
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("node", pa.int64()), ("shared", pa.int64())])
+        schema = pa.schema([("bucket", pa.int32()), ("nodes", pa.binary()), ("counts", pa.binary())])
         found: list[tuple[np.ndarray, np.ndarray]] = []
         last, nodes, values, size = None, [], [], 0
 
@@ -218,9 +226,12 @@ def _shared(nodes: DataFrame) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal found, size
             if size:
-                own, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([x for _, x in found])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], schema=schema)
+                own, n = added(found)
+                order = np.argsort(own % partitions, kind="stable")
+                own, n = own[order], n[order]
+                edges = np.searchsorted(own % partitions, np.arange(partitions + 1))
+                cells = [(b, own[i:j].tobytes(), n[i:j].tobytes()) for b, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if i < j]
+                yield record(schema, cells)
             found, size = [], 0
 
         for batch in batches:
@@ -240,8 +251,34 @@ def _shared(nodes: DataFrame) -> DataFrame:
         bucket()
         yield from flush()
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("node", pa.int64()), ("shared", pa.int64())])
+        last, found = None, []
+        for batch in batches:
+            for b, own, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != last and found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in added(found)], schema=schema)
+                    found = []
+                last = b
+                found.append((np.frombuffer(own, np.int64), np.frombuffer(n, np.int64)))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in added(found)], schema=schema)
+
     dealt = nodes.select("node", "sample").mapInArrow(deal, "bucket int, nodes binary, values binary")
-    return dealt.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
+    met = dealt.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "bucket int, nodes binary, counts binary")
+    return met.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(add, "node long, shared long")
+
+
+def _may_be_chosen(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows with the digest (``own``) of a chosen node and few others, so that the join after it does not shuffle all texts.
+
+    A mask of fixed size at most, as words of 64 bits, is looked up; it never drops a chosen text.
+    """
+    bits = min(MASK, 1 << max(10, (16 * chosen.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (place(c) % 64).cast("int"))
+    mask = chosen.groupBy(F.shiftright(place("digest"), 6).alias("word")).agg(F.bit_or(bit("digest")).alias("bits"))
+    return rows.join(F.broadcast(mask), F.shiftright(place("own"), 6) == F.col("word")).filter(F.col("bits").bitwiseAND(bit("own")) != 0).drop("word", "bits")
 
 
 def _whole_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -256,6 +293,7 @@ def _whole_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), digest("text").alias("own"), "text")
+    rows = _may_be_chosen(rows, chosen)
     found = rows.join(chosen, (rows["own"] == chosen["digest"]) & rows["id"].eqNullSafe(chosen["doc_id"])).select("node", "text")
     return found.mapInArrow(run, "node long, n long, grams binary").groupBy("node").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
 
@@ -435,8 +473,13 @@ def similar_components(docs: DataFrame) -> DataFrame:
     rows = written(_rows(docs), "rows")
     nodes = rows.filter("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("sample", ignorenulls=True).alias("sample"), F.min(F.struct("doc_id", "digest")).alias("own"), F.min("doc_id").alias("low"))
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "key", "n", "sample", "own.doc_id", "own.digest", "low"), "nodes")
-    own = F.octet_length("sample") / 8 - F.coalesce("shared", F.lit(0))
-    chosen = written(nodes.join(_shared(nodes), "node", "left").filter(own <= F.col("n") - least(F.col("n"))).select("node", "doc_id", "digest"), "chosen")
+    held, rows = rows, written(rows.select("doc_id", "n", "key"), "rows")
+    discard(held)
+    sampled = nodes.select("node", "n", "doc_id", "digest", (F.octet_length("sample") / 8).alias("sampled"))
+    own = F.col("sampled") - F.coalesce("shared", F.lit(0))
+    chosen = written(sampled.join(_shared(nodes), "node", "left").filter(own <= F.col("n") - least(F.col("n"))).select("node", "doc_id", "digest"), "chosen")
+    held, nodes = nodes, written(nodes.select("node", "key", "low"), "nodes")
+    discard(held)
     parts = written(_links(docs, chosen), "parts")
     both = nodes.select("node", "key", "low").join(parts, "node", "left").select("key", "low", F.coalesce("component", "node").alias("component"))
     named = both.join(both.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("key", "component_id")

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from termloom.llm import jaccard, queries
 
@@ -118,6 +119,42 @@ def test_blocks_take_each_pair_once(spark, block):
     assert got == sorted((i, j) for i in range(20) for j in range(i + 1, 20) if i % 4 != j % 4)
 
 
+def test_shared_counts(spark):
+    """Each node comes once with all its shared shingles, however many tasks have counted some of them."""
+    sets = [np.unique(rng.integers(0, 900, 40).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(60)] + [np.arange(10**6 * i, 10**6 * i + 30, dtype=np.uint64) for i in range(1, 9)]
+    holders = Counter(int(g) for s in sets for g in s)
+    want = {(i << 33) + i: k for i, s in enumerate(sets) if (k := sum(holders[int(g)] > 1 for g in s))}
+    nodes = spark.createDataFrame([((i << 33) + i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, sample binary").repartition(7)
+    got = jaccard._shared(nodes).collect()
+    assert len(got) == len(want) and {r["node"]: r["shared"] for r in got} == want
+
+
+@pytest.mark.parametrize("most", [1 << 25, 1 << 10])
+def test_few_other_texts_meet_the_chosen(spark, monkeypatch, most):
+    """A full mask passes more of the other texts, but no mask drops a chosen one."""
+    monkeypatch.setattr(jaccard, "MASK", most)
+    rows = spark.range(20_000).withColumn("text", F.col("id").cast("string")).select("id", jaccard.digest("text").alias("own"), "text")
+    chosen = rows.filter("id % 50 = 0").select(F.col("id").alias("node"), F.col("own").alias("digest"), F.col("id").alias("doc_id"))
+    passed = jaccard._may_be_chosen(rows, chosen)
+    assert passed.columns == rows.columns
+    got = [r["id"] for r in passed.select("id").collect()]
+    assert len(got) == len(set(got)) and set(range(0, 20_000, 50)) <= set(got)
+    assert len(got) < (3000 if most > 1 << 20 else 12_000)
+    assert jaccard._may_be_chosen(rows, chosen.limit(0)).count() == 0
+
+
+def test_samples_are_deleted(spark, monkeypatch):
+    """No table with sampled shingles is left, or stands there when the whole sets are made."""
+    live, write, drop = {}, jaccard.written, jaccard.discard
+    monkeypatch.setattr(jaccard, "written", lambda df, name: live.setdefault(id(t := write(df, name)), t))
+    monkeypatch.setattr(jaccard, "discard", lambda *tables: [live.pop(id(t), None) for t in tables] and drop(*tables))
+    whole, seen = jaccard._whole_sets, []
+    monkeypatch.setattr(jaccard, "_whole_sets", lambda *a: seen.append([t.columns for t in live.values()]) or whole(*a))
+    rows = [(i, f"a text of eight words and number {i // 2}") for i in range(40)]
+    assert found(spark, rows) == plain(rows)[0]
+    assert len(seen) == 1 and seen[0] and not any("sample" in c for c in seen[0])
+
+
 def test_query(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     got = Counter(tuple(r) for r in queries.op12_ngram_jaccard(spark, "/root/testdata/sf0.01").select("doc_id", "n_shingles", "component_id").collect())
