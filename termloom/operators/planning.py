@@ -46,26 +46,30 @@ def repairs(chosen: DataFrame, pool: DataFrame, plan: str) -> DataFrame:
     if it shares a slot (C1, C2) or is full (C6); it may give way to another section of its course with seats. The plan
     that results is checked anew: no slot taken twice, no full section, no course twice or already passed (C5).
 
-    No pairs within a plan: a slot's takers are counted once. Without a section no slot is shared if none has three takers
-    and every one with two is the section's own. Repeated rows count once; null slots are none, null flags are false; rows
-    of a null plan have no repairs, empty tables none either.
+    No pairs within a plan: its slots are sorted once, and shared ones stand side by side. Without a section no slot is
+    shared if none has three takers and every one with two is the section's own, so a plan has two such sections at most.
+    Each meets the others of its course once, with the slots that the rest of its plan takes beside it, so rows move once
+    by plan and once by course; input that is dealt by plan (pool: by course) already does not move for it. Repeated rows
+    count once; null slots are none, null flags are false; rows of a null plan have no repairs, empty tables none either.
     """
-    own = chosen.select(plan, "section", "course", F.coalesce("slots", F.array().cast(chosen.schema["slots"].dataType)).alias("slots"), F.coalesce("full", F.lit(False)).alias("full"), F.coalesce("passed", F.lit(False)).alias("passed"))
-    own = own.groupBy(plan, "section", "course").agg(F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"), F.bool_or("full").alias("full"), F.bool_or("passed").alias("passed"))
-    taken = own.select(plan, "section", F.explode("slots").alias("slot"))
-    takers = taken.groupBy(plan, "slot").agg(F.count("*").alias("n"))
-    shared = takers.filter("n > 1")
-    in_plan = shared.groupBy(plan).agg(F.count("*").alias("twice"), F.count_if(F.col("n") > 2).alias("thrice"))
-    in_section = taken.join(shared, [plan, "slot"]).groupBy(plan, "section").agg(F.count("*").alias("mine"), F.collect_set("slot.kind").alias("kinds"))
-    courses = own.groupBy(plan, "course").agg(F.count("*").alias("n"), F.count_if("full").alias("full"), F.bool_or("passed").alias("passed"))
-    sound = courses.groupBy(plan).agg(F.sum("full").alias("n_full"), (F.max("n") == 1).alias("single"), F.bool_or("passed").alias("again")).filter("single and not again").select(plan, "n_full")
+    none = F.array().cast("array<string>")
+    # a slot as one string, at before kind: a number holds no colon
+    flat = F.coalesce(F.transform("slots", lambda s: F.concat(F.coalesce(s["at"].cast("string"), F.lit("")), F.lit(":"), F.coalesce(s["kind"], F.lit("")))), none)
+    flag = lambda name: F.coalesce(F.col(name), F.lit(False)).alias(name)
+    merged = F.array_distinct(F.flatten(F.collect_set("slots")))
+    own = chosen.filter(F.col(plan).isNotNull()).select(plan, "section", "course", flat.alias("slots"), flag("full"), flag("passed"))
+    own = own.groupBy(plan, "section", "course").agg(merged.alias("slots"), F.bool_or("full").alias("full"), F.bool_or("passed").alias("passed"))
+    rows = F.collect_list(F.struct("section", "course", "slots", "full"))
+    plans = own.groupBy(plan).agg(rows.alias("rows"), F.count_if("full").alias("n_full"), F.count("*").alias("n"), F.size(F.collect_set(F.struct("course"))).alias("courses"), F.bool_or("passed").alias("again"))
+    plans = plans.filter((F.col("n") == F.col("courses")) & ~F.col("again") & (F.col("n_full") < 2)).select(plan, "rows", "n_full", F.sort_array(F.flatten("rows.slots")).alias("taken"))
+    before = lambda x, i, back: (i >= back) & (x == F.get("taken", F.greatest(i - back, F.lit(0))))
+    plans = plans.filter(~F.exists(F.transform("taken", lambda x, i: before(x, i, 2)), lambda x: x)).withColumn("twice", F.filter("taken", lambda x, i: before(x, i, 1)))
 
-    bad = own.join(sound, plan).join(in_plan, plan, "left").join(in_section, [plan, "section"], "left").na.fill(0, ["twice", "thrice", "mine"])
-    bad = bad.filter(((F.col("mine") > 0) | F.col("full")) & (F.col("thrice") == 0) & (F.col("mine") == F.col("twice")) & (F.col("n_full") == F.col("full").cast("int")))
-    faults = F.concat(F.coalesce("kinds", F.array().cast("array<string>")), F.when(F.col("full"), F.array(F.lit("C6"))).otherwise(F.array().cast("array<string>")))
-    bad = bad.select(plan, "course", F.col("section").alias("from"), "slots", F.array_join(F.array_sort(faults), ",").alias("faults"))
-    seats = pool.filter(~F.coalesce("full", F.lit(False))).groupBy("course", F.col("section").alias("to")).agg(F.array_distinct(F.flatten(F.collect_set("slots"))).alias("theirs"))
-    tries = bad.join(seats, "course").filter(F.col("to") != F.col("from"))
-    asked = tries.select(plan, "from", "to", "slots", F.explode("theirs").alias("slot")).join(takers, [plan, "slot"])
-    barred = asked.filter(F.col("n") > F.array_contains("slots", F.col("slot")).cast("int")).select(plan, "from", "to").distinct()
-    return tries.join(barred, [plan, "from", "to"], "left_anti").select(plan, "course", "from", "to", "faults")
+    at_fault = lambda r: ((F.size("twice") > 0) | r["full"]) & (F.col("n_full") == r["full"].cast("int")) & (F.size(r["slots"]) >= F.size("twice")) & (F.size(F.array_intersect("twice", r["slots"])) == F.size("twice"))
+    bad = plans.filter((F.size("twice") > 0) | (F.col("n_full") > 0)).select(plan, "taken", "twice", F.explode(F.filter("rows", at_fault)).alias("r")).filter("r.section is not null")
+    kinds = F.filter(F.array_distinct(F.transform("twice", lambda s: F.regexp_replace(s, "^[^:]*:", ""))), lambda k: k != "")
+    faults = F.array_join(F.array_sort(F.concat(kinds, F.when(F.col("r.full"), F.array(F.lit("C6"))).otherwise(none))), ",")
+    rest = F.concat(F.filter("taken", lambda s: ~F.array_contains("r.slots", s)), "twice")
+    bad = bad.select(plan, "r.course", F.col("r.section").alias("from"), faults.alias("faults"), rest.alias("rest"))
+    seats = pool.filter(~F.coalesce("full", F.lit(False))).select("course", F.col("section").alias("to"), flat.alias("slots")).groupBy("course", "to").agg(merged.alias("theirs"))
+    return bad.join(seats, "course").filter((F.col("to") != F.col("from")) & ~F.arrays_overlap("theirs", "rest")).select(plan, "course", "from", "to", "faults")

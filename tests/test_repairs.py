@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 from termloom.operators import planning
+from termloom.queries import timetable
 
 CHOSEN = "plan int, section string, course int, slots array<struct<kind: string, at: bigint>>, full boolean, passed boolean"
 POOL = "section string, course int, slots array<struct<kind: string, at: bigint>>, full boolean"
@@ -50,3 +51,17 @@ def test_repairs_of_odd_rows(spark):
     options = spark.createDataFrame([("c", 1, [("C1", 3)], None), ("d", 1, None, None), ("e", None, [("C1", 9)], None), ("f", 1, [("C1", 4)], True)], POOL)
     assert [tuple(r) for r in planning.repairs(df, options, "plan").collect()] == [(1, 1, "a", "d", "C6")]
     assert planning.repairs(df.limit(0), options, "plan").count() == 0 and planning.repairs(df, options.limit(0), "plan").count() == 0
+
+
+def test_rows_move_once_by_plan_and_once_by_course(spark):
+    planned = timetable.plan_repairs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert 0 < planned.count("Exchange hashpartitioning") <= 3 and "Generate explode(slots" not in planned
+
+
+def test_repairs_of_long_plans(spark):
+    """Many sections that share slots in pairs: no repair; one clash among many: both sections give way."""
+    pairs = [(1, f"s{i}", i, [("C1", i // 2)], False, False) for i in range(400)]
+    one = [(2, f"s{i}", i, [("C1", i or 399), ("C2", i)], False, False) for i in range(400)]
+    df = spark.createDataFrame(pairs + one, CHOSEN)
+    options = spark.createDataFrame([("x", 0, [("C1", 1000)], False), ("y", 399, [("C1", 7)], False), ("z", 399, [("C1", 399), ("C2", 399)], False), ("v", 399, [("C1", 399), ("C1", 5000)], False), ("w", 399, [("C2", 399)], None)], POOL)
+    assert sorted(map(tuple, planning.repairs(df, options, "plan").collect())) == [(2, 0, "s0", "x", "C1"), (2, 399, "s399", "w", "C1")]
