@@ -6,6 +6,7 @@ are column expressions and running windows over a page's rows, so one shuffle of
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -28,6 +29,8 @@ NUMBER = r"-?\d+(?:\.\d+)?"
 PASSING = ("A", "B+", "B", "C+", "C", "D+", "D", "S", "ผ่าน", "P")
 #: Fixed value: an audit shows this many columns of terms and of grades, where it shows all.
 AUDIT_COLUMNS = 10
+#: Tags without attributes, and those whose contents are no markup.
+TAG, RAW = re.compile(r"<(/?[a-z][a-z0-9]*)>"), {"script", "style", "textarea", "title", "plaintext", "xmp", "iframe", "noembed", "noframes", "noscript"}
 
 
 class _Row:
@@ -48,6 +51,21 @@ class _Page(HTMLParser):
         self.open: list[_Row | None] = []  # the row that is open in each open table
         self.hidden = False
 
+    def read(self, html: str) -> None:
+        """The whole page. One of plain tags only is cut at them, which is what the parser would do more slowly."""
+        parts = TAG.split(html)
+        if "&" in html or html.count("<") != len(parts) // 2 or not RAW.isdisjoint(parts[1::2]):
+            self.feed(html)
+            self.close()
+            return
+        for i, part in enumerate(parts):
+            if i % 2 and part[0] == "/":
+                self.handle_endtag(part[1:])
+            elif i % 2:
+                self.handle_starttag(part, [])
+            elif part:
+                self.handle_data(part)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         now = self.open[-1] if self.open else None
         if tag == "table":
@@ -100,14 +118,16 @@ def page_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                part, texts, rows = batch.slice(at, 64), [], []
+                part, texts, rows, ends = batch.slice(at, 64), [], [], [0]
                 for html_text in part.column(1).to_pylist():
                     parser = _Page()
-                    parser.feed(html_text or "")
-                    parser.close()
+                    parser.read(html_text or "")
                     texts.append(_joined(parser.text))
-                    rows.append([{"position": k, "cells": [_joined(c) for c in r.cells], "text": _joined(r.text), "boxes": r.boxes} for k, r in enumerate(parser.rows)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(rows, pa.list_(row))], names=["key", "text", "rows"])
+                    rows += parser.rows
+                    ends.append(len(rows))
+                places = [k for a, b in zip(ends, ends[1:]) for k in range(b - a)]
+                columns = [pa.array(places, pa.int32()), pa.array([[_joined(c) for c in r.cells] for r in rows], row.field("cells").type), pa.array([_joined(r.text) for r in rows], pa.string()), pa.array([r.boxes for r in rows], row.field("boxes").type)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(row)))], names=["key", "text", "rows"])
 
     kind = pages.schema[key].dataType.simpleString()
     read = pages.select(key, html).mapInArrow(run, f"key {kind}, text string, rows array<struct<position:int,cells:array<string>,text:string,boxes:array<boolean>>>")
@@ -188,32 +208,28 @@ def course_details(pages: DataFrame, key: str, html: str) -> DataFrame:
     kind = F.when(level.isNotNull(), "level").when(F.size(cells) == 0, "none").when(_at(cells, 0).rlike(r"^\d{1,2}$") & day(1), "section").when(day(0) & (F.size(cells) >= 2), "meeting").when(told, "details")
     rows = flat.withColumn("level", level).withColumn("kind", kind)
     is_a = lambda k: F.coalesce(F.col("kind") == k, F.lit(False))
-    rows = rows.withColumn("level", F.last("level", ignorenulls=True).over(_carried())).withColumn("number", F.sum(is_a("section").cast("int")).over(_carried()))
-    met = _meeting(F.when(is_a("section"), _from(cells, 2)).otherwise(cells))
     after = F.array_join(_from(cells, 3), " ")
-    seat = lambda i: F.max(F.when(is_a("section"), F.regexp_extract(after, SEATS, i).try_cast("int")))
+    seat = lambda i: F.regexp_extract(after, SEATS, i).try_cast("int")
     state = F.element_at(F.concat(F.array(F.lit("")), F.filter(cells, lambda c: c.isin(*STATES))), -1)
+    head = F.struct(F.lpad(_at(cells, 0), 2, "0").alias("section"), *(seat(i).alias(c) for i, c in ((1, "seat_total"), (2, "seat_taken"), (3, "seat_left"))), state.alias("status"))
+    met = _meeting(F.when(is_a("section"), _from(cells, 2)).otherwise(cells))
     people = F.filter(F.transform(F.split(labelled(text, "อาจารย์"), "[,/]"), X.clean), lambda p: p != "")
     kept = _either(text, "สำรอง สำหรับ", "สำรองสำหรับ")
     middle, last = _either(text, "สอบกลาง ภาค", "สอบกลางภาค"), _either(text, "สอบปลาย ภาค", "สอบปลายภาค")
-    note = labelled(text, "หมายเหตุ")
-    sections = rows.groupBy("page", "number").agg(
-        F.first("key").alias("key"),
-        F.first("course").alias("course"),
-        F.struct(
-            F.max(F.when(is_a("section"), F.lpad(_at(cells, 0), 2, "0"))).alias("section"),
-            F.coalesce(F.max(F.when(is_a("section"), F.col("level"))), F.lit("")).alias("level"),
-            _in_order(met, (is_a("section") | is_a("meeting")) & met.isNotNull()).alias("meetings"),
-            *(seat(i).alias(c) for i, c in ((1, "seat_total"), (2, "seat_taken"), (3, "seat_left"))),
-            F.max(F.when(is_a("section"), state)).alias("status"),
-            F.coalesce(_earliest(people, is_a("details") & (F.size(people) > 0)), F.array().cast("array<string>")).alias("teachers"),
-            F.coalesce(_earliest(kept, is_a("details") & (kept != "")), F.lit("")).alias("reserved_for"),
-            _earliest(exam(middle), is_a("details") & (middle != "")).alias("midterm"),
-            _earliest(exam(last), is_a("details") & (last != "")).alias("final"),
-            F.coalesce(_earliest(note, is_a("details") & (note != "")), F.lit("")).alias("note"),
-        ).alias("own"),
-    )
-    whole = sections.groupBy("page").agg(F.first("key").alias("key"), F.first("course").alias("course"), F.sort_array(F.collect_list(F.when(F.col("number") > 0, F.struct("number", "own")))).alias("sections"))
+    said = F.struct(people.alias("teachers"), kept.alias("reserved_for"), middle.alias("middle"), last.alias("last"), labelled(text, "หมายเหตุ").alias("note"))
+    # what a row holds is read once, by its kind, before it moves; the course moves with the first row only
+    rows = rows.select("key", "page", "position", F.when(F.coalesce("position", F.lit(0)) == 0, F.col("course")).alias("course"), "level", "kind", F.when(is_a("section"), head).alias("head"), F.when(is_a("section") | is_a("meeting"), met).alias("met"), F.when(is_a("details"), said).alias("said"))
+    rows = rows.withColumn("level", F.last("level", ignorenulls=True).over(_carried())).withColumn("number", F.sum(is_a("section").cast("int")).over(_carried()))
+    sections = rows.groupBy("page", "number").agg(F.first("key").alias("key"), F.first("course", ignorenulls=True).alias("course"), F.sort_array(F.collect_list(F.struct("position", "level", "head", "met", "said"))).alias("rows"))
+    first = lambda present: F.get(F.filter("rows", present), F.lit(0))
+    told = lambda name: F.coalesce(first(lambda r: r["said"][name] != "")["said"][name], F.lit("")).alias(name)
+    meetings = F.transform(F.filter("rows", lambda r: r["met"].isNotNull()), lambda r: r["met"])
+    teachers = F.coalesce(first(lambda r: F.size(r["said"]["teachers"]) > 0)["said"]["teachers"], F.array().cast("array<string>"))
+    sections = sections.select("page", "number", "key", "course", first(lambda r: r["head"].isNotNull()).alias("top"), meetings.alias("meetings"), teachers.alias("teachers"), *map(told, ("reserved_for", "middle", "last", "note")))
+    held = lambda name, label: F.when(F.col(name) != "", exam(F.col(name))).alias(label)
+    own = F.struct("top.head.section", F.coalesce("top.level", F.lit("")).alias("level"), "meetings", *(f"top.head.{c}" for c in ("seat_total", "seat_taken", "seat_left", "status")), "teachers", "reserved_for", held("middle", "midterm"), held("last", "final"), "note")
+    sections = sections.select("page", "key", "course", F.when(F.col("number") > 0, F.struct("number", own.alias("own"))).alias("section"))
+    whole = sections.groupBy("page").agg(F.first("key").alias("key"), F.first("course", ignorenulls=True).alias("course"), F.sort_array(F.collect_list("section")).alias("sections"))
     return whole.select(F.col("key").alias(key), "course.*", F.transform("sections", lambda s: s["own"]).alias("sections"))
 
 

@@ -1,7 +1,9 @@
 """Course details and degree audits from pages: literal rows, and pages made from tables against their SQL."""
 
 import datetime
+import random
 
+from termloom.queries import pages
 from termloom.sources import course_pages
 
 COURSE = """<html><head><style>td { x: 1 }</style><script>"<tr><td>99</td></tr>"</script></head><body>
@@ -62,3 +64,30 @@ def test_degree_audit(spark):
     assert ([tuple(t) for t in skill["attempts"]], skill["credits"], skill["passed"]) == ([("3/2566", "ไม่สอบ")], 1, False)
     assert (other["attempts"], other["credits"], other["passed"], other["average"]) == ([], 0, False, None)
     assert got[4]["categories"] == [] and got[4]["min_total_credits"] is None and got[4]["remaining_credits"] is None
+
+
+def test_plain_pages_are_read_as_by_the_parser():
+    dice = random.Random(5)
+    parts = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "<p>", "</p>", "<input>", "a b", " ", "\n", "ก", ">", "x > y"]
+    odd = ["&amp;", "&lt", "<", "<br/>", "<td colspan=2>", "<TD>", "<!-- <td> -->", "<script>", "</script>", "<title>", "</title>", "<input type=checkbox checked>", "</", "<1>"]
+    seen = lambda page: (page.text, [(r.cells, r.text, r.boxes) for r in page.rows])
+    for n in range(3000):
+        html = "".join(dice.choice(parts if n % 2 or dice.random() < 0.9 else odd) for _ in range(dice.randrange(40)))
+        got, want = course_pages._Page(), course_pages._Page()
+        got.read(html)
+        want.feed(html)
+        want.close()
+        assert seen(got) == seen(want), html
+
+
+def test_plain_pages_do_not_need_the_parser(monkeypatch):
+    monkeypatch.setattr(course_pages._Page, "feed", None)
+    page = course_pages._Page()
+    page.read("<table><tr><td>1</td><td>2 3</td></tr></table>")
+    assert [r.cells for r in page.rows] == [[["1"], ["2 3"]]]
+
+
+def test_rows_carry_no_course(spark):
+    """The course of a page moves with its first row, and a section's rows are collected once."""
+    planned = pages.course_sections(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert planned.count("collect_list(struct(position") == 1
